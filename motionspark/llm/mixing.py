@@ -4,9 +4,9 @@ Every document gets a hash-random key. Within a source the documents are ordered
 distributed prefix sum of their sizes is taken, and the source is cut at its exact budget; a budget
 beyond the source's size repeats whole epochs first.
 
-The prefix sum is distributed: a source is cut into key ranges of about ``block_rows`` documents,
-the ranges are summed and prefix-summed (a few rows for each source), and only a range is ordered
-within one task. A source that holds a third of all rows is just more ranges.
+The prefix sum is distributed: a source of n documents is cut into sqrt(n) key ranges, the ranges are
+summed and prefix-summed (sqrt(n) rows), and only a range (sqrt(n) documents) is ordered within one
+task. A source that holds a third of all rows is just more ranges.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, word_count
 
-BLOCK_ROWS = 20_000
-
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
     """Targets by weight, none above ``cap`` times its source's size.
@@ -51,7 +49,6 @@ def mix(
     cap: int = 3,
     seed: str = "mix",
     keep: Sequence[str] = (),
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -70,7 +67,7 @@ def mix(
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     targets = staged(source_targets(sizes, weights, cap), "mix-targets")
 
-    blocks = F.ceil(F.col("source_docs") / F.lit(block_rows)).cast("long")
+    blocks = F.ceil(F.sqrt("source_docs")).cast("long")
     head = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     placed = (
         sized.alias("d")

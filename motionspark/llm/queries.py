@@ -1,9 +1,11 @@
 """The registered queries of the corpus operators."""
 
-from . import mixing, secrets
+from . import chat, mixing, secrets, topk
 
 QUERIES = {
+    "op3_topk": topk.op3_topk,
     "op4_secrets": secrets.op4_secrets,
+    "op6_chat": chat.op6_chat,
     "op7_mixing": mixing.op7_mixing,
 }
-ORACLE_SQL = {"op7_mixing": mixing.OP7_SQL}
+ORACLE_SQL = {"op3_topk": topk.OP3_SQL, "op6_chat": chat.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
