@@ -86,10 +86,9 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         if len(ways) > MAX_DOUBLINGS:
             raise ValueError("a message is its own ancestor")
         far = level.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("n").alias("_n"))
-        level = staged(
-            level.join(far, ["tree", "up"], "left").select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")),
-            "chat-level",
-        )
+        going = level.where("up is not null").join(far, ["tree", "up"], "left")  # messages at a root stay as they are
+        moved = going.select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        level = staged(moved.unionByName(level.where("up is null")), "chat-level")
         ways.append(level)
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), F.asc("leaf")))
     chosen = leaves.join(level.select("tree", F.col("node").alias("leaf"), "sum", "n"), ["tree", "leaf"]).withColumn("branch", rank).where(F.col("branch") <= branches)
