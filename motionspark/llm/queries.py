@@ -1,11 +1,13 @@
 """The registered queries of the corpus operators."""
 
-from . import chat, mixing, secrets, topk
+from . import bpe, chat, mixing, secrets, tokens, topk
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_topk": topk.op3_topk,
     "op4_secrets": secrets.op4_secrets,
     "op6_chat": chat.op6_chat,
     "op7_mixing": mixing.op7_mixing,
+    "op8_tokens": tokens.op8_tokens,
 }
 ORACLE_SQL = {"op3_topk": topk.OP3_SQL, "op6_chat": chat.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
