@@ -1,14 +1,15 @@
 """The registered queries of the corpus operators."""
 
-from . import bpe, chat, mixing, secrets, substrings, tokens, topk
+from . import bpe, chat, mixing, neardup, secrets, substrings, tokens, topk
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
     "op2_bpe": bpe.op2_bpe,
     "op3_topk": topk.op3_topk,
     "op4_secrets": secrets.op4_secrets,
+    "op5_neardup": neardup.op5_neardup,
     "op6_chat": chat.op6_chat,
     "op7_mixing": mixing.op7_mixing,
     "op8_tokens": tokens.op8_tokens,
 }
-ORACLE_SQL = {"op1_substrings": substrings.OP1_SQL, "op3_topk": topk.OP3_SQL, "op6_chat": chat.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
+ORACLE_SQL = {"op1_substrings": substrings.OP1_SQL, "op3_topk": topk.OP3_SQL, "op5_neardup": neardup.OP5_SQL, "op6_chat": chat.OP6_SQL, "op7_mixing": mixing.OP7_SQL}
