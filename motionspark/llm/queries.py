@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators."""
 
-from . import bpe, chat, media, mixing, neardup, secrets, substrings, tokens, topk
+from . import bpe, chat, media, mixing, neardup, quality, secrets, substrings, tokens, topk
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_tokens": tokens.op8_tokens,
     "op9_media": media.op9_media,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {"op1_substrings": substrings.OP1_SQL, "op3_topk": topk.OP3_SQL, "op5_neardup": neardup.OP5_SQL, "op6_chat": chat.OP6_SQL, "op7_mixing": mixing.OP7_SQL}

@@ -98,3 +98,37 @@ def op4_secrets(spark, sf_dir: str) -> DataFrame:
 def base_digest(text: str | None) -> str:
     """The digest of one text's base spans, for tests."""
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in find_spans(text)).encode()).hexdigest()
+
+
+def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
+    """The text with each stretch that spans cover replaced by the kind of its first span."""
+    if not text or not spans:
+        return text
+    out, at, end = [], 0, -1
+    for kind, start, stop in spans:  # by start
+        if start >= end:
+            out += (text[at if end < 0 else end : start], f"[{kind}]")
+            at = end = stop
+        else:
+            end = max(end, stop)
+    return "".join([*out, text[end:]])
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """The documents with their secrets replaced by marks; texts without any stay as they are.
+
+    ``n_chars``, if there is such a column, follows the text.
+    """
+    columns = docs.columns
+    found, _ = scan_versions(docs.select(F.struct(*columns).alias("_row"), "text"), path="_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, spans = batch.column("path"), batch.column("spans").to_pylist()
+            texts = [redacted(t, [(s["kind"], s["start"], s["end"]) for s in ss]) for t, ss in zip(row.field("text").to_pylist(), spans)]
+            yield pa.RecordBatch.from_arrays([row, pa.array(texts, pa.string())], ["path", "_text"])
+
+    kind = dict(found.dtypes)["path"]
+    cleaned = found.select("path", "spans").mapInArrow(run, f"path {kind}, _text string")
+    own = {"text": F.col("_text"), "n_chars": F.when(F.col("path.text") == F.col("_text"), F.col("path.n_chars")).otherwise(F.length("_text").cast("long"))} if "n_chars" in columns else {"text": F.col("_text")}
+    return cleaned.select(*[own.get(c, F.col("path")[c]).alias(c) for c in columns])
