@@ -1,0 +1,62 @@
+"""Run a plan of named steps on Spark.
+
+A plan is one SQL text, a chain of common table expressions. Spark inlines those at each use, so a chain in
+which steps are used again and again would be planned and computed many times over. The steps named here
+are written once instead, and later steps start from those files.
+"""
+
+from __future__ import annotations
+
+import re
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..staging import written
+
+#: Steps that more than one later step reads.
+SHARED = ("obs", "isles", "span", "dists", "impact", "ball_out", "putter_out", "vel", "top", "records")
+
+_head = re.compile(r"\s*(\w+) AS \(")
+
+
+def steps(sql: str) -> tuple[list[tuple[str, str]], str]:
+    """The (name, body) pairs of a WITH query and its final SELECT."""
+    if not sql.lstrip().startswith("WITH "):
+        return [], sql
+    at, out = sql.index("WITH ") + 5, []
+    while True:
+        head = _head.match(sql, at)
+        depth, end = 1, head.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        out.append((head[1], sql[head.end() : end - 1]))
+        if sql[end : end + 1] != ",":
+            return out, sql[end:]
+        at = end + 1
+
+
+def run(spark: SparkSession, sql: str) -> DataFrame:
+    """The result of a plan, with its shared steps written."""
+    tag, views, pending = uuid.uuid4().hex[:8], {}, []
+    chain, final = steps(sql)
+
+    def named(text: str) -> str:
+        return re.sub(r"\b(FROM|JOIN) (" + "|".join(views) + r")\b", lambda m: f"{m[1]} {views[m[2]]}", text) if views else text
+
+    def select(text: str) -> DataFrame:
+        used = [f"{n} AS ({b})" for n, b in pending]
+        return spark.sql(("WITH " + ", ".join(used) + " " if used else "") + named(text))
+
+    for name, body in chain:
+        if name in SHARED:
+            view = f"_{name}_{tag}"
+            written(select(body), name).createOrReplaceTempView(view)
+            views[name] = view
+        else:
+            pending.append((name, named(body)))
+    result = select(final)
+    for view in views.values():
+        spark.catalog.dropTempView(view)
+    return result
