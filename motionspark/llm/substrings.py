@@ -11,8 +11,10 @@ document with that window, and the maximal spans of windows known from earlier d
 
 An automaton goes only to the task whose documents need it; broadcasting all of them would send the
 repeated part of the corpus to every executor, which has no bound. A leader with more than
-``hot_rows`` stretches is no longer a small shard. For those alone the windows are compared one by one:
-by two independent hashes of their words, aggregated before the shuffle.
+``hot_stretches`` different stretches is no longer a small shard. For those alone the windows are
+compared one by one, by two independent hashes of their words. Equal stretches are one from the start,
+and neighbouring windows go in blocks laid out from the leader, so that what hot documents share is one
+block; only the windows of different blocks are compared.
 """
 
 from __future__ import annotations
@@ -31,14 +33,15 @@ from .common import drop_staged, staged, table
 
 WINDOW = 50
 ANCHOR = 8
-HOT_ROWS = 1_000
+HOT_STRETCHES = 1_000
+BLOCK = 8
 LAST = 2**63 - 1  # stands for a null id
 
-SEGMENTS = "doc long, row long, key long, content long, at int, n int"
+SEGMENTS = "doc long, row long, key long, content long, at int, n int, lead int"
 
 
 def leaders(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Stretches of windows with one leader: (first window, last window, leader's hash).
+    """Stretches of windows with one leader: (first window, last window, leader's place and hash).
 
     ``first``: index of each text's first word, with the end.
     """
@@ -46,7 +49,7 @@ def leaders(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) ->
     grams = wh.runs_of(hashes, anchor)
     wide = window - anchor + 1
     if len(grams) < wide:
-        return none, none, np.zeros(0, np.uint64)
+        return none, none, none, np.zeros(0, np.uint64)
     least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
     reach = 1
     while reach * 2 <= wide:
@@ -62,7 +65,7 @@ def leaders(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) ->
     new[1:] &= ~valid[:-1] | (place[1:] != place[:-1])
     begin = np.flatnonzero(new)
     stop = np.flatnonzero(valid & np.append(new[1:] | ~valid[1:], True))
-    return begin, stop, grams[place[begin]]
+    return begin, stop, place[begin], grams[place[begin]]
 
 
 def segments(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -71,34 +74,38 @@ def segments(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
         docs, rows = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
         for a, b, texts in wh.batches(batch):
             hashes, first = wh.words(texts)
-            begin, stop, key = leaders(hashes, first, window, anchor)
+            begin, stop, lead, key = leaders(hashes, first, window, anchor)
             if not len(begin):
                 continue
             content = wh.spans_hash(wh.mixed(hashes), begin, stop + window, wh.Q)
             text = np.searchsorted(first, begin, "right") - 1
-            columns = [docs[a:b][text], rows[a:b][text], key.view(np.int64), content.view(np.int64), (begin - first[text]).astype(np.int32), (stop - begin + 1).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "row", "key", "content", "at", "n"])
+            columns = [docs[a:b][text], rows[a:b][text], key.view(np.int64), content.view(np.int64), (begin - first[text]).astype(np.int32), (stop - begin + 1).astype(np.int32), (lead - begin).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "row", "key", "content", "at", "n", "lead"])
 
 
-PIECES = "hot boolean, key long, content long, doc long, row long, at int, words string"
+PIECES = "hot boolean, key long, content long, doc long, words string, off int, block long, one long, two long"
 
 
 def pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows of PIECES: the words of wanted stretches; of hot ones each window's two hashes."""
+    """Rows of PIECES: the words of a stretch; of a hot one its windows, with their blocks and two hashes."""
+    names = [c.split()[0] for c in PIECES.split(", ")]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         out: list[tuple] = []
-        for text, doc, row, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "row", "wanted"))):
+        for text, doc, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "wanted"))):
             own = text.encode().split()  # by the same white space as WORD
-            hot = [w for w in wanted if w["hot"]]
-            if hot:
-                hashes, _ = wh.words([text.encode()])
-                at = np.unique(np.concatenate([np.arange(w["at"], w["at"] + w["n"]) for w in hot]))
-                one = wh.spans_hash(hashes, at, at + window, wh.Q).view(np.int64).tolist()
-                two = wh.spans_hash(wh.mixed(hashes), at, at + window, wh.P).view(np.int64).tolist()
-                out += [(True, x, y, doc, row, i, None) for x, y, i in zip(one, two, at.tolist())]
-            out += [(False, w["key"], w["content"], doc, row, w["at"], b" ".join(own[w["at"] : w["at"] + w["n"] + window - 1]).decode()) for w in wanted if not w["hot"]]
-        names = [c.split()[0] for c in PIECES.split(", ")]
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            hashes = wh.words([text.encode()])[0] if any(w["hot"] for w in wanted) else None
+            for w in wanted:
+                if not w["hot"]:
+                    out.append((False, w["key"], w["content"], doc, b" ".join(own[w["at"] : w["at"] + w["n"] + window - 1]).decode(), 0, None, None, None))
+                    continue
+                at = np.arange(w["at"], w["at"] + w["n"])
+                block = (at - w["at"] - w["lead"]) // BLOCK
+                first, size = np.unique(block, return_index=True, return_counts=True)[1:]
+                words = wh.spans_hash(hashes, at[first], at[first] + size - 1 + window, wh.Q) ^ np.uint64(w["key"] & (2**64 - 1))
+                columns = (at - at[first].repeat(size), words.repeat(size).view(np.int64), wh.spans_hash(hashes, at, at + window, wh.Q).view(np.int64), wh.spans_hash(wh.mixed(hashes), at, at + window, wh.P).view(np.int64))
+                starts = (at[first] - w["at"]).repeat(size)
+                out += [(True, w["key"], w["content"], doc, str(s), o, b, x, y) for s, o, b, x, y in zip(starts.tolist(), *(c.tolist() for c in columns))]
         columns = list(zip(*out)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -175,29 +182,27 @@ class SuffixAutomaton:
         return out
 
 
-OWNERS = "key long, content long, off int, n int, owner long"
+OWNERS = "key long, content long, off array<int>, n array<int>, owner array<long>"
 
 
 def owners(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
-    """Rows of OWNERS from pieces sorted by key: runs of windows of a stretch and their first document."""
+    """Rows of OWNERS from pieces sorted by key: runs of a stretch's windows and their first document."""
 
     def shard(group: list[tuple]) -> list[tuple]:
         if len(group) == 1:  # one stretch: whoever holds it first owns it
             key, content, doc, words = group[0]
-            return [(key, content, 0, words.count(" ") + 2 - window, doc)]
+            return [(key, content, [0], [words.count(" ") + 2 - window], [doc])]
         automaton, out = SuffixAutomaton(), []
         split = [words.split(" ") for _, _, _, words in group]
         for (_, _, doc, _), words in zip(group, split):
             automaton.add(words, doc)
         for (key, content, _, _), words in zip(group, split):
             found = automaton.first_owners(words, window)
-            start = 0
-            for i in range(1, len(found) + 1):
-                if i == len(found) or found[i] != found[start]:
-                    out.append((key, content, start, i - start, found[start]))
-                    start = i
+            starts = [i for i, x in enumerate(found) if i == 0 or x != found[i - 1]]
+            out.append((key, content, starts, [b - a for a, b in zip(starts, [*starts[1:], len(found)])], [found[i] for i in starts]))
         return out
 
+    names = [c.split()[0] for c in OWNERS.split(", ")]
     held: list[tuple] = []
     for frame in frames:
         out: list[tuple] = []
@@ -207,9 +212,9 @@ def owners(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame
                 held = []
             held.append(row)
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in OWNERS.split(", ")])
+            yield pd.DataFrame(out, columns=names)
     if held:
-        yield pd.DataFrame(shard(held), columns=[c.split()[0] for c in OWNERS.split(", ")])
+        yield pd.DataFrame(shard(held), columns=names)
 
 
 CLEANED = "n_words long, n_removed long, kept string, removed array<struct<start:int,end:int>>"
@@ -241,7 +246,7 @@ def clean(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_rows: int = HOT_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_stretches: int = HOT_STRETCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space), removed (spans of words).
 
     A word goes if a window of ``window`` consecutive words that covers it also starts in a document with
@@ -252,26 +257,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     found = staged(texts.select("doc", "row", "text").mapInArrow(partial(segments, window=window, anchor=anchor), SEGMENTS), "repeat-segments")
-    shared = found.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi")
-    wanted = staged(found.join(shared.select("key", (F.col("rows") > hot_rows).alias("hot")), "key"), "repeat-wanted")
+    shared = found.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
+    wanted = staged(found.join(shared, "key"), "repeat-wanted")
     drop_staged(found)
 
-    cold, hot = wanted.where("not hot"), wanted.where("hot")
-    holder = F.min(F.struct("doc", "row", "at", "n")).alias("r")
-    distinct = cold.groupBy("key", "content").agg(holder).select("r.*", "key", "content", F.lit(False).alias("hot"))
-    asked = distinct.unionByName(hot).groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n", "key", "content", "hot")).alias("wanted"))
-    # Repeated rows have the same pieces: one of them is enough.
+    # One holder of each different stretch, the first document, and the last one that has it.
+    distinct = staged(wanted.groupBy("key", "content").agg(F.min(F.struct("doc", "row", "at", "n", "lead")).alias("r"), F.max("doc").alias("last")).select("key", "content", "r.*", "last"), "repeat-distinct")
+    crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") > hot_stretches).select("key", F.lit(True).alias("_hot"))
+    judged = distinct.join(crowded, "key", "left").withColumn("hot", F.coalesce("_hot", F.lit(False)))
+    asked = judged.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n", "key", "content", "hot", "lead")).alias("wanted"))
     cut = staged(texts.select("doc", "row", "text").join(asked, ["doc", "row"]).mapInArrow(partial(pieces, window=window), PIECES), "repeat-pieces")
 
     shards = cut.where("not hot").select("key", "content", "doc", "words").repartition("key").sortWithinPartitions("key", "doc", "content")
-    first = shards.mapInPandas(partial(owners, window=window), OWNERS)
-    by_shard = cold.join(first.withColumnRenamed("n", "m"), ["key", "content"]).where("owner < doc").select("doc", "row", (F.col("at") + F.col("off")).alias("at"), F.col("m").alias("n"))
-    windows = cut.where("hot").select(F.col("key").alias("one"), F.col("content").alias("two"), "doc", "row", "at")
-    earliest = windows.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.max("doc").alias("hi")).where("owner < hi").drop("hi")
-    one_by_one = windows.join(earliest, ["one", "two"]).where("owner < doc").select("doc", "row", "at", F.lit(1).alias("n"))
-    spans = staged(by_shard.unionByName(one_by_one).distinct().groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "repeat-spans")
-    drop_staged(wanted)
-    drop_staged(cut)
+    by_shard = shards.mapInPandas(partial(owners, window=window), OWNERS)
+    # A block's windows are compared once for all the stretches that hold the block.
+    ends = distinct.select("key", "content", "last")
+    windows = cut.where("hot").join(ends, ["key", "content"])
+    blocks = windows.groupBy("block", "off", "one", "two").agg(F.min("doc").alias("doc"), F.max("last").alias("last"))
+    first = blocks.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.max("last").alias("last")).where("owner < last").select("one", "two", "owner")
+    of_block = blocks.join(first, ["one", "two"]).groupBy("block").agg(F.collect_list(F.struct("off", "owner")).alias("own"))
+    placed = cut.where("hot and off = 0").select("key", "content", "block", F.col("words").cast("int").alias("start"))
+    shift = lambda part: F.transform("own", lambda o: part(o))
+    one_by_one = placed.join(of_block, "block").select("key", "content", shift(lambda o: o["off"] + F.col("start")).alias("off"), shift(lambda o: F.lit(1)).alias("n"), shift(lambda o: o["owner"]).alias("owner"))
+    runs = F.arrays_zip("off", "n", "owner").alias("runs")
+    known = by_shard.unionByName(one_by_one).select("key", "content", runs)
+    own = F.transform(F.filter("runs", lambda r: r["owner"] < F.col("doc")), lambda r: F.struct((F.col("at") + r["off"]).alias("at"), r["n"].alias("n"))).alias("own")
+    lost = wanted.join(known, ["key", "content"]).select("doc", "row", own).where(F.size("own") > 0).distinct()
+    spans = staged(lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("own")).alias("spans")), "repeat-spans")
+    for used in (wanted, distinct, cut):
+        drop_staged(used)
     kind = dict(docs.dtypes)["doc_id"]
     return texts.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans").mapInArrow(partial(clean, window=window), f"doc_id {kind}, {CLEANED}")
 
