@@ -83,13 +83,13 @@ def segments(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "row", "key", "content", "at", "n", "lead"])
 
 
-PIECES = "hot boolean, key long, content long, doc long, words string, off int, block long, one long, two long"
+PIECES = "hot boolean, key long, content long, doc long, words string, off int, block long, one long, two long, last long"
 
 
 def pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows of PIECES: the words of a stretch; of a hot one its windows, with their blocks and two hashes."""
     names = [c.split()[0] for c in PIECES.split(", ")]
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
         out: list[tuple] = []
         for text, doc, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "wanted"))):
@@ -97,7 +97,7 @@ def pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
             hashes = wh.words([text.encode()])[0] if any(w["hot"] for w in wanted) else None
             for w in wanted:
                 if not w["hot"]:
-                    out.append((False, w["key"], w["content"], doc, b" ".join(own[w["at"] : w["at"] + w["n"] + window - 1]).decode(), 0, None, None, None))
+                    out.append((False, w["key"], w["content"], doc, b" ".join(own[w["at"] : w["at"] + w["n"] + window - 1]).decode(), 0, None, None, None, None))
                     continue
                 at = np.arange(w["at"], w["at"] + w["n"])
                 block = (at - w["at"] - w["lead"]) // BLOCK
@@ -105,7 +105,7 @@ def pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
                 words = wh.spans_hash(hashes, at[first], at[first] + size - 1 + window, wh.Q) ^ np.uint64(w["key"] & (2**64 - 1))
                 columns = (at - at[first].repeat(size), words.repeat(size).view(np.int64), wh.spans_hash(hashes, at, at + window, wh.Q).view(np.int64), wh.spans_hash(wh.mixed(hashes), at, at + window, wh.P).view(np.int64))
                 starts = (at[first] - w["at"]).repeat(size)
-                out += [(True, w["key"], w["content"], doc, str(s), o, b, x, y) for s, o, b, x, y in zip(starts.tolist(), *(c.tolist() for c in columns))]
+                out += [(True, w["key"], w["content"], doc, str(s), o, b, x, y, w["last"]) for s, o, b, x, y in zip(starts.tolist(), *(c.tolist() for c in columns))]
         columns = list(zip(*out)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
@@ -265,15 +265,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     distinct = staged(wanted.groupBy("key", "content").agg(F.min(F.struct("doc", "row", "at", "n", "lead")).alias("r"), F.max("doc").alias("last")).select("key", "content", "r.*", "last"), "repeat-distinct")
     crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") > hot_stretches).select("key", F.lit(True).alias("_hot"))
     judged = distinct.join(crowded, "key", "left").withColumn("hot", F.coalesce("_hot", F.lit(False)))
-    asked = judged.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n", "key", "content", "hot", "lead")).alias("wanted"))
+    asked = judged.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n", "key", "content", "hot", "lead", "last")).alias("wanted"))
     cut = staged(texts.select("doc", "row", "text").join(asked, ["doc", "row"]).mapInArrow(partial(pieces, window=window), PIECES), "repeat-pieces")
 
     shards = cut.where("not hot").select("key", "content", "doc", "words").repartition("key").sortWithinPartitions("key", "doc", "content")
     by_shard = shards.mapInPandas(partial(owners, window=window), OWNERS)
     # A block's windows are compared once for all the stretches that hold the block.
-    ends = distinct.select("key", "content", "last")
-    windows = cut.where("hot").join(ends, ["key", "content"])
-    blocks = windows.groupBy("block", "off", "one", "two").agg(F.min("doc").alias("doc"), F.max("last").alias("last"))
+    blocks = cut.where("hot").groupBy("block", "off", "one", "two").agg(F.min("doc").alias("doc"), F.max("last").alias("last"))
     first = blocks.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.max("last").alias("last")).where("owner < last").select("one", "two", "owner")
     of_block = blocks.join(first, ["one", "two"]).groupBy("block").agg(F.collect_list(F.struct("off", "owner")).alias("own"))
     placed = cut.where("hot and off = 0").select("key", "content", "block", F.col("words").cast("int").alias("start"))
