@@ -257,9 +257,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     found = staged(texts.select("doc", "row", "text").mapInArrow(partial(segments, window=window, anchor=anchor), SEGMENTS), "repeat-segments")
-    shared = found.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key")
+    # Written, so that the join below is a stage of its own and a hot leader's rows can be dealt to many tasks.
+    shared = staged(found.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("key"), "repeat-shared")
     wanted = staged(found.join(shared, "key"), "repeat-wanted")
     drop_staged(found)
+    drop_staged(shared)
 
     # One holder of each different stretch, the first document, and the last one that has it.
     distinct = staged(wanted.groupBy("key", "content").agg(F.min(F.struct("doc", "row", "at", "n", "lead")).alias("r"), F.max("doc").alias("last")).select("key", "content", "r.*", "last"), "repeat-distinct")
