@@ -252,10 +252,10 @@ def near_duplicates(
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents of ``docs`` that stay: one of each component, and one of repeated rows."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc"), F.col("row").alias("_row")).distinct()
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_row": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return keyed.join(kept, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).select(*docs.columns)
+    """The documents of ``docs`` that stay, with all their columns: one of each component, and one of rows alike in id and text."""
+    kept = near_duplicates(docs, **options).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row").distinct()
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.struct(*docs.columns).alias("own"))
+    return keyed.join(kept, ["doc", "row"], "left_semi").dropDuplicates(["doc", "row"]).select(*[F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def op5_neardup(spark, sf_dir: str) -> DataFrame:
@@ -263,7 +263,8 @@ def op5_neardup(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN [ws[1]]
              ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
 n AS (SELECT doc_id, len(sh) AS n, hash(list_sort(sh)) AS h FROM s),

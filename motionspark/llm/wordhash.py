@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
@@ -83,11 +84,10 @@ def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def batches(rows: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int, list[bytes]]]:
-    """Slices of a record batch of about BATCH_BYTES of text: start, end and the texts in UTF-8."""
+    """Slices of a record batch of about BATCH_BYTES of text: start, end and the texts in UTF-8, null as empty."""
     column = rows.column(text).cast(pa.binary())
     start = size = 0
-    for i, n in enumerate(column.value_lengths() if hasattr(column, "value_lengths") else map(len, column.to_pylist())):
-        n = (n.as_py() if hasattr(n, "as_py") else n) or 0
+    for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
         if size and size + n > BATCH_BYTES:
             yield start, i, [t or b"" for t in column.slice(start, i - start).to_pylist()]
             start, size = i, 0
