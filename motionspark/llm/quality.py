@@ -11,6 +11,7 @@ neighbours vote with the weight of their similarity.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,41 +27,39 @@ PAIRS, FORMS, RANK, NEIGHBOURS, SHARPNESS = 2_048, 8, 64, 25, 8
 TERMS = PAIRS + FORMS
 THRESHOLD = 0.3
 
-_slots = (np.arange(65_536, dtype=np.uint64) * np.uint64(wh.P) >> np.uint64(40)).astype(np.int64) % PAIRS
-_mark = np.zeros(256, bool)
-_mark[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_slots = (np.arange(65_536, dtype=np.uint64) * np.uint64(wh.P) >> np.uint64(40)).astype(np.intp) % PAIRS
+#: Rows of counts that are held at once.
+ROWS = 512
+_forms = np.zeros((256, 4))  # marks, digits, capitals, line ends
+_forms[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], 0] = 1
+_forms[48:58, 1] = _forms[65:91, 2] = _forms[10, 3] = 1
 
 
 def term_counts(texts: list[bytes]) -> np.ndarray:
     """Shares of the terms of each text, one row each."""
-    n = len(texts)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    owner = np.repeat(np.arange(n), sizes)
-    out = np.zeros((n, TERMS), np.float32)
-    if len(raw):
-        pairs = _slots[raw[:-1].astype(np.int64) * 256 + raw[1:]]
-        inside = owner[:-1] == owner[1:]
-        out[:, :PAIRS] = np.bincount((owner[:-1] * PAIRS + pairs)[inside], minlength=n * PAIRS).reshape(n, PAIRS)
-        out[:, :PAIRS] /= np.maximum(sizes - 1, 1)[:, None]
-        for k, what in enumerate((_mark[raw], (raw >= 48) & (raw < 58), (raw >= 65) & (raw < 91), raw == 10)):
-            out[:, PAIRS + k] = np.bincount(owner, what, n) / np.maximum(sizes, 1)
-    hashes, first = wh.words(texts)
-    of = np.repeat(np.arange(n), np.diff(first))
-    words = np.maximum(np.diff(first), 1)
-    if len(hashes):
-        again = np.append(False, (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1]))
-        out[:, PAIRS + 4] = np.bincount(of, again, n) / words
-        distinct = np.unique(np.stack([of.astype(np.uint64), hashes]), axis=1)[0].astype(np.int64)
-        out[:, PAIRS + 5] = 1 - np.bincount(distinct, minlength=n) / words
-        out[:, PAIRS + 6] = np.minimum(words / np.maximum(sizes, 1), 1)
-    out[:, PAIRS + 7] = sizes == 0
+    out = np.zeros((len(texts), TERMS), np.float32)
+    for row, text in zip(out, texts):
+        raw = np.frombuffer(text, np.uint8)
+        if not len(raw):
+            row[PAIRS + 7] = 1
+            continue
+        pairs = raw[:-1].astype(np.uint16)
+        pairs <<= 8
+        pairs |= raw[1:]
+        row[:PAIRS] = np.bincount(_slots[pairs], minlength=PAIRS)
+        row[:PAIRS] /= max(len(pairs), 1)
+        row[PAIRS : PAIRS + 4] = np.bincount(raw, minlength=256) @ _forms / len(raw)
+        words = text.split()  # by the white space of WORD
+        if words:
+            row[PAIRS + 4] = sum(map(eq, words, words[1:])) / len(words)
+            row[PAIRS + 5] = 1 - len(set(words)) / len(words)
+            row[PAIRS + 6] = len(words) / len(raw)
     return out
 
 
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     for batch in batches:
-        for a, b, texts in wh.batches(batch):
+        for a, b, texts in wh.batches(batch, rows=ROWS):
             yield batch.slice(a, b - a), term_counts(texts)
 
 

@@ -83,12 +83,12 @@ def runs_of(hashes: np.ndarray, k: int) -> np.ndarray:
     return mixed(out)
 
 
-def batches(rows: pa.RecordBatch, text: str = "text") -> Iterator[tuple[int, int, list[bytes]]]:
-    """Slices of a record batch of about BATCH_BYTES of text: start, end and the texts in UTF-8, null as empty."""
-    column = rows.column(text).cast(pa.binary())
+def batches(batch: pa.RecordBatch, text: str = "text", rows: int = 1 << 30) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Slices of a record batch of about BATCH_BYTES of text and at most ``rows`` rows: start, end and the texts in UTF-8, null as empty."""
+    column = batch.column(text).cast(pa.binary())
     start = size = 0
     for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
-        if size and size + n > BATCH_BYTES:
+        if i > start and (size + n > BATCH_BYTES or i - start >= rows):
             yield start, i, [t or b"" for t in column.slice(start, i - start).to_pylist()]
             start, size = i, 0
         size += n
