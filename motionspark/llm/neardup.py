@@ -2,9 +2,11 @@
 
 Documents are branched by minwise tokens: in each of ``trees`` independent trees a node's documents go to
 the child named by their least token under that level's hash, and nodes of at most ``leaf`` documents are
-compared exhaustively. Two sets of similarity s part at each level with probability 1 - s, and most nodes
-are small after one level, so a pair at the threshold of 0.8 is missed by all 8 trees with probability
-0.2 ** 8 (one level) to 0.36 ** 8 (two levels).
+compared exhaustively. Two sets of similarity s part at each level with probability 1 - s. Documents that
+any tree leads past its second level go through ``extra`` further trees. So a pair at the threshold of 0.8
+either meets, or parts within two levels in each of the 8 trees (0.36 ** 8), or parts within four levels in
+each of the 24 further ones (0.59 ** 24): it is missed with probability 0.00029 at most, at any depth. The
+estimate below adds 0.00003.
 
 The comparison at a leaf uses the documents' minwise values (an estimate of similarity) and keeps a
 spanning forest of what may be similar, with a margin below the threshold, so a group of copies gives
@@ -29,6 +31,7 @@ from . import wordhash as wh
 from .common import drop_staged, staged, table
 
 TREES, LEVELS = 8, 4
+EXTRA = 24  # further trees for documents past the second level
 LEAF = 64
 #: The least share of equal minwise values at which two documents may still be linked: with 32 values
 #: more than four standard deviations below the threshold.
@@ -36,7 +39,7 @@ MARGIN = 0.5
 BLOCK = 500
 LAST = 2**63 - 1  # stands for a null id
 
-_seeds = np.random.default_rng(23).integers(1, 2**63, TREES * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_seeds = np.random.default_rng(23).integers(1, 2**63, (TREES + EXTRA) * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -73,8 +76,8 @@ def sketches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
 def minwise(shingles: np.ndarray) -> bytes:
     """For each tree and level the upper 32 bits of the least hash of the set."""
     low = np.full(len(_seeds), 2**64 - 1, np.uint64)
-    for at in range(0, len(shingles), 4096):
-        x = shingles[at : at + 4096, None] * _seeds
+    for at in range(0, len(shingles), 1024):
+        x = shingles[at : at + 1024, None] * _seeds
         x ^= x >> np.uint64(32)
         x *= np.uint64(wh.Q)
         np.minimum(low, x.min(axis=0), out=low)
@@ -135,13 +138,13 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def may_link(classes: DataFrame, trees: int, levels: int, leaf: int, margin: float, similarity: float) -> DataFrame:
-    """Links (a, b) between classes whose minwise values leave room for the wanted similarity."""
+def placed_by_tree(classes: DataFrame, trees: range, levels: int, leaf: int) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves (node, size, doc) of the given trees, and the documents (doc) that any of them leads past its second level."""
     value = lambda i: F.substring("minwise", i * 4 + 1, 4)
-    paths = [F.struct(F.lit(t).alias("tree"), F.array(*[value(t * levels + d) for d in range(levels)]).alias("tokens")) for t in range(trees)]
+    paths = [F.struct(F.lit(t).alias("tree"), F.array(*[value(t * levels + d) for d in range(levels)]).alias("tokens")) for t in trees]
     rows = classes.where("n_shingles > 0").select("doc", F.explode(F.array(*paths)).alias("p")).select("doc", "p.tree", "p.tokens")
-    rows = rows.withColumn("node", F.xxhash64("tree", F.col("tokens")[0]))
-    leaves, open_rows = None, rows
+    open_rows = rows.withColumn("node", F.xxhash64("tree", F.col("tokens")[0]))
+    leaves, deep = None, None
     for depth in range(levels):
         sizes = open_rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         placed = staged(open_rows.join(sizes, "node"), "near-nodes")
@@ -150,14 +153,26 @@ def may_link(classes: DataFrame, trees: int, levels: int, leaf: int, margin: flo
         leaves = done if leaves is None else leaves.unionByName(done)
         if depth == levels - 1:
             break
-        open_rows = placed.where(F.col("size") > leaf).select("doc", "tree", "tokens", F.xxhash64("node", F.col("tokens")[depth + 1]).alias("node"))
+        large = placed.where(F.col("size") > leaf)
+        open_rows = large.select("doc", "tree", "tokens", F.xxhash64("node", F.col("tokens")[depth + 1]).alias("node"))
         if not open_rows.limit(1).count():
             break
+        if depth == 1:
+            deep = large.select("doc").distinct()
+    return leaves, deep
+
+
+def may_link(classes: DataFrame, trees: int, levels: int, leaf: int, margin: float, similarity: float, extra: int = EXTRA) -> DataFrame:
+    """Links (a, b) between classes whose minwise values leave room for the wanted similarity."""
+    leaves, deep = placed_by_tree(classes, range(trees), levels, leaf)
+    if deep is not None and extra:
+        leaves = leaves.unionByName(placed_by_tree(classes.join(deep, "doc", "left_semi"), range(trees, trees + extra), levels, leaf)[0])
     # What is still large at the last level agrees in every token of its path: all of it may be linked.
     small, large = leaves.where(F.col("size") <= 4 * leaf), leaves.where(F.col("size") > 4 * leaf)
     firsts = large.groupBy("node").agg(F.min("doc").alias("a"))
     star = large.join(firsts, "node").select("a", F.col("doc").alias("b")).where("a <> b")
-    sketched = small.select("node", "doc").join(classes.select("doc", "n_shingles", "minwise"), "doc").repartition("node").sortWithinPartitions("node", "doc")
+    estimate = F.substring("minwise", 1, 4 * trees * levels).alias("minwise")
+    sketched = small.select("node", "doc").join(classes.select("doc", "n_shingles", estimate), "doc").repartition("node").sortWithinPartitions("node", "doc")
     close = sketched.select("node", "doc", "n_shingles", "minwise").mapInPandas(partial(forest, margin=margin, similarity=similarity), "a long, b long")
     return close.unionByName(star).distinct()
 

@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from llm_cases import ODD, documents, near_components
 
-from motionspark.llm.neardup import components, near_duplicates, without_near_duplicates
+from motionspark.llm.neardup import components, may_link, near_duplicates, without_near_duplicates
 
 
 def got(df):
@@ -34,6 +35,21 @@ def test_large_leaf_group(spark):
     assert set(found.values()) == {(120, 0)}
 
 
+def test_deep_pairs_meet(spark):
+    """Pairs at 0.8 whose nodes are split down to the last level; 8 trees alone missed 14 of them."""
+    draw, pairs = np.random.default_rng(5), 1500
+    shared = draw.integers(0, 2**32, (pairs, 128), dtype=np.uint64)
+    for level in range(3):
+        shared[:, level::4] %= 4
+    rows = []
+    for i in range(pairs):
+        other = np.where(draw.random(128) < 0.8, shared[i], draw.integers(0, 2**32, 128, dtype=np.uint64))
+        rows += [(2 * i, 10, bytearray(shared[i].astype("<u4").tobytes())), (2 * i + 1, 10, bytearray(other.astype("<u4").tobytes()))]
+    classes = spark.createDataFrame(rows, "doc long, n_shingles int, minwise binary")
+    found = {(r.a, r.b) for r in may_link(classes, 8, 4, 8, 0.5, 0.8).collect()}
+    assert sum((2 * i, 2 * i + 1) not in found for i in range(pairs)) <= 2
+
+
 def test_odd_documents(spark):
     rows = [(i, t, s) for i, t, s in ODD if i is not None]
     found = near_duplicates(documents(spark, ODD), words=2)
