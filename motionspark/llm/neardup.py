@@ -217,7 +217,8 @@ def confirm(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
             if key != task:
                 out += linked([d for d, _ in held], [np.frombuffer(p, np.uint64) for _, p in held], percent)
                 held, task = [], key
-            held.append((doc, packed))
+            if not held or held[-1][0] != doc:  # rows alike in id and text send the same set
+                held.append((doc, packed))
         if out:
             yield pd.DataFrame(out, columns=["a", "b"])
     out = linked([d for d, _ in held], [np.frombuffer(p, np.uint64) for _, p in held], percent)
@@ -233,37 +234,42 @@ def near_duplicates(
     ASCII letters are lower-cased; a document's set holds its distinct shingles of ``words`` words, or
     its whole sequence if it has fewer. Two documents are linked if 100 * common >= percent * union.
     ``component_id`` is the smallest doc_id that links reach, the document's own included, and ``kept``
-    says that it is the document's own. ``row`` is the hash of the text.
+    marks the document of that id. ``row`` is the hash of the text.
 
-    Defined cases: texts without words have the empty set, are linked with nothing and kept; rows with
-    equal doc_id are one document; null ids count as one document, the largest id, and show as null;
+    Defined cases: texts without words have the empty set, are linked with nothing and kept; rows that
+    share a doc_id or have none are linked by their texts alone, never by the id; null ids come after all
+    others and show as null; of rows with the component's smallest id the text of the least hash is kept;
     other columns are ignored; an empty table gives no rows.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     sketch = staged(texts.mapInArrow(partial(sketches, words=words), SKETCH), "near-sketch")
     same = ["n_shingles", "one", "two"]
     classes = staged(
-        sketch.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc", "row", "minwise")).alias("r")).select(*same, "r.doc", "r.row", "r.minwise"), "near-classes"
+        sketch.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc", "row", "minwise")).alias("r")).select(*same, "r.*", F.monotonically_increasing_id().alias("class")), "near-classes"
     )
-    plausible = components(may_link(classes, trees, levels, leaf, margin, percent / 100), "near-may")
+    # Links join classes, by a key of their own: ids may be repeated or missing.
+    keyed = classes.select(F.col("class").alias("doc"), "n_shingles", "minwise")
+    plausible = components(may_link(keyed, trees, levels, leaf, margin, percent / 100), "near-may")
     sizes = plausible.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / F.lit(block / 2)).cast("int")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     # Up to a block's members a group is one task; beyond it each pair of half blocks is one.
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("own"))
     tasks = F.when(F.col("size") <= block, F.array(F.xxhash64("root"))).otherwise(F.transform(others, lambda i: F.xxhash64("root", F.least(i, F.col("own")), F.greatest(i, F.col("own")))))
-    asked = plausible.withColumnRenamed("node", "doc").join(sizes, "root").withColumn("blocks", blocks).withColumn("own", own).select("doc", tasks.alias("tasks"))
-    members = classes.join(asked, "doc").select("doc", "row", "tasks")
-    full = texts.join(members, ["doc", "row"]).select("doc", "tasks", "text").mapInArrow(partial(sets_of, words=words), "doc long, tasks array<long>, shingles binary")
+    asked = plausible.withColumnRenamed("node", "class").join(sizes, "root").withColumn("blocks", blocks).withColumn("own", own).select("class", tasks.alias("tasks"))
+    members = classes.join(asked, "class").select("doc", "row", "class", "tasks")
+    full = texts.join(members, ["doc", "row"]).select(F.col("class").alias("doc"), "tasks", "text").mapInArrow(partial(sets_of, words=words), "doc long, tasks array<long>, shingles binary")
     by_task = full.select(F.explode("tasks").alias("task"), "doc", "shingles").repartition("task").sortWithinPartitions("task", "doc")
     links = staged(by_task.mapInPandas(partial(confirm, percent=percent), "a long, b long").where("a <> b"), "near-confirmed")
     found = components(links, "near-links")
-    # A class carries its component to its documents.
-    root = F.coalesce("root", "doc").alias("component")
-    of_class = classes.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(*same, root)
-    labelled = sketch.select("doc", "row", *same).join(of_class, same, "left").withColumn("component", F.coalesce("component", "doc"))
+    # A class carries its component's first document (id and text) to its documents.
+    rooted = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select(*same, "doc", "row", F.coalesce("root", "class").alias("root"))
+    firsts = rooted.groupBy("root").agg(F.min(F.struct("doc", "row")).alias("first"))
+    of_class = rooted.select(*same, "root").join(firsts, "root").select(*same, "first")
+    first = F.coalesce("first", F.struct("doc", "row"))
+    labelled = sketch.select("doc", "row", *same).join(of_class, same, "left").withColumn("first", first).withColumn("component", F.col("first.doc"))
     shown = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return labelled.select(shown("doc").alias("doc_id"), "row", F.col("n_shingles").cast("long").alias("n_shingles"), shown("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return labelled.select(shown("doc").alias("doc_id"), "row", F.col("n_shingles").cast("long").alias("n_shingles"), shown("component").alias("component_id"), ((F.col("doc") == F.col("first.doc")) & (F.col("row") == F.col("first.row"))).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:

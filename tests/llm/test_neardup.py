@@ -58,6 +58,15 @@ def test_odd_documents(spark):
     assert found.count() == len(ODD)
 
 
+def test_ids_do_not_link(spark):
+    """Texts that share an id or have none are linked by their words only."""
+    base = lambda name: [f"{name}{i}" for i in range(60)]
+    text = lambda name, *more: " ".join([*base(name), *more])
+    rows = [(7, text("a"), "s"), (None, text("a", "x"), "s"), (None, text("b"), "s"), (None, text("c"), "s"), (None, text("c", "y"), "s"), (8, text("b", "z"), "s"), (20, text("d"), "s"), (20, text("e"), "s"), (3, text("e", "v"), "s")]
+    left = sorted((r.text.split()[0], r.doc_id or 0) for r in without_near_duplicates(documents(spark, rows), words=2).collect())
+    assert left == [("a0", 7), ("b0", 8), ("c0", 0), ("d0", 20), ("e0", 3)]
+
+
 def test_one_of_each_group_stays(spark):
     docs = documents(spark, ODD)
     left = without_near_duplicates(docs, words=5)
