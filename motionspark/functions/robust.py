@@ -59,12 +59,3 @@ def circular_medoid(values: Column, period: float = 180.0) -> Column:
     cost = lambda v: F.aggregate(values, F.lit(0.0), lambda a, x: a + circular_distance(v, x, period))
     scored = F.transform(values, lambda v, i: F.struct(cost(v).alias("cost"), i.alias("i"), v.alias("v")))
     return F.array_min(scored)["v"]
-
-
-def speed_limited(points: Column, limit: float) -> Column:
-    """Of an array of struct(frame, y), in order, those that move at most ``limit`` a frame since the last kept one."""
-    kind = points
-    keep = lambda acc, p: F.when(
-        (F.size(acc) == 0) | (F.abs(p["y"] - F.element_at(acc, -1)["y"]) <= limit * (p["frame"] - F.element_at(acc, -1)["frame"])), F.concat(acc, F.array(p))
-    ).otherwise(acc)
-    return F.aggregate(kind, F.filter(points, lambda p: F.lit(False)), keep)

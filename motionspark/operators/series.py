@@ -5,10 +5,15 @@ All windows of an operator share one partitioning and order, so a series is shuf
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, robust
+from ..staging import written
 
 
 def _over(by: list[str], at: str):
@@ -104,11 +109,61 @@ def across_outliers(df: DataFrame, by: list[str], x: str, least: int = 8, floor:
     return df.join(bounds, by).where(~((F.col("_n") >= least) & far)).select(*df.columns)
 
 
+def _within_limit(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """Rows kept of series sorted by key and frame (the last two columns: frame, y); carries the last point kept."""
+    key, last = None, None
+    for batch in batches:
+        *by, frames, ys = [c.to_pylist() for c in batch.columns]
+        keep = []
+        for i, (of, frame, y) in enumerate(zip(zip(*by), frames, ys)):
+            if of != key:
+                key, last = of, None
+            if last is None or abs(y - last[1]) <= limit * (frame - last[0]):
+                last = (frame, y)
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
 def speed_limit(df: DataFrame, by: list[str], frame: str, y: str, limit: float = 60.0) -> DataFrame:
-    """Rows that moved more than ``limit`` a frame since the last row kept go; a fold over each key's sorted series."""
-    points = F.array_sort(F.collect_list(F.struct(F.col(frame).alias("frame"), F.col(y).alias("y"))))
-    kept = df.where(F.col(y).isNotNull()).groupBy(*by).agg(robust.speed_limited(points, limit).alias("kept"))
-    return kept.select(*by, F.explode("kept").alias("p")).select(*by, F.col("p.frame").alias(frame), F.col("p.y").alias(y))
+    """Rows that moved more than ``limit`` a frame since the last row kept go; rows without a frame or y take no part.
+
+    Each key's sorted series streams through one task that holds one batch and the last point kept.
+    """
+    rows = df.where(F.col(y).isNotNull() & F.col(frame).isNotNull()).select(*by, frame, y)
+    return rows.repartition(*by).sortWithinPartitions(*by, frame, y).mapInArrow(partial(_within_limit, limit=limit), rows.schema)
+
+
+def upper_median(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
+    """by, ``name``: the element at floor(n / 2) of each key's values in order, nulls left out.
+
+    Values are counted, the counts summed over value ranges, and only the range that holds the median is
+    ordered within one task, so a key with any number of rows is spread over all ranges.
+    """
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = written(counts.repartitionByRange(*by, x).withColumn("_range", F.spark_partition_id()), "median-ranges")
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    half = F.floor(F.sum("_sum").over(Window.partitionBy(*by)) / 2)
+    placed = sums.select(*by, "_range", "_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), half.alias("_half"))
+    held = placed.where((F.col("_before") <= F.col("_half")) & (F.col("_half") < F.col("_before") + F.col("_sum")))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*by, "_range"]]
+    upto = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.alias("r").join(held.alias("h"), same).select(*[F.col(f"r.{c}") for c in [*by, x]], "_n", "_before", "_half").withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
+    found = within.where("_upto > _half").groupBy(*by).agg(F.min(x).alias(name)).alias("m")
+    keys = df.select(*by).distinct().alias("k")
+    return keys.join(found, [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by], "left").select(*[F.col(f"k.{c}") for c in by], name)
+
+
+def medoid(df: DataFrame, by: list[str], at: str, angle: str, period: float = 180.0) -> DataFrame:
+    """by, medoid: each key's angle with the least sum of circular distances to all its rows, the first of equals.
+
+    Rows are counted by distinct angle first, so work grows with the square of a key's distinct angles only.
+    """
+    counts = df.where(F.col(angle).isNotNull()).groupBy(*by, angle).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
+    points = counts.groupBy(*by).agg(F.collect_list(F.struct(F.col(angle).alias("a"), "n", "first")).alias("_points"))
+    cost = lambda p: F.aggregate("_points", F.lit(0.0), lambda s, q: s + q["n"] * robust.circular_distance(p["a"], q["a"], period))
+    scored = F.transform("_points", lambda p: F.struct(cost(p).alias("cost"), p["first"].alias("first"), p["a"].alias("a")))
+    return points.select(*by, F.array_min(scored)["a"].alias("medoid"))
 
 
 def fit_parabola(df: DataFrame, by: list[str], x: Column, y: Column) -> DataFrame:

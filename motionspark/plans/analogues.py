@@ -34,7 +34,9 @@ def session_stats_by_event_type(spark, sf_dir):
 
 
 def upper_median_by_flag(spark, sf_dir):
-    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(robust.upper_median(F.col("l_quantity")).alias("upper_median"), robust.upper_median(F.col("l_extendedprice")).alias("price_median"))
+    items, by = _table(spark, sf_dir, "lineitem"), ["l_returnflag"]
+    prices = series.upper_median(items, by, "l_extendedprice", "price_median").withColumnRenamed("l_returnflag", "flag")
+    return series.upper_median(items, by, "l_quantity", "upper_median").join(prices, F.col("l_returnflag").eqNullSafe(F.col("flag"))).drop("flag")
 
 
 def percentile_interp(spark, sf_dir):
@@ -91,8 +93,8 @@ def smoothed_normal(spark, sf_dir):
 
 
 def circ_medoid(spark, sf_dir):
-    angles = events(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", F.pmod(F.floor(F.col("value") * 7), F.lit(180)).cast("double").alias("a")))), lambda p: p["a"]).alias("angles"))
-    return angles.select("user_id", robust.circular_medoid(F.col("angles")).alias("medoid"))
+    angles = events(spark, sf_dir).withColumn("a", F.pmod(F.floor(F.col("value") * 7), F.lit(180)).cast("double"))
+    return series.medoid(angles, ["user_id"], "ts", "a")
 
 
 def quadfit_coeffs(spark, sf_dir):
