@@ -2,53 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import fresh_path, shared_dir, written as staged  # noqa: F401
+
 #: Characters that separate words: space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, by Spark's reader (any file system Spark knows)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    global _own_dir
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="motionspark-")
-    return _own_dir
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the session's file system closes."""
-    path = f"{shared_dir(spark)}/motionspark/{name}-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: later stages start from files that survive the loss of any executor, and a
-    Python stage used by two branches runs once.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a staged table that nothing reads any more."""
     spark = df.sparkSession
@@ -61,8 +28,3 @@ def drop_staged(df: DataFrame) -> None:
 def word_count(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def partitions_for(spark: SparkSession, least: int = 1) -> int:
-    """Shuffle partitions to ask for: the session's setting, so it scales with the deployment."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

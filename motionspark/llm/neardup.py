@@ -51,7 +51,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
         if b - a >= words:
             out.append(np.unique(grams[a : b - words + 1]))
         else:
-            out.append(wh.spans_hash(hashes, np.array([a]), np.array([b]), wh.Q) if b > a else hashes[:0])
+            out.append(wh.runs_of(hashes[a:b], b - a) if b > a else hashes[:0])
     return out
 
 

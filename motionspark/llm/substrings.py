@@ -10,15 +10,17 @@ through it for matching statistics. Where a match is at least a window long, the
 document with that window, and the maximal spans of windows known from earlier documents are removed.
 
 An automaton goes only to the task whose documents need it; broadcasting all of them would send the
-repeated part of the corpus to every executor, which has no bound. A leader with more than
-``hot_stretches`` different stretches is no longer a small shard. For those alone the windows are
-compared one by one, by two independent hashes of their words. Equal stretches are one from the start,
-and neighbouring windows go in blocks laid out from the leader, so that what hot documents share is one
-block; only the windows of different blocks are compared.
+repeated part of the corpus to every executor, which has no bound. A shard of more than ``most`` different
+stretches is parted by content: its windows are dealt by how far the leader lies from their start, in ranges
+of ``WIDTHS`` places, and by the words that all windows of such a range share. Equal windows always stay
+together, and at a width of one place a shard is a single window, so every shard fits a task whatever a
+leader's number of stretches, and every one goes through an automaton. Stretches are told apart by a
+cryptographic digest of their words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,11 +35,11 @@ from .common import drop_staged, staged, table
 
 WINDOW = 50
 ANCHOR = 8
-HOT_STRETCHES = 1_000
-BLOCK = 8
+MOST = 1_000  # different stretches of a shard
+WIDTHS = (6, 1)
 LAST = 2**63 - 1  # stands for a null id
 
-SEGMENTS = "doc long, row long, key long, content long, at int, n int, lead int"
+SEGMENTS = "doc long, row long, key long, content binary, at int, n int, lead int"
 
 
 def leaders(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -68,8 +70,13 @@ def leaders(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) ->
     return begin, stop, place[begin], grams[place[begin]]
 
 
+def digest(words: bytes) -> bytes:
+    """The address of a sequence of words, joined by one space."""
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def segments(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Rows of SEGMENTS: the stretches of each document, with a hash of their words."""
+    """Rows of SEGMENTS: the stretches of each document, with the digest of their words."""
     for batch in batches:
         docs, rows = batch.column("doc").to_numpy(), batch.column("row").to_numpy()
         for a, b, texts in wh.batches(batch):
@@ -77,37 +84,57 @@ def segments(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Ite
             begin, stop, lead, key = leaders(hashes, first, window, anchor)
             if not len(begin):
                 continue
-            content = wh.spans_hash(wh.mixed(hashes), begin, stop + window, wh.Q)
+            own = [w for t in texts for w in t.split()]  # by the same white space as WORD
+            ends = np.cumsum([len(w) + 1 for w in own])
+            joined = b" ".join(own)
+            starts, stops = (ends[begin] - [len(own[i]) + 1 for i in begin]).tolist(), (ends[stop + window - 1] - 1).tolist()
+            content = [digest(joined[x:y]) for x, y in zip(starts, stops)]
             text = np.searchsorted(first, begin, "right") - 1
-            columns = [docs[a:b][text], rows[a:b][text], key.view(np.int64), content.view(np.int64), (begin - first[text]).astype(np.int32), (stop - begin + 1).astype(np.int32), (lead - begin).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "row", "key", "content", "at", "n", "lead"])
+            columns = [docs[a:b][text], rows[a:b][text], key.view(np.int64), content, (begin - first[text]).astype(np.int32), (stop - begin + 1).astype(np.int32), (lead - begin).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) if c is content else pa.array(c) for c in columns], ["doc", "row", "key", "content", "at", "n", "lead"])
 
 
-PIECES = "hot boolean, key long, content long, doc long, words string, off int, block long, one long, two long, last long"
+#: A stretch: its words joined by one space, the leader's place among them, and the first document that holds it.
+PIECES = "key long, content binary, doc long, words string, lead int"
+_piece_names = [c.split()[0] for c in PIECES.split(", ")]
+_piece_kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32()]
 
 
 def pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows of PIECES: the words of a stretch; of a hot one its windows, with their blocks and two hashes."""
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    """Rows of PIECES: the wanted stretches of each text; of neighbouring rows that are alike, the first gives them."""
+    before = None
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "text", "wanted"))):
+            if (doc, row) == before:
+                continue
+            before, own = (doc, row), text.encode().split()
+            out += [(w["key"], w["content"], doc, b" ".join(own[w["at"] : w["at"] + w["n"] + window - 1]).decode(), w["lead"]) for w in wanted]
+        columns = list(zip(*out)) or [[]] * len(_piece_names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _piece_kinds)], _piece_names)
+
+
+CUT = f"whole_key long, whole_content binary, off int, {PIECES}"
+
+
+def parted(batches: Iterator[pa.RecordBatch], window: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Rows of CUT: a stretch's windows whose leader lies in one range of ``width`` places, as a stretch of its own.
+
+    Its key is made of the words that all windows of the range share, so equal windows keep an equal key.
+    """
     for batch in batches:
         out: list[tuple] = []
-        for text, doc, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "doc", "wanted"))):
-            own = text.encode().split()  # by the same white space as WORD
-            hashes = wh.words([text.encode()])[0] if any(w["hot"] for w in wanted) else None
-            for w in wanted:
-                if not w["hot"]:
-                    out.append((False, w["key"], w["content"], doc, b" ".join(own[w["at"] : w["at"] + w["n"] + window - 1]).decode(), 0, None, None, None, None))
-                    continue
-                at = np.arange(w["at"], w["at"] + w["n"])
-                block = (at - w["at"] - w["lead"]) // BLOCK
-                first, size = np.unique(block, return_index=True, return_counts=True)[1:]
-                words = wh.spans_hash(hashes, at[first], at[first] + size - 1 + window, wh.Q) ^ np.uint64(w["key"] & (2**64 - 1))
-                columns = (at - at[first].repeat(size), words.repeat(size).view(np.int64), wh.spans_hash(hashes, at, at + window, wh.Q).view(np.int64), wh.spans_hash(wh.mixed(hashes), at, at + window, wh.P).view(np.int64))
-                starts = (at[first] - w["at"]).repeat(size)
-                out += [(True, w["key"], w["content"], doc, str(s), o, b, x, y, w["last"]) for s, o, b, x, y in zip(starts.tolist(), *(c.tolist() for c in columns))]
-        columns = list(zip(*out)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        for key, content, doc, words, lead in zip(*(batch.column(c).to_pylist() for c in _piece_names)):
+            own = words.split(" ")
+            last = len(own) - window  # the last window
+            for part in range(max(0, lead - last) // width, lead // width + 1):
+                from_, to = max(0, lead - (part + 1) * width + 1), min(last, lead - part * width)
+                shared = own[lead - part * width : lead - (part + 1) * width + 1 + window]
+                name = digest(f"{key} {part} {' '.join(shared)}".encode())
+                held = " ".join(own[from_ : to + window])
+                out.append((key, content, from_, int.from_bytes(name[:8], "little", signed=True), digest(held.encode()), doc, held, lead - from_))
+        columns = list(zip(*out)) or [[]] * (3 + len(_piece_names))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.binary(), pa.int32(), *_piece_kinds])], ["whole_key", "whole_content", "off", *_piece_names])
 
 
 class SuffixAutomaton:
@@ -182,16 +209,13 @@ class SuffixAutomaton:
         return out
 
 
-OWNERS = "key long, content long, off array<int>, n array<int>, owner array<long>"
+OWNERS = "key long, content binary, off array<int>, n array<int>, owner array<long>"
 
 
 def owners(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
     """Rows of OWNERS from pieces sorted by key: runs of a stretch's windows and their first document."""
 
     def shard(group: list[tuple]) -> list[tuple]:
-        if len(group) == 1:  # one stretch: whoever holds it first owns it
-            key, content, doc, words = group[0]
-            return [(key, content, [0], [words.count(" ") + 2 - window], [doc])]
         automaton, out = SuffixAutomaton(), []
         split = [words.split(" ") for _, _, _, words in group]
         for (_, _, doc, _), words in zip(group, split):
@@ -246,7 +270,40 @@ def clean(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         )
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot_stretches: int = HOT_STRETCHES) -> DataFrame:
+def judged(stretches: DataFrame, most: int) -> DataFrame:
+    """Adds ``hot``: whether a key has more than ``most`` stretches."""
+    crowded = stretches.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("_hot"))
+    return stretches.join(crowded, "key", "left").withColumn("hot", F.coalesce("_hot", F.lit(False))).drop("_hot")
+
+
+def known_windows(stretches: DataFrame, window: int, most: int) -> DataFrame:
+    """Rows of OWNERS for stretches (rows of PIECES, one for each key and content): who holds their windows first."""
+    shards, parts = [], []
+    for width in WIDTHS:
+        level = staged(judged(stretches, most), "repeat-level")
+        shards.append(level.where("not hot").drop("hot"))
+        hot = level.where("hot").drop("hot")
+        if hot.isEmpty():
+            break
+        part = staged(hot.mapInArrow(partial(parted, window=window, width=width), CUT), "repeat-parts")
+        parts.append(part.select("whole_key", "whole_content", "off", "key", "content"))
+        held = part.groupBy("key", "content").agg(F.min("doc").alias("doc"), F.first(F.struct("words", "lead")).alias("r"))
+        stretches = held.select("key", "content", "doc", "r.words", "r.lead")
+    else:
+        shards.append(stretches)  # single windows
+    by_shard = shards[0]
+    for more in shards[1:]:
+        by_shard = by_shard.unionByName(more)
+    by_shard = by_shard.select("key", "content", "doc", "words").repartition("key").sortWithinPartitions("key", "doc", "content")
+    known = staged(by_shard.mapInPandas(partial(owners, window=window), OWNERS), "repeat-known")
+    for part in reversed(parts):
+        moved = F.transform("k.off", lambda o: o + F.col("p.off")).alias("off")
+        up = part.alias("p").join(known.alias("k"), ["key", "content"]).select(F.col("whole_key").alias("key"), F.col("whole_content").alias("content"), moved, "k.n", "k.owner")
+        known = known.unionByName(up)
+    return known
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept (words joined by one space), removed (spans of words).
 
     A word goes if a window of ``window`` consecutive words that covers it also starts in a document with
@@ -263,28 +320,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     drop_staged(found)
     drop_staged(shared)
 
-    # One holder of each different stretch, the first document, and the last one that has it.
-    distinct = staged(wanted.groupBy("key", "content").agg(F.min(F.struct("doc", "row", "at", "n", "lead")).alias("r"), F.max("doc").alias("last")).select("key", "content", "r.*", "last"), "repeat-distinct")
-    crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("stretches")).where(F.col("stretches") > hot_stretches).select("key", F.lit(True).alias("_hot"))
-    judged = distinct.join(crowded, "key", "left").withColumn("hot", F.coalesce("_hot", F.lit(False)))
-    asked = judged.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n", "key", "content", "hot", "lead", "last")).alias("wanted"))
+    # The words of a stretch are taken from one of its holders, the first document.
+    distinct = wanted.groupBy("key", "content").agg(F.min(F.struct("doc", "row", "at", "n", "lead")).alias("r")).select("key", "content", "r.*")
+    asked = distinct.groupBy("doc", "row").agg(F.collect_list(F.struct("at", "n", "key", "content", "lead")).alias("wanted"))
     cut = staged(texts.select("doc", "row", "text").join(asked, ["doc", "row"]).mapInArrow(partial(pieces, window=window), PIECES), "repeat-pieces")
 
-    shards = cut.where("not hot").select("key", "content", "doc", "words").repartition("key").sortWithinPartitions("key", "doc", "content")
-    by_shard = shards.mapInPandas(partial(owners, window=window), OWNERS)
-    # A block's windows are compared once for all the stretches that hold the block.
-    blocks = cut.where("hot").groupBy("block", "off", "one", "two").agg(F.min("doc").alias("doc"), F.max("last").alias("last"))
-    first = blocks.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.max("last").alias("last")).where("owner < last").select("one", "two", "owner")
-    of_block = blocks.join(first, ["one", "two"]).groupBy("block").agg(F.collect_list(F.struct("off", "owner")).alias("own"))
-    placed = cut.where("hot and off = 0").select("key", "content", "block", F.col("words").cast("int").alias("start"))
-    shift = lambda part: F.transform("own", lambda o: part(o))
-    one_by_one = placed.join(of_block, "block").select("key", "content", shift(lambda o: o["off"] + F.col("start")).alias("off"), shift(lambda o: F.lit(1)).alias("n"), shift(lambda o: o["owner"]).alias("owner"))
-    runs = F.arrays_zip("off", "n", "owner").alias("runs")
-    known = by_shard.unionByName(one_by_one).select("key", "content", runs)
+    known = known_windows(cut, window, most).select("key", "content", F.arrays_zip("off", "n", "owner").alias("runs"))
     own = F.transform(F.filter("runs", lambda r: r["owner"] < F.col("doc")), lambda r: F.struct((F.col("at") + r["off"]).alias("at"), r["n"].alias("n"))).alias("own")
-    lost = wanted.join(known, ["key", "content"]).select("doc", "row", own).where(F.size("own") > 0).distinct()
-    spans = staged(lost.groupBy("doc", "row").agg(F.flatten(F.collect_list("own")).alias("spans")), "repeat-spans")
-    for used in (wanted, distinct, cut):
+    lost = wanted.join(known, ["key", "content"]).select("doc", "row", own).where(F.size("own") > 0)
+    spans = staged(lost.groupBy("doc", "row").agg(F.flatten(F.collect_set("own")).alias("spans")), "repeat-spans")
+    for used in (wanted, cut):
         drop_staged(used)
     kind = dict(docs.dtypes)["doc_id"]
     return texts.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans").mapInArrow(partial(clean, window=window), f"doc_id {kind}, {CLEANED}")

@@ -54,3 +54,9 @@ def near_components(rows, n, percent):
                 p, q = sorted((find(i), find(j)))
                 root[q] = p
     return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def colliding_words(n=1024):
+    """Two different words that collide under every polynomial hash modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_cases import ODD, documents, near_components
+from llm_cases import ODD, colliding_words, documents, near_components
 
 from motionspark.llm.neardup import components, may_link, near_duplicates, without_near_duplicates
 
@@ -27,6 +27,13 @@ def test_against_all_pairs(spark, n, block):
     assert got(near_duplicates(documents(spark, rows), words=n, block=block)) == want
 
 
+def test_words_that_polynomials_confuse(spark):
+    """Two texts without a common shingle stay apart."""
+    one, two = colliding_words()
+    rows = [(1, f"{one} same", "s"), (2, f"{two} same", "s")]
+    assert got(near_duplicates(documents(spark, rows), words=2)) == {1: (1, 1), 2: (1, 2)}
+
+
 def test_large_leaf_group(spark):
     """A group with many more members than a leaf, all near copies of one text, is one component."""
     text = [f"w{i}" for i in range(120)]
