@@ -4,11 +4,13 @@ A prefix dynamic programme stores, for each byte of a text, how the token count
 is added: one signed byte each. Sums of this table answer how many tokens a prefix has and how much of
 a text a budget holds, without encoding anything again.
 
-The programme runs on units, stretches of text that the tokenizer never joins across (a unit starts at
-a space between two characters that are no white space). For a piece of a unit, the encoding of its
-prefix of length i is that of a shorter prefix followed by one token, and exactly one choice is stable:
-the one whose last two tokens stay apart when they are encoded together. Each distinct unit is worked
-out once and its table reused.
+The programme runs on units, a stretch of white space and what follows up to the next: the tokenizer never
+joins across their limits. For a piece of a unit, the encoding of its prefix of length i is that of a
+shorter prefix followed by one token, and exactly one choice is stable: the one whose last two tokens stay
+apart when they are encoded together. Where the pieces of a prefix are not those of the whole (within white
+space, a contraction or a special string) the table follows the prefix's own pieces; each of them is
+worked out once, so the work grows with the length of the text. Short units are kept and their tables
+reused, up to a bound in bytes.
 """
 
 from __future__ import annotations
@@ -26,19 +28,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from . import wordhash as wh
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Units whose tables a worker keeps; when full it starts afresh, so memory stays bounded.
-KEPT_UNITS = 800_000
+#: Bytes that a worker's kept tables may take (by estimate); when full it starts afresh.
+KEPT_BYTES = 96_000_000
+ENTRY_BYTES = 220  # of a kept unit beside its text and table
+LONGEST_KEPT = 64  # characters of a unit that is kept
 
 BATCH_ROWS = 1_000
-#: White space that Python and the tokenizer's patterns may not agree on.
-_ODD = r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
-_boundary = re.compile(r"(?<=\S) (?=\S)")
-_odd = re.compile(_ODD)
-_spaced = re.compile(r"(?= )")
-_odd_space = re.compile(rf"\s\s|{_ODD}")
+#: The white space of the pattern, and the contractions that take two letters.
+_WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CONTRACTIONS = ("'re", "'ve", "'ll")
+_unit = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+_run = re.compile(f"[{_WS}]+")
+_odd = re.compile("[\t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]|  | $")
 #: Units of the common form: a word of plain letters with or without a space before and marks behind.
 _plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|-]*)")
 
@@ -65,11 +70,18 @@ class PrefixCounter:
         #: The format's fixed map of bytes to characters: printable ones stand for themselves, others from 256 on.
         self.letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(moved)}
         byte = {c: b for b, c in self.letter.items()}
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        self.special = sorted(special)
+        added = list(self.library.get_added_tokens_decoder().values())
+        self.special = sorted((t.content for t in added), key=len, reverse=True)
+        whole = json.loads(self.library.to_str())
+        split = whole["pre_tokenizer"] or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and whole["normalizer"] is None
+        if not plain or any(t.lstrip or t.rstrip or t.single_word or _run.search(t.content) for t in added) or any(a != b and a in b for a in self.special for b in self.special):
+            raise ValueError("the programme knows byte-level vocabularies without normalizer, prefix space, or stripping, spaced or nested added tokens")
+        self._special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
         self.ids = {bytes(byte[c] for c in t): i for t, i in self.library.get_vocab(with_added_tokens=False).items()}
-        self.longest = max(map(len, self.ids))
-        model = json.loads(self.library.to_str())["model"]
+        #: Every ending of a token, with the token's id where it is one.
+        self.endings = {t[i:]: -1 for t in self.ids for i in range(len(t))} | self.ids
+        model = whole["model"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         parts = [tuple(bytes(byte[c] for c in x) for x in m) for m in pairs]
         self.rank = {(self.ids[a], self.ids[b]): i for i, (a, b) in enumerate(parts)}
@@ -82,6 +94,7 @@ class PrefixCounter:
         self._text, self._last, self._count = b"", [-1], [0]
         self._marks: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
+        self.held = 0  # bytes of the kept units
         self.apart: dict[tuple[int, int], bool] = {}
 
     def _edge(self, token: int, made: dict[int, tuple[int, int]], side: int) -> list[tuple[int, int, int]]:
@@ -124,35 +137,31 @@ class PrefixCounter:
             self.apart[left, right] = kept
         return kept
 
-    def piece(self, text: bytes) -> list[int]:
-        """Change of the token count at each byte of a piece.
+    def counts(self, text: bytes) -> list[int]:
+        """Token counts of all prefixes of a piece, from none to all of its bytes; the list is valid until the next call.
 
         What the piece shares with the one before it is not worked out again: units come sorted.
         """
         before, last, count = self._text, self._last, self._count
         same = len(text) if before.startswith(text) else next((i for i, (x, y) in enumerate(zip(text, before)) if x != y), min(len(text), len(before)))
         del last[same + 1 :], count[same + 1 :]
-        ids, apart, longest = self.ids.get, self.apart.get, self.longest
+        ending, apart = self.endings.get, self.apart.get
         for end in range(same + 1, len(text) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = ids(text[start:end])
-                if token is not None and (start == 0 or (apart((last[start], token)) or self.stable(last[start], token))):
+            for start in range(end - 1, -1, -1):
+                token = ending(text[start:end])
+                if token is None:
+                    raise ValueError("the vocabulary lacks a byte")
+                if token >= 0 and (start == 0 or (apart((last[start], token)) or self.stable(last[start], token))):
                     break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
             last.append(token)
             count.append(count[start] + 1)
         self._text = text
-        return [y - x & 255 for x, y in zip(count, count[1:])]
+        return count
 
-    def brute(self, unit: str) -> bytes:
-        """The table of a unit by encoding each of its prefixes of whole characters."""
-        out, before = bytearray(), 0
-        for i, c in enumerate(unit, 1):
-            now = len(self.library.encode(unit[:i], add_special_tokens=False))
-            out += bytes(len(c.encode()) - 1) + bytes([now - before & 255])
-            before = now
-        return bytes(out)
+    def piece(self, text: bytes) -> list[int]:
+        """Change of the token count at each byte of a piece."""
+        count = self.counts(text)
+        return [y - x & 255 for x, y in zip(count, count[1:])]
 
     def marks(self, text: str) -> bytes:
         """The table of a piece of marks; few are in use, and they leave the state for words alone."""
@@ -164,41 +173,83 @@ class PrefixCounter:
                 self._marks[text] = kept
         return kept
 
+    def walk(self, text: str) -> bytes:
+        """The table of a text without special strings, piece by piece of the library's pattern.
+
+        White space that ends a prefix is one piece, however the whole text parts it.
+        """
+        out: list[int] = []
+        base = shown = at = 0  # tokens of the pieces that stay; tokens of the prefix so far; characters done
+        pieces = [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        k = 0
+
+        def show(counts: list[int]) -> None:
+            nonlocal shown
+            for count in counts:
+                out.append(base + count - shown)
+                shown = base + count
+
+        while at < len(text):
+            if run := _run.match(text, at):
+                space = run[0]
+                counts = self.counts(space.encode())[:]
+                show(counts[1:])
+                at = run.end()
+                if at == len(text):
+                    break
+                base += counts[len(space[:-1].encode())]
+                if space[-1] != " ":  # a space goes with what follows, other white space stands alone
+                    base += self.counts(space[-1].encode())[-1]
+                while pieces[k][1] < at or (pieces[k][1] == at and pieces[k][0] < at):
+                    k += 1
+            start, end = pieces[k]
+            piece = text[start:end]
+            counts = self.counts(piece.encode())[:]
+            if piece in _CONTRACTIONS:  # not yet one at its second character
+                counts[2] = counts[1] + self.counts(piece[1].encode())[-1]
+            show(counts[1 + len(text[start:at].encode()) :])
+            base, at, k = shown, end, k + 1
+        if out and not -128 <= min(out) <= max(out) <= 127:
+            raise ValueError("a byte changes the count by more than a signed byte holds")
+        return bytes(x & 255 for x in out)
+
     def unit(self, unit: str) -> bytes:
         """The table of one unit."""
         if plain := _plain.fullmatch(unit):
             head = bytes(self.piece(plain[1].encode()))
             return head + self.marks(plain[2]) if plain[2] else head
-        if _odd_space.search(unit) or any(s in unit for s in self.special):
-            return self.brute(unit)  # the pieces of a prefix need not be those of the whole
         out, at = [], 0
-        for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(unit):
-            text = unit[a:b].encode()
-            if text[:1] == b"'" and len(text) > 2:  # 're, 've, 'll: their prefixes split otherwise
-                return self.brute(unit)
-            out += self.piece(text)
-            at = b
-        return bytes(out) if at == len(unit) else self.brute(unit)
+        for special in self._special.finditer(unit):  # plain text up to its last character, where it becomes one token
+            before = self.walk(unit[at : special.start()])
+            grown = self.walk(unit[at : special.end()])[:-1]
+            total = lambda table: sum(x - (x > 127) * 256 for x in table)
+            out += (grown, bytes([total(before) + 1 - total(grown) & 255]))
+            at = special.end()
+        return b"".join([*out, self.walk(unit[at:])])
 
     def split(self, text: str) -> list[str]:
         """The units of a text."""
-        if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text or text[-1:] == " " or _odd.search(text):
-            cuts = [0, *[m.start() for m in _boundary.finditer(text)], len(text)]
-            units = [text[a:b] for a, b in zip(cuts, cuts[1:])]
-        else:  # every space starts a unit
-            units = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _spaced.split(text)
+        if _odd.search(text):
+            return _unit.findall(text)
+        units = text.replace(" ", "\0 ").split("\0")  # every space starts a unit
         return units if units[0] else units[1:]
 
     def prefix_tables(self, texts: list[str | None]) -> list[bytes]:
         """For each text one signed byte for each of its UTF-8 bytes: the change of the token count."""
-        if len(self.units) > KEPT_UNITS:
-            self.units.clear()
         split = [self.split(t) if t else [] for t in texts]
         found = [list(map(self.units.get, units)) for units in split]
         new = {u for units, parts in zip(split, found) if None in parts for u, p in zip(units, parts) if p is None}
-        for unit in sorted(new):
-            self.units[unit] = self.unit(unit)
-        return [b"".join(parts if None not in parts else map(self.units.__getitem__, units)) for units, parts in zip(split, found)]
+        made = {unit: self.unit(unit) for unit in sorted(new)}
+        out = [b"".join(parts if None not in parts else [made[u] if p is None else p for u, p in zip(units, parts)]) for units, parts in zip(split, found)]
+        if self.held > KEPT_BYTES:
+            self.units.clear()
+            self.held = 0
+        for unit, table in made.items():
+            if len(unit) <= LONGEST_KEPT:
+                self.units[unit] = table
+                self.held += ENTRY_BYTES + len(unit) + len(table)
+        self._text, self._last, self._count = b"", [-1], [0]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -206,29 +257,27 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def token_prefixes(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_prefixes(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", tables: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_tokens and prefix_table (binary, one signed byte for each byte of the text).
 
     Counts are the library's without added special tokens; special strings inside a text count as it
-    counts them. Null text is empty: no bytes, no tokens. Repeated rows and null ids stay as they are;
-    other columns are ignored; an empty table gives no rows.
+    counts them. Null text is empty: no bytes, no tokens. Very long texts are batches of their own, in time
+    and memory in proportion to their length. Repeated rows and null ids stay as they are; other columns are
+    ignored; an empty table gives no rows. Without ``tables`` the tables are summed within the task and left out.
     """
     path = tokenizer_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes = counter(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                rows = batch.slice(at, BATCH_ROWS)
-                tables = prefixes.prefix_tables(rows.column("text").to_pylist())
-                totals = [int(np.frombuffer(t, np.int8).sum(dtype=np.int64)) for t in tables]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(map(len, tables), pa.int64()), pa.array(totals, pa.int64()), pa.array(tables, pa.binary())],
-                    ["doc_id", "n_bytes", "n_tokens", "prefix_table"],
-                )
+            for a, b, texts in wh.batches(batch, rows=BATCH_ROWS):
+                made = prefixes.prefix_tables([t.decode() for t in texts])
+                totals = [int(np.frombuffer(t, np.int8).sum(dtype=np.int64)) for t in made]
+                columns = [batch.column("doc_id").slice(a, b - a), pa.array(map(len, made), pa.int64()), pa.array(totals, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.binary())][: 3 + tables], ["doc_id", "n_bytes", "n_tokens", "prefix_table"][: 3 + tables])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, prefix_table binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long" + ", prefix_table binary" * tables)
 
 
 @F.pandas_udf(LongType())
@@ -256,4 +305,4 @@ def longest_prefix(prefix_table: Column, budget: Column) -> Column:
 
 
 def op8_tokens(spark, sf_dir: str) -> DataFrame:
-    return token_prefixes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+    return token_prefixes(table(spark, sf_dir, "documents"), tables=False).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))

@@ -1,9 +1,13 @@
 """BPE coding and prefix counts against the library on whole texts."""
 
+import itertools
 import random
+import time
 
 import pytest
 from conftest import SMALL
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from llm_cases import ODD, documents
 from tokenizers import Tokenizer
 
@@ -15,6 +19,14 @@ HARD = [
 ]
 
 
+COUNTER = tokens.PrefixCounter(tokens.tokenizer_path(tokens.VOCABULARY))
+
+
+def fresh_counter():
+    COUNTER.units.clear()
+    return COUNTER
+
+
 def texts():
     draw = random.Random(5)
     letters = "abcdeABC  \n\t'.,!0123éß漢🙂\xa0"
@@ -84,19 +96,45 @@ def test_every_document(spark, word_library, byte_library):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text[r.doc_id] or "").encode()), n, n > 512)
 
 
+def prefix_counts(table):
+    return [0, *itertools.accumulate(b - 256 if b > 127 else b for b in table)]
+
+
 def test_prefix_tables(byte_library):
     """Every prefix of whole characters has the library's count."""
     counter = tokens.PrefixCounter(tokens.tokenizer_path(tokens.VOCABULARY))
     short = [t[:60] for t in texts()]
     for text, table in zip(short, counter.prefix_tables(short)):
         assert len(table) == len(text.encode())
-        total = 0
-        at = 0
-        for i, c in enumerate(text, 1):
-            size = len(c.encode())
-            total += sum(b - 256 if b > 127 else b for b in table[at : at + size])
-            at += size
-        assert total == whole(byte_library, text)[1], repr(text)
+        counts = prefix_counts(table)
+        for i in range(len(text) + 1):
+            assert counts[len(text[:i].encode())] == len(byte_library.encode(text[:i], add_special_tokens=False)), repr((text, i))
+
+
+PARTS = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\0", "'", "'re", "'l", "'ll", "'s", "they", "!", "...", "<|endoftext|>", "<|endof", "text|>", "9", "漢字", "かな", "é", "e\u0301", "🙂", "AbC", "\u200b", "\ufeff"]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=12).map("".join))
+def test_any_prefix(byte_library, text):
+    """Also within white space of every kind, contractions and special strings."""
+    counts = prefix_counts(COUNTER.prefix_tables([text])[0])
+    for i in range(len(text) + 1):
+        assert counts[len(text[:i].encode())] == len(byte_library.encode(text[:i], add_special_tokens=False))
+
+
+@pytest.mark.parametrize("make", [lambda n: "日本語の文章。\n\n" * (n // 9), lambda n: " " * n, lambda n: "x " + "\n" * n + " y", lambda n: "漢" * n, lambda n: "<|endoftext|> \n" * (n // 15)], ids=["blank-lines", "spaces", "newlines", "one-word", "special"])
+def test_time_grows_with_length(byte_library, make):
+    """Four times the length takes far less than sixteen times as long, and the counts are the library's."""
+    took = []
+    for n in (4_000, 8_000, 16_000):
+        text, start = make(n), time.process_time()
+        table = tokens.PrefixCounter.prefix_tables(fresh_counter(), [text])[0]
+        took.append(time.process_time() - start)
+        assert prefix_counts(table)[-1] == len(byte_library.encode(text, add_special_tokens=False))
+        some = len(text) // 2
+        assert prefix_counts(table)[len(text[:some].encode())] == len(byte_library.encode(text[:some], add_special_tokens=False))
+    assert took[2] < 8 * took[0] + 0.2 and took[2] < 3
 
 
 def test_totals(byte_library):
