@@ -19,7 +19,6 @@ from .common import staged, table
 
 #: The template's control strings.
 TURN, END = "### ", " </turn>\n"
-MAX_DOUBLINGS = 40
 
 _escaped = re.compile(r"\\(.)", re.S)
 _turn = re.compile(r"### ((?:[^\\:]|\\.)*): ")
@@ -71,25 +70,29 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """The messages of each tree's ``branches`` best root-to-leaf paths: tree, leaf, branch, back, node.
 
-    ``nodes``: tree, node, parent (null or unknown: a root), score. ``back`` counts from the leaf (0).
-    Branches are ranked by mean score, then the smaller leaf. Trees without a leaf (cycles) give no
-    rows; a leaf whose ancestors run in a cycle raises ValueError.
+    ``nodes``: tree, node, parent (null or unknown: a root), score (null: 0). ``back`` counts from the leaf (0).
+    Branches are ranked by mean score, then the smaller leaf. Defined cases: rows without a tree or node take no
+    part; of rows that repeat a node the one of the least parent and score counts, null first; messages on a
+    cycle, or below one, have no way to a root and are on no path, so a tree of nothing else gives no rows;
+    other columns are ignored.
     """
-    base = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    given = nodes.where(F.col("tree").isNotNull() & F.col("node").isNotNull()).select("tree", "node", F.struct("parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).alias("r"))
+    base = given.groupBy("tree", "node").agg(F.min("r").alias("r")).select("tree", "node", "r.*")
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_there"))
     level = staged(
         base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")),
         "chat-level",
     )
     ways, leaves = [level], level.join(level.where("up is not null").select("tree", F.col("up").alias("node")).distinct(), ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"))
-    while level.where("up is not null").limit(1).count():
-        if len(ways) > MAX_DOUBLINGS:
-            raise ValueError("a message is its own ancestor")
+    # No way without a cycle is longer than the largest tree; after these doublings all others have reached their root.
+    largest = level.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    while (1 << len(ways) - 1) < largest and level.where("up is not null").limit(1).count():
         far = level.select("tree", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("n").alias("_n"))
         going = level.where("up is not null").join(far, ["tree", "up"], "left")  # messages at a root stay as they are
         moved = going.select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.coalesce("_sum", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
         level = staged(moved.unionByName(level.where("up is null")), "chat-level")
         ways.append(level)
+    level = level.where("up is null")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), F.asc("leaf")))
     chosen = leaves.join(level.select("tree", F.col("node").alias("leaf"), "sum", "n"), ["tree", "leaf"]).withColumn("branch", rank).where(F.col("branch") <= branches)
     path = chosen.select("tree", "leaf", "branch", F.lit(0).cast("long").alias("back"), F.col("leaf").alias("node"))

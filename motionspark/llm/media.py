@@ -128,8 +128,8 @@ def store(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return index.select("doc_id", "n_bytes", "payload").join(places, "payload").select("doc_id", "n_bytes", "payload", "place.*")
 
 
-def _ranges(frame: pd.DataFrame, uri: str, lengths: list[int]) -> Iterator[bytes]:
-    """The first ``lengths`` bytes of each stored image; neighbours in a shard are read in one go."""
+def _ranges(frame: pd.DataFrame, uri: str, lengths: list[int], gap: int) -> Iterator[bytes]:
+    """The first ``lengths`` bytes of each stored image; ranges of a shard with up to ``gap`` bytes between them are read in one go."""
     system, _ = pafs.FileSystem.from_uri(uri)
     shards, offsets = frame["shard"].tolist(), frame["offset"].tolist()
     held, file, start, span = "", None, 0, b""
@@ -140,7 +140,7 @@ def _ranges(frame: pd.DataFrame, uri: str, lengths: list[int]) -> Iterator[bytes
             held, file, span = shard, system.open_input_file(shard), b""
         if not (start <= offset and offset + length <= start + len(span)):
             last = i
-            while last + 1 < len(shards) and shards[last + 1] == shard and offset <= offsets[last + 1] and offsets[last + 1] + lengths[last + 1] - offset <= SPAN and offsets[last + 1] - offsets[last] <= 4 * TAR_BLOCK + lengths[last]:
+            while last + 1 < len(shards) and shards[last + 1] == shard and offset <= offsets[last + 1] and offsets[last + 1] + lengths[last + 1] - offset <= SPAN and offsets[last + 1] - offsets[last] - lengths[last] <= gap:
                 last += 1
             start, span = offset, file.read_at(offsets[last] + lengths[last] - offset, offset)
         yield span[offset - start : offset - start + length]
@@ -154,7 +154,7 @@ METADATA = "payload string, width int, height int, bits int"
 def read_headers(frames: Iterator[pd.DataFrame], uri: str) -> Iterator[pd.DataFrame]:
     """Rows of METADATA by reading only the header of each stored image."""
     for f in frames:
-        heads = [png_header(h) for h in _ranges(f, uri, [HEADER_BYTES] * len(f))]
+        heads = [png_header(h) for h in _ranges(f, uri, [HEADER_BYTES] * len(f), 0)]
         yield pd.DataFrame({"payload": f["payload"], **{k: [h[k] for h in heads] for k in ("width", "height", "bits")}})
 
 
@@ -176,7 +176,7 @@ def read_images(frames: Iterator[pd.DataFrame], uri: str) -> Iterator[pd.DataFra
     names = [c.split()[0] for c in FEATURES.split(", ")]
     for f in frames:
         out = []
-        for payload, image in zip(f["payload"], _ranges(f, uri, f["length"].tolist())):
+        for payload, image in zip(f["payload"], _ranges(f, uri, f["length"].tolist(), 4 * TAR_BLOCK)):
             samples = from_png(image)
             out.append((payload, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(image), hashlib.sha256(image).hexdigest(), features(samples, png_header(image)["width"])))
         yield pd.DataFrame(out, columns=names)
@@ -185,14 +185,17 @@ def read_images(frames: Iterator[pd.DataFrame], uri: str) -> Iterator[pd.DataFra
 def media_columns(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, the index, the header's metadata and the features read back, for each row.
 
-    Null text is the empty payload, padded like any other; null and repeated doc_ids stay as they are;
+    Null text is the empty payload, padded like any other; a very long text is one image, held whole by the
+    task that stores it and the one that reads it; null and repeated doc_ids stay as they are;
     other columns are ignored; an empty table gives no rows.
     """
     index = staged(store(docs, width), "media-places")
     base = shared_dir(docs.sparkSession)
     uri = base if "://" in base else f"file://{base}"
     # One place for each payload, read in the order of the shards.
-    places = index.select("payload", "shard", "offset", "length").distinct().repartition("shard", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("shard", "offset")
+    # The number of tasks is given, as their cost is in the pixels and not in the rows that are dealt.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = index.select("payload", "shard", "offset", "length").distinct().repartition(tasks, "shard", F.floor(F.col("offset") / SPAN)).sortWithinPartitions("shard", "offset")
     headers = places.mapInPandas(partial(read_headers, uri=uri), METADATA)
     images = places.mapInPandas(partial(read_images, uri=uri), FEATURES)
     return index.join(headers.join(images, "payload"), "payload")

@@ -121,21 +121,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
     return {"idf": idf, "projection": projection, "latent": latent.astype(np.float32), "labels": np.array([r["label"] for r in rows], np.float32)}
 
 
-def votes(counts: np.ndarray, model: dict[str, np.ndarray], neighbours: int) -> np.ndarray:
-    """The share of label 1 among each row's nearest labelled vectors, weighted by similarity."""
-    y = weighted(counts, model["idf"]) @ model["projection"]
-    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    cosine = y @ model["latent"].T
-    k = min(neighbours, cosine.shape[1])
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's ``k`` highest values; of equal ones the first places."""
     near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** SHARPNESS
-    return np.clip((weight * model["labels"][near]).sum(axis=1) / weight.sum(axis=1), 0, 1)
+    least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+    for i in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):  # the k-th value comes up again
+        near[i] = np.argsort(-cosine[i], kind="stable")[:k]
+    return near
+
+
+def votes(counts: np.ndarray, model: dict[str, np.ndarray], neighbours: int) -> np.ndarray:
+    """The share of label 1 among each row's nearest labelled vectors, weighted by similarity.
+
+    Products are taken in blocks of always ROWS rows, so that equal texts have equal scores whatever their batch.
+    """
+    out = np.zeros(len(counts))
+    for at in range(0, len(counts), ROWS):
+        rows = counts[at : at + ROWS]
+        block = np.zeros((ROWS, counts.shape[1]), np.float32)
+        block[: len(rows)] = rows
+        y = weighted(block, model["idf"]) @ model["projection"]
+        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+        cosine = (y @ model["latent"].T)[: len(rows)]
+        near = nearest(cosine, min(neighbours, cosine.shape[1]))
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** SHARPNESS
+        order = np.argsort(near, axis=1)  # sums in one order, as neighbours come in any
+        weight, label = np.take_along_axis(weight, order, axis=1), model["labels"][np.take_along_axis(near, order, axis=1)]
+        out[at : at + ROWS] = np.clip((weight * label).sum(axis=1) / weight.sum(axis=1), 0, 1)
+    return out
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> DataFrame:
     """The ``keep`` columns, held_out, score and predicted (1 if score >= 0.3) of each document.
 
-    Scores depend on the text alone, null being empty. Labels that repeat for an id are averaged; null
+    Scores depend on the text alone, null being empty; of labelled texts that are equally near, those come
+    first that the fit's order (a hash of the id) puts first. Labels that repeat for an id are averaged; null
     labels and ids are not learned from. Without labels every score is 0.5. Repeated rows and null ids
     stay as they are; other columns do not matter; an empty table gives no rows.
     """

@@ -12,10 +12,10 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh_path, table
 
 #: The three base rules, with the group whose length is tested and its least length.
 KINDS = ("assign", "access", "hex")
@@ -63,21 +63,30 @@ def scan_unseen(addressed: DataFrame, ledger: DataFrame | None = None, rule_vers
     return blobs.mapInArrow(_scan, f"blob string, spans {SPANS}").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
-def scan_versions(
-    versions: DataFrame, path: str = "doc_id", text: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION
-) -> tuple[DataFrame, DataFrame]:
-    """Findings for every row of ``versions`` and the ledger to keep for the next run.
+LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
-    Returns (path, blob, spans) with one row for each input row, and the ledger with the new rows
-    added. Defined cases: null text is scanned as empty; a null path is a path like any other;
-    repeated rows each get the findings of their blob; other columns are ignored; an empty table
-    gives no rows.
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The kept ledger, None where there is none yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan_versions(versions: DataFrame, ledger_path: str, path: str = "doc_id", text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+    """Findings (path, blob, spans) for every row of ``versions``; the ledger at ``ledger_path`` grows by what it lacked.
+
+    The ledger is a Parquet table. Blobs that it holds under this rule version are not scanned; the others
+    are scanned once and appended, in one commit, before the findings are joined back from it; a run that fails
+    leaves the ledger as it was. One run at a time writes a ledger. Defined cases: null text is scanned as
+    empty; a null path is a path like any other; repeated rows each get the findings of their blob; other
+    columns are ignored; an empty table gives no rows.
     """
     addressed = address(versions, path, text)
-    fresh = scan_unseen(addressed, ledger, rule_version)
-    grown = fresh if ledger is None else ledger.select("blob", "rule_version", "spans").unionByName(fresh)
-    known = grown.where(F.col("rule_version") == rule_version).select("blob", "spans")
-    return addressed.select("path", "blob").join(known, "blob"), grown
+    scan_unseen(addressed, read_ledger(versions.sparkSession, ledger_path), rule_version).write.mode("append").parquet(ledger_path)
+    known = read_ledger(versions.sparkSession, ledger_path).where(F.col("rule_version") == rule_version).select("blob", "spans")
+    return addressed.select("path", "blob").join(known, "blob")
 
 
 def joined_spans(spans: Column) -> Column:
@@ -87,7 +96,7 @@ def joined_spans(spans: Column) -> Column:
 
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
     """Base rules are the whole rule set, so all spans are the base spans."""
-    found, _ = scan_versions(table(spark, sf_dir, "documents"))
+    found = scan_versions(table(spark, sf_dir, "documents"), fresh_path(spark, "ledger"))
     listed = joined_spans(F.col("spans"))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
@@ -120,7 +129,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
     ``n_chars``, if there is such a column, follows the text.
     """
     columns = docs.columns
-    found, _ = scan_versions(docs.select(F.struct(*columns).alias("_row"), "text"), path="_row")
+    found = scan_versions(docs.select(F.struct(*columns).alias("_row"), "text"), fresh_path(docs.sparkSession, "ledger"), path="_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,11 +1,10 @@
 """Exact top-k search by inner product with MaxScore.
 
-A vector's terms are its dimensions, each split by sign of the query: a positive query weight adds
-``q * c``, a negative one ``-|q| * c``. Within a shard of candidates every term has a bound on what it
-can still add. The terms of a query are ordered by that bound; those at the tail whose bounds together
-cannot lift a candidate over the current k-th score are non-essential. Essential postings are
-traversed for the whole shard, the others are probed only for candidates that can still compete, and
-the k best of each shard are merged.
+A vector's terms are its dimensions; a term's postings hold every vector. Within a shard of candidates every
+term has a most and a least that it can add to a query's score. Terms are ordered by how far these lie
+apart. The longest tail whose bounds cannot lift a candidate over the k-th score is non-essential: the others'
+postings are traversed for the whole shard, those of the tail are probed only for candidates that can still
+compete, while the k-th score rises with what is sure already. The k best of each shard are merged.
 """
 
 from __future__ import annotations
@@ -20,39 +19,46 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-SHARD_ROWS = 16_384
-QUERY_ROWS = 16_384
-RESULT = "query_id long, vec_id long, score long"
+#: Bytes of one shard of candidates, and of one block of queries, as numbers of 8 bytes.
+SHARD_BYTES = 16_000_000
+EXACT_FLOAT, EXACT_LONG = 2**53, 2**63
+PROBE = 8  # non-essential terms that are probed at a time
+RESULT = "query_row long, query_id long, vec_id long, score long"
 
 
-def max_score(queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def max_score(queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query's index, ids, scores) of each query's ``k`` best in a shard, ties to the smaller id.
 
-    ``shard``: candidates by dimension, sorted by id. ``own[i]``: the id left out for query i. All
-    numbers are integers in float64, exact while scores stay below 2**53.
+    ``shard``: candidates by dimension, sorted by id. ``own[i]``: the id left out for query i. ``floors[i]``:
+    a score that k candidates elsewhere reach, so lower ones may be left out. Numbers are integers, in
+    float64 or int64, in which all sums are exact.
     """
     by_term = np.ascontiguousarray(shard.T)
     top, low = by_term.max(axis=1), by_term.min(axis=1)
     for i, q in enumerate(queries):
-        bound = np.where(q >= 0, q * top, q * low)  # the most a term can add
-        least = np.where(q >= 0, q * low, q * top)  # the least: what is sure for a candidate not yet probed
-        order = np.argsort(least - bound, kind="stable")  # widest terms first
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
+        most, least = np.maximum(q * top, q * low), np.minimum(q * top, q * low)  # what a term can add
+        order = np.argsort(least - most, kind="stable")  # widest terms first
+        rest = np.append(np.cumsum(most[order][::-1])[::-1], 0)  # the most the terms from a place on can add
+        sure = np.append(np.cumsum(least[order][::-1])[::-1], 0)
         others = np.flatnonzero(ids != own[i])
         if not len(others):
             continue
-        # A first k-th score: full scores of the candidates that lead on the widest terms.
-        lead = order[: max(1, len(order) // 8)]
-        partial = q[lead] @ by_term[lead]
-        first = others[np.argpartition(-partial[others], min(k, len(others)) - 1)[:k]]
-        floor = np.sort(shard[first] @ q)[0] if len(first) >= k else -np.inf
-        # Essential terms: the tail's bounds alone cannot lift the best partial score over the floor.
-        done = len(lead)
-        alive = others[partial[others] + rest[done] >= floor]
-        score = partial[alive]
+        floor = floors[i]
+        if len(others) >= k:  # a first k-th score: that of the candidates that lead on the widest terms
+            wide = order[: max(1, len(order) // 8)]
+            first = others[np.argpartition(-(q[wide] @ by_term[wide])[others], k - 1)[:k]]
+            floor = max(floor, (shard[first] @ q).min())
+        # Non-essential is the longest tail that cannot lift a candidate over the floor if it has no more than the least on the others.
+        lifted = np.append(0, np.cumsum(least[order])) + rest
+        done = max(1, int(np.argmax(lifted < floor)) if (lifted < floor).any() else len(order))
+        score = (q[order[:done]] @ by_term[order[:done]])[others]
+        able = score + rest[done] >= floor
+        alive, score = others[able], score[able]
         while done < len(order) and len(alive):
-            step = order[done : done + 8]
-            score = score + (q[step] @ by_term[step] if len(alive) * 2 > len(ids) else q[step] @ by_term[np.ix_(step, alive)])[alive if len(alive) * 2 > len(ids) else slice(None)]
+            if len(alive) > k:
+                floor = max(floor, np.partition(score + sure[done], -k)[-k])
+            step = order[done : done + PROBE]
+            score = score + q[step] @ by_term[np.ix_(step, alive)]
             done += len(step)
             able = score + rest[done] >= floor
             alive, score = alive[able], score[able]
@@ -60,46 +66,67 @@ def max_score(queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, own: np.n
         yield i, ids[alive[best]], score[best]
 
 
-def _matrix(rows: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
+def _matrix(rows: pd.Series, width: int, kind: type) -> np.ndarray:
+    out = np.zeros((len(rows), width), kind)
     for i, r in enumerate(rows):
         out[i, : len(r)] = r
     return out
 
 
-def top_k(vectors: DataFrame, query_ids, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, query_ids, k: int = 5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The ``k`` highest inner products of each query with every other vector: query_id, rank, vec_id, score.
 
     ``vectors``: vec_id long, terms array<long>. ``query_ids``: a Column condition on vec_id that picks
-    the queries. Candidates go to shards by hash and queries to blocks, each of bounded rows, and a task
-    sees one shard and one block. Rows with a null vec_id take no part. Of repeated vec_ids the least
-    array stands for the id. Missing components count as 0. With no candidates there are no rows.
+    the queries. Candidates go to shards by hash and queries to blocks, each of bounded bytes, and a task
+    sees one shard and one block. The first shard is searched first; each query's k-th score there is its
+    floor for all others.
+
+    Defined cases: rows with a null vec_id or null terms take no part; every row is a candidate, also of ids
+    that repeat, and the rows of a repeated id that are queries share one list of k; missing components count as
+    0; with no candidates there are no rows; other columns are ignored. Sums are exact up to 2**63, beyond
+    which OverflowError is raised.
     """
-    one = staged(vectors.where(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("terms").alias("terms")), "vectors")
-    n, n_queries = one.select(F.count(F.lit(1)), F.count(F.when(query_ids, 1))).first()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(n_queries / query_rows))
-    hashed = F.xxhash64("vec_id")
-    everywhere = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = one.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int")).withColumn("block", everywhere(blocks))
-    queries = one.where(query_ids).withColumn("block", F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int")).withColumn("shard", everywhere(shards))
+    numbered = vectors.where(F.col("vec_id").isNotNull() & F.col("terms").isNotNull()).select("vec_id", "terms", F.monotonically_increasing_id().alias("row"))
+    one = staged(numbered, "vectors")
+    size = F.aggregate("terms", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
+    n, n_queries, width, largest = one.select(F.count(F.lit(1)), F.count(F.when(query_ids, 1)), F.max(F.size("terms")), F.max(size)).first()
+    width = max(width or 1, 1)
+    bound = width * int(largest or 0) ** 2
+    if bound >= EXACT_LONG:
+        raise OverflowError("inner products may pass 2**63")
+    kind = np.float64 if bound < EXACT_FLOAT else np.int64
+    lowest = -np.inf if kind is np.float64 else np.iinfo(np.int64).min
+    rows = max(k, shard_bytes // (8 * width))
+    shards, blocks = max(1, math.ceil(n / rows)), max(1, math.ceil(n_queries / rows))
+    hashed = F.xxhash64("vec_id", "row")
+    candidates = one.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int"))
+    block = F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int").alias("block")
+    queries = one.where(query_ids).select(F.col("vec_id").alias("asked_id"), F.col("terms").alias("asked"), F.col("row").alias("asked_row"), block)
 
     def search(cands: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if cands.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")}, dtype="int64")
         cands = cands.sort_values("vec_id")
-        width = max(int(cands["terms"].str.len().max()), int(asked["terms"].str.len().max()), 1)
-        own, ids = asked["vec_id"].to_numpy(), cands["vec_id"].to_numpy()
-        found = list(max_score(_matrix(asked["terms"], width), ids, _matrix(cands["terms"], width), own, k))
-        return pd.DataFrame(
-            {
-                "query_id": np.repeat(own[[i for i, _, _ in found]], [len(x) for _, x, _ in found]) if found else [],
-                "vec_id": np.concatenate([x for _, x, _ in found]) if found else [],
-                "score": np.concatenate([s for _, _, s in found]) if found else [],
-            }
-        ).astype("int64")
-
-    keys = ("shard", "block")
-    found = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(search, RESULT)
+        own, ids = asked["asked_id"].to_numpy(), cands["vec_id"].to_numpy()
+        floors = [lowest if pd.isna(x) else kind(x) for x in asked["floor"]]
+        found = list(max_score(_matrix(asked["asked"], width, kind), ids, _matrix(cands["terms"], width, kind), own, k, floors))
+        at, sizes = [i for i, _, _ in found], [len(x) for _, x, _ in found]
+        joined = lambda parts: np.concatenate(parts) if parts else []
+        columns = {"query_row": asked["asked_row"].to_numpy()[at].repeat(sizes), "query_id": own[at].repeat(sizes), "vec_id": joined([x for _, x, _ in found]), "score": joined([s for _, _, s in found])}
+        return pd.DataFrame(columns).astype("int64")
+
+    def over(some: DataFrame, floored: DataFrame, of: list[int]) -> DataFrame:
+        """The search of some shards, each against every block."""
+        spread = lambda lo, hi: F.explode(F.sequence(F.lit(lo), F.lit(hi)))
+        left = some.withColumn("block", spread(0, blocks - 1)).groupBy("shard", "block")
+        right = floored.withColumn("shard", spread(of[0], of[-1])).groupBy("shard", "block")
+        return left.cogroup(right).applyInPandas(search, RESULT)
+
+    found = over(candidates.where("shard = 0"), queries.withColumn("floor", F.lit(None).cast("long")), [0])
+    if shards > 1:
+        found = staged(found, "topk-first")
+        floors = found.groupBy(F.col("query_row").alias("asked_row")).agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("floor")).where(F.col("_n") >= k).select("asked_row", "floor")
+        found = found.unionByName(over(candidates.where("shard > 0"), queries.join(floors, "asked_row", "left"), [1, shards - 1]))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,7 +1,7 @@
 from hypothesis import given
 from hypothesis import strategies as st
 
-from motionspark.llm.chat import HARD_TEXT, best_paths, format_paths, format_turns, read_back, read_turns, unescape
+from motionspark.llm.chat import HARD_TEXT, best_paths, format_paths, format_turns, linear_trees, read_back, read_turns, unescape
 
 pieces = st.lists(st.sampled_from(["###", "</turn>", "\\", " ", "\n", ":", "### user: ", " </turn>\n", "a", "é🙂", "#"]), max_size=8).map("".join)
 
@@ -28,10 +28,32 @@ def test_branches_are_ranked(spark):
     assert found == {(1, 1): [1, 2, 4], (1, 2): [1, 3], (1, 3): [1, 2, 5, 7], (2, 1): [1], (3, 1): [2], (3, 2): [1]}
 
 
-def test_long_chain_and_cycle(spark):
-    chain = spark.createDataFrame([(1, i, i - 1 if i > 1 else None, 1.0) for i in range(1, 71)] + [(2, 1, 2, 1.0), (2, 2, 1, 1.0)], "tree long, node long, parent long, score double")
-    rows = best_paths(chain.where("tree = 1")).collect()
-    assert sorted((r.back, r.node) for r in rows) == [(i, 70 - i) for i in range(70)]
+def test_long_chain_and_cycles(spark):
+    """A cycle without a leaf, and one that a leaf hangs on: neither has a way to a root, other branches stay."""
+    rows = [(1, i, i - 1 if i > 1 else None) for i in range(1, 71)]
+    rows += [(2, 1, 2), (2, 2, 1)]
+    rows += [(3, 1, 2), (3, 2, 1), (3, 3, 2), (3, 4, None), (3, 5, 4), (3, 6, 6)]
+    rows += [(4, 1, 1)]
+    nodes = spark.createDataFrame([(t, n, p, 1.0) for t, n, p in rows], "tree long, node long, parent long, score double")
+    paths = {}
+    for r in best_paths(nodes, branches=5).collect():
+        paths.setdefault((r.tree, r.branch), {})[r.back] = r.node
+    assert paths == {(1, 1): {i: 70 - i for i in range(70)}, (3, 1): {0: 5, 1: 4}}
+
+
+def test_odd_rows(spark):
+    """Null trees and nodes, repeated nodes and clashing columns."""
+    rows = [(None, 1, None, 1.0), (1, None, None, 1.0), (1, 1, None, 1.0), (1, 1, None, 3.0), (1, 2, 1, None), (1, 2, 1, None)]
+    nodes = spark.createDataFrame([(*r, "x", "x", "x") for r in rows], "tree long, node long, parent long, score double, up string, leaf string, sum string")
+    assert sorted((r.tree, r.back, r.node) for r in best_paths(nodes).collect()) == [(1, 0, 2), (1, 1, 1)]
+
+
+def test_conversations_with_nulls(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (None, 0, None, "b"), (None, None, "assistant", "c"), (1, 1, "assistant", None)]
+    said = spark.createDataFrame([(*r, "x", "x") for r in rows], "conv_id long, turn long, role string, text string, tree string, node string")
+    back = {r.tree.id if not r.tree.none else None: r for r in read_back(format_paths(linear_trees(said))).collect()}
+    assert [tuple(t) for t in back[1].turns] == [("user", "a"), ("assistant", ""), ("assistant", "")]
+    assert [tuple(t) for t in back[None].turns] == [("assistant", "c"), ("", "b")] and back[None].loss_text == "c"
 
 
 def test_formatted_and_read_back(spark):

@@ -57,6 +57,42 @@ def test_votes_are_exact_cosines():
         assert abs(found[i] - (weight * labels[near]).sum() / weight.sum()) < 1e-4
 
 
+def test_ties_take_the_first(spark):
+    cosine = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.3, 0.3, 0.3, 0.3, 0.3]], np.float32)
+    assert [sorted(r) for r in quality.nearest(cosine, 2).tolist()] == [[0, 1], [0, 1]]
+
+
+def test_equal_texts_have_equal_scores():
+    """Whatever rows stand about them in a batch."""
+    draw = np.random.default_rng(4)
+    counts = quality.term_counts([bytes(draw.integers(97, 123, 300, dtype=np.uint8)) for _ in range(700)])
+    model = {"idf": np.ones(quality.TERMS, np.float32), "projection": quality.directions(quality.weighted(counts, np.ones(quality.TERMS, np.float32)), 16)}
+    latent = quality.weighted(counts[:200], model["idf"]) @ model["projection"]
+    model |= {"latent": latent / np.linalg.norm(latent, axis=1, keepdims=True), "labels": (draw.random(200) < 0.5).astype(np.float32)}
+    whole = quality.votes(counts, model, 25)
+    for at in (1, 3, 100, 511, 600):
+        assert (quality.votes(counts[at : at + 1], model, 25) == whole[at : at + 1]).all()
+        assert (quality.votes(counts[at:], model, 25) == whole[at:]).all()
+
+
+def test_term_counts_and_idf(spark):
+    """Against plain counting; a document has a term or not, however often."""
+    texts = [b"", b"ab ab cd", "é 1A!\n".encode()]
+    counts = quality.term_counts(texts)
+    for row, text in zip(counts, texts):
+        slots = np.zeros(quality.PAIRS)
+        for a, b in zip(text, text[1:]):
+            slots[quality._slots[a * 256 + b]] += 1
+        assert np.allclose(row[: quality.PAIRS], slots / max(len(text) - 1, 1))
+    form = counts[1][quality.PAIRS :]
+    assert np.allclose(form, [0, 0, 0, 0, 1 / 3, 1 / 3, 3 / 8, 0]) and counts[0][-1] == 1 and counts[0].sum() == 1
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, 1) for i in range(3)], "doc_id long, quality int"))
+    want = np.log(4 / ((counts > 0).sum(axis=0) + 1)) + 0.1
+    want[quality.PAIRS :] += 2
+    assert np.allclose(model["idf"], want)
+
+
 def test_odd_documents(spark):
     docs = documents(spark, ODD)
     labels = spark.createDataFrame([(1, 1), (7, 0), (7, 0), (None, 1), (9, None)], "doc_id long, quality int")

@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from llm_cases import ODD, documents
 
@@ -40,18 +41,20 @@ def test_every_document(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == kind for k, _, _ in spans) for kind in secrets.KINDS]
 
 
-def test_ledger_is_incremental(spark):
+def test_ledger_is_incremental(spark, tmp_path):
     """A second run scans only unseen blobs; a new rule version scans all; findings reach every path."""
+    at = f"file://{tmp_path}/ledger"
     old = spark.createDataFrame([("a", TEXTS[2]), ("b", TEXTS[2]), (None, TEXTS[6])], "path string, text string")
     new = spark.createDataFrame([("c", TEXTS[2]), ("d", TEXTS[8])], "path string, text string")
-    found, ledger = secrets.scan_versions(old, path="path")
-    assert ledger.count() == 2 and found.count() == 3
-    unseen = secrets.scan_unseen(secrets.address(new, "path", "text"), ledger)
-    assert unseen.count() == 1
-    assert secrets.scan_unseen(secrets.address(new, "path", "text"), ledger, "rules-2").count() == 2
-    again, grown = secrets.scan_versions(new, path="path", ledger=ledger)
-    assert grown.count() == 3
+    kept = lambda: Counter((r.blob, r.rule_version) for r in secrets.read_ledger(spark, at).collect())
+    assert secrets.read_ledger(spark, at) is None
+    assert secrets.scan_versions(old, at, path="path").count() == 3 and len(kept()) == 2
+    assert secrets.scan_unseen(secrets.address(new, "path", "text"), secrets.read_ledger(spark, at)).count() == 1
+    again = secrets.scan_versions(new, at, path="path")
     assert {r.path: [tuple(s) for s in r.spans] for r in again.collect()} == {"c": brute(TEXTS[2]), "d": brute(TEXTS[8])}
+    assert len(kept()) == 3 and set(kept().values()) == {1}
+    assert secrets.scan_versions(new, at, path="path", rule_version="rules-2").count() == 2
+    assert len(kept()) == 5 and set(kept().values()) == {1}
 
 
 def test_redaction_keeps_rows(spark):
