@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordhash as wh
 from .common import table
 from .tokens import tokenizer_path
 
@@ -33,8 +34,10 @@ WINDOW = 16
 MASK = 127
 #: The most bytes of a chunk; longer ones are cut anywhere and rely on the repair of joins.
 LONGEST = 65_536
-KEPT_CHUNKS = 20_000
-KEPT_WORDS = 500_000
+#: Bytes that a worker's kept chunks and kept words may take (by estimate); when full it starts afresh.
+KEPT_BYTES = 64_000_000
+ENTRY_BYTES = 300  # of a kept entry beside its texts
+LONGEST_WORD = 64  # characters of a word that is kept
 BATCH_ROWS = 500
 
 #: White space that Python's split takes but the tokenizer's patterns may not.
@@ -84,6 +87,7 @@ class ChunkCoder:
         self.chunks: dict[bytes, Encoded] = {}
         self.ids: dict[str, str] = {}  # of words
         self.read: dict[str, str] = {}
+        self.chunk_bytes = self.word_bytes = 0
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -104,7 +108,14 @@ class ChunkCoder:
         self.read.update(zip(lacking, self.library.decode_batch(coded, skip_special_tokens=False) if coded else []))
         for chunk, words in zip(new, split):
             ids = " ".join(filter(None, map(self.ids.__getitem__, words)))
-            self.chunks[chunk] = ids, ids.count(" ") + bool(ids), " ".join(filter(None, map(self.read.__getitem__, words)))
+            read = " ".join(filter(None, map(self.read.__getitem__, words)))
+            self.chunks[chunk] = ids, ids.count(" ") + bool(ids), read
+            self.chunk_bytes += ENTRY_BYTES + len(chunk) + len(ids) + len(read)
+        for word in lacking:
+            if len(word) > LONGEST_WORD:
+                del self.ids[word], self.read[word]
+            else:
+                self.word_bytes += ENTRY_BYTES + 2 * len(word)
 
     def seams(self, pairs: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
         """Those of the joins at which the two sides' ids are not those of the text across the join."""
@@ -130,11 +141,13 @@ class ChunkCoder:
 
     def code(self, texts: list[str | None]) -> list[Encoded]:
         """Ids and decoded text of each whole text; null is empty."""
-        if len(self.chunks) > KEPT_CHUNKS:
+        if self.chunk_bytes > KEPT_BYTES:
             self.chunks.clear()
-        if len(self.ids) > KEPT_WORDS:
+            self.chunk_bytes = 0
+        if self.word_bytes > KEPT_BYTES:
             self.ids.clear()
             self.read.clear()
+            self.word_bytes = 0
         split = []
         for text in texts:
             data = (text or "").encode()
@@ -177,20 +190,23 @@ def encode_decode(
 
     ``ids`` are decimal and joined by one space; ``decoded`` is the library's decoding of them with
     special tokens kept. ``derive`` makes other ``columns`` (a DDL string of longs and strings) from
-    (ids, n_tokens, decoded), so that what is not wanted need not leave the task. Null text is empty;
-    repeated rows and null ids stay as they are; an empty table gives no rows.
+    (ids, n_tokens, decoded), so that what is not wanted need not leave the task. Null text is empty; a very
+    long text is a batch of its own; repeated rows and null ids stay as they are; columns that are not kept do
+    not matter, and a kept one named like a column made here is refused (ValueError); an empty table gives no rows.
     """
     path = tokenizer_path(vocabulary)
     names = [c.split()[0] for c in columns.split(",")]
+    if clashing := set(keep) & {*names, "_encoded_text"}:
+        raise ValueError(f"kept columns named like new ones: {sorted(clashing)}")
     kinds = [pa.int64() if c.split()[1] == "long" else pa.string() for c in columns.split(",")]
     make = derive or tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = coder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                rows = batch.slice(at, BATCH_ROWS)
-                made = [make(code) for code in chunks.code(rows.column(rows.num_columns - 1).to_pylist())]
+            for a, b, texts in wh.batches(batch, "_encoded_text", BATCH_ROWS):
+                rows = batch.slice(a, b - a)
+                made = [make(code) for code in chunks.code([t.decode() for t in texts])]
                 values = [pa.array(v, kind) for v, kind in zip(zip(*made), kinds)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *values], [*keep, *names])
 

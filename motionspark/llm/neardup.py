@@ -11,9 +11,13 @@ estimate below adds 0.00003.
 The comparison at a leaf uses the documents' minwise values (an estimate of similarity) and keeps a
 spanning forest of what may be similar, with a margin below the threshold, so a group of copies gives
 as many links as documents and never all its pairs. The connected groups of these links are then
-compared on the full shingle sets, which alone decide which documents are linked. A group is compared
-within one task up to ``block`` members; a larger one is cut into blocks and each pair of blocks is a
-task. Documents with equal sets are one class from the start, and a class takes part once.
+compared on the full shingle sets, which alone decide which documents are linked. A group of up to ``block``
+members and BLOCK_SHINGLES shingles is compared within one task. In a larger one a member is compared with
+all others, chunk by chunk, as the centre of a star; what links to it is the main part, and further members
+outside it are tried as centres in turn, ``stars`` times at most. Members that are then still outside are compared
+with every member of their group, chunk by chunk. Pairs within the main part need no comparison, so a group
+of near copies takes work in proportion to its size. Documents with equal sets are one class from the
+start, and a class takes part once.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ LEAF = 64
 #: more than four standard deviations below the threshold.
 MARGIN = 0.5
 BLOCK = 500
+BLOCK_SHINGLES = 4_000_000  # 8 bytes each
+STARS = 4
 LAST = 2**63 - 1  # stands for a null id
 
 _seeds = np.random.default_rng(23).integers(1, 2**63, (TREES + EXTRA) * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,11 +184,13 @@ def may_link(classes: DataFrame, trees: int, levels: int, leaf: int, margin: flo
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """doc, tasks and the full shingle set of each member (64-bit hashes, sorted)."""
+    """doc, root, parts and the full shingle set of each member (64-bit hashes, sorted); neighbouring rows of a member count once."""
     for batch in batches:
+        doc = batch.column("doc").to_numpy()
+        batch = batch.filter(pa.array(np.append(True, doc[1:] != doc[:-1]))) if len(doc) else batch
         for a, b, texts in wh.batches(batch):
             packed = pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), batch.column("tasks").slice(a, b - a), packed], ["doc", "tasks", "shingles"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in ("doc", "root", "parts")], packed], ["doc", "root", "parts", "shingles"])
 
 
 def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -226,8 +234,74 @@ def confirm(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFra
         yield pd.DataFrame(out, columns=["a", "b"])
 
 
+def star(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Links (a, b) of centres to members; rows come sorted by task with the centre first."""
+    task, centre, near = None, 0, np.zeros(0, np.uint64)
+    for frame in frames:
+        out = []
+        for key, first, doc, packed in zip(frame["task"], frame["first"], frame["doc"], frame["shingles"]):
+            own = np.frombuffer(packed, np.uint64)
+            if key != task or first == 0:
+                task, centre, near = key, doc, own
+            elif doc != centre:
+                common = int((near[np.minimum(np.searchsorted(near, own), len(near) - 1)] == own).sum())
+                if 100 * common >= percent * (len(near) + len(own) - common):
+                    out.append((centre, doc))
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def star_links(sets: DataFrame, percent: int, stars: int) -> tuple[DataFrame, DataFrame]:
+    """Links of star after star in groups of many parts, and the members (doc, root) left outside the main part.
+
+    ``sets``: doc, root, parts, shingles.
+    """
+    chunk = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    state = sets.select("doc", "root").distinct().select("doc", "root", F.lit(False).alias("main"), F.lit(False).alias("used"))
+    links = None
+    for k in range(stars):
+        centres = state.where("not main and not used").groupBy("root").agg(F.min("doc").alias("doc"))
+        middle = sets.join(centres, ["doc", "root"]).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.lit(0).alias("first"), "doc", "shingles")
+        about = sets.join(centres.select("root"), "root", "left_semi").select("root", chunk.alias("chunk"), F.lit(1).alias("first"), "doc", "shingles")
+        dealt = middle.unionByName(about).select(F.xxhash64("root", "chunk").alias("task"), "first", "doc", "shingles").repartition("task").sortWithinPartitions("task", "first", "doc")
+        found = staged(dealt.mapInPandas(partial(star, percent=percent), "a long, b long"), "near-star")
+        links = found if links is None else links.unionByName(found)
+        ends = found.select(F.col("b").alias("doc"), F.lit(True).alias("hit")).distinct()
+        seen = state.join(ends, "doc", "left").join(centres.select(F.col("root"), F.col("doc").alias("centre")), "root", "left")
+        # A star joins the main part if it touches it; the first one is the main part.
+        touch = seen.groupBy("root").agg(F.max(F.lit(k == 0) | (F.coalesce("hit", F.lit(False)) & F.col("main"))).alias("touch"))
+        mine = F.coalesce("hit", F.lit(False)) | (F.col("doc") == F.col("centre"))
+        state = staged(
+            seen.join(touch, "root").select("doc", "root", (F.col("main") | (F.col("touch") & F.coalesce(mine, F.lit(False)))).alias("main"), (F.col("used") | F.coalesce(F.col("doc") == F.col("centre"), F.lit(False))).alias("used")), "near-state"
+        )
+        if state.where("not main and not used").isEmpty():
+            break
+    return links, state.where("not main").select("doc", "root")
+
+
+def confirmed_links(sets: DataFrame, percent: int, block: int, stars: int) -> DataFrame:
+    """Links (a, b) that keep the members of every group as connected as all their pairs do, on full sets.
+
+    ``sets``: doc, root (the group), parts (1 where the group fits a task), shingles.
+    """
+    tasks = sets.where("parts = 1").select(F.xxhash64("root").alias("task"), "doc", "shingles")
+    large = sets.where("parts > 1")
+    links = None
+    if not large.isEmpty():
+        links, rest = star_links(large, percent, stars)
+        outside = rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(block / 2)).cast("int").alias("rest_parts"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        part = lambda n: F.pmod(F.xxhash64("doc", F.lit(1)), F.col(n)).cast("int")
+        all_members = large.join(outside, "root").select("root", every("rest_parts").alias("x"), part("parts").alias("y"), "doc", "shingles")
+        left_out = large.join(rest.select("doc"), "doc", "left_semi").join(outside, "root").select("root", part("rest_parts").alias("x"), every("parts").alias("y"), "doc", "shingles")
+        tasks = tasks.unionByName(all_members.unionByName(left_out).select(F.xxhash64("root", "x", "y").alias("task"), "doc", "shingles"))
+    dealt = tasks.repartition("task").sortWithinPartitions("task", "doc")
+    within = dealt.mapInPandas(partial(confirm, percent=percent), "a long, b long")
+    return staged((within if links is None else within.unionByName(links)).where("a <> b"), "near-confirmed")
+
+
 def near_duplicates(
-    docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, leaf: int = LEAF, margin: float = MARGIN, block: int = BLOCK
+    docs: DataFrame, words: int = 5, percent: int = 80, trees: int = TREES, levels: int = LEVELS, leaf: int = LEAF, margin: float = MARGIN, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, stars: int = STARS
 ) -> DataFrame:
     """doc_id, row, n_shingles, component_id, kept: the component of each document under the link relation.
 
@@ -250,17 +324,14 @@ def near_duplicates(
     # Links join classes, by a key of their own: ids may be repeated or missing.
     keyed = classes.select(F.col("class").alias("doc"), "n_shingles", "minwise")
     plausible = components(may_link(keyed, trees, levels, leaf, margin, percent / 100), "near-may")
-    sizes = plausible.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / F.lit(block / 2)).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    # Up to a block's members a group is one task; beyond it each pair of half blocks is one.
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("own"))
-    tasks = F.when(F.col("size") <= block, F.array(F.xxhash64("root"))).otherwise(F.transform(others, lambda i: F.xxhash64("root", F.least(i, F.col("own")), F.greatest(i, F.col("own")))))
-    asked = plausible.withColumnRenamed("node", "class").join(sizes, "root").withColumn("blocks", blocks).withColumn("own", own).select("class", tasks.alias("tasks"))
-    members = classes.join(asked, "class").select("doc", "row", "class", "tasks")
-    full = texts.join(members, ["doc", "row"]).select(F.col("class").alias("doc"), "tasks", "text").mapInArrow(partial(sets_of, words=words), "doc long, tasks array<long>, shingles binary")
-    by_task = full.select(F.explode("tasks").alias("task"), "doc", "shingles").repartition("task").sortWithinPartitions("task", "doc")
-    links = staged(by_task.mapInPandas(partial(confirm, percent=percent), "a long, b long").where("a <> b"), "near-confirmed")
+    in_group = plausible.withColumnRenamed("node", "class").join(classes.select("class", "doc", "row", "n_shingles"), "class")
+    sizes = in_group.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("shingles"))
+    parts = F.when((F.col("size") <= block) & (F.col("shingles") <= block_shingles), 1).otherwise(F.greatest(F.lit(2), F.ceil(F.col("size") / F.lit(block / 2)), F.ceil(F.col("shingles") / F.lit(block_shingles / 2)))).cast("int")
+    members = in_group.join(sizes.select("root", parts.alias("parts")), "root").select("doc", "row", "class", "root", "parts")
+    full = texts.join(members, ["doc", "row"]).select(F.col("class").alias("doc"), "root", "parts", "text").mapInArrow(partial(sets_of, words=words), "doc long, root long, parts int, shingles binary")
+    sets = staged(full, "near-sets")
+    links = confirmed_links(sets, percent, block, stars)
+    drop_staged(sets)
     found = components(links, "near-links")
     # A class carries its component's first document (id and text) to its documents.
     rooted = classes.join(found.withColumnRenamed("node", "class"), "class", "left").select(*same, "doc", "row", F.coalesce("root", "class").alias("root"))

@@ -11,9 +11,8 @@ def got(df):
     return {r.doc_id: (r.n_shingles, r.component_id) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block", [500, 8])  # 8: groups are compared in pairs of blocks
-@pytest.mark.parametrize("n", [2, 5])
-def test_against_all_pairs(spark, n, block):
+@pytest.mark.parametrize("n, block, stars", [(2, 500, 4), (2, 8, 4), (5, 8, 1)])  # 8: groups are compared star by star, then what is outside with all
+def test_against_all_pairs(spark, n, block, stars):
     draw = random.Random(n)
     base = [[f"w{draw.randint(0, 400)}" for _ in range(draw.randint(1, 80))] for _ in range(15)]
     rows = []
@@ -24,7 +23,7 @@ def test_against_all_pairs(spark, n, block):
         rows.append((i, draw.choice([str.upper, str.lower])(" ".join(text)), "s"))
     want = near_components([(i, t) for i, t, _ in rows], n, 80)
     assert len({c for _, c in want.values()}) < 160
-    assert got(near_duplicates(documents(spark, rows), words=n, block=block)) == want
+    assert got(near_duplicates(documents(spark, rows), words=n, block=block, stars=stars)) == want
 
 
 def test_words_that_polynomials_confuse(spark):
@@ -42,6 +41,26 @@ def test_large_leaf_group(spark):
     assert set(found.values()) == {(120, 0)}
 
 
+def test_chains_and_stars(spark):
+    """Members that the centres do not link to: a chain of texts, each near its neighbours only, and two separate families."""
+    draw = random.Random(9)
+    word = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(word), "s"))
+        word = word[3:] + [f"c{i}x{k}" for k in range(3)]
+    for i in range(60, 120):
+        text = [f"v{k}" for k in range(100)]
+        text[draw.randrange(100)] = f"x{i}"
+        text[draw.randrange(100)] = f"y{i}"
+        if i % 2:
+            text[::6] = [f"z{k}" for k in range(17)]  # the other family: similar by half
+        rows.append((i, " ".join(text), "s"))
+    want = near_components([(i, t) for i, t, _ in rows], 2, 80)
+    assert len({c for _, c in want.values()}) == 3
+    assert got(near_duplicates(documents(spark, rows), words=2, block=10, block_shingles=500)) == want
+
+
 def test_deep_pairs_meet(spark):
     """Pairs at 0.8 whose nodes are split down to the last level; 8 trees alone missed 14 of them."""
     draw, pairs = np.random.default_rng(5), 1500

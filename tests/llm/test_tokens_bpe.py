@@ -81,6 +81,24 @@ def test_encode_decode_rows(spark, word_library):
     assert sorted([tuple(r) for r in found], key=repr) == want
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, ids string, n_tokens string")
+    assert bpe.encode_decode(docs).columns == ["doc_id", "ids", "n_tokens", "decoded"]
+    with pytest.raises(ValueError):
+        bpe.encode_decode(docs, keep=("doc_id", "ids"))
+
+
+def test_store_stays_bounded(word_library, monkeypatch):
+    """A store that is full starts afresh, and results stay the library's."""
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 5_000)
+    coder = bpe.ChunkCoder(tokens.tokenizer_path(bpe.VOCABULARY))
+    draw = random.Random(8)
+    for _ in range(12):
+        text = " ".join("".join(draw.choice("abcdé") for _ in range(draw.randint(1, 90))) for _ in range(60))
+        assert tuple(coder.code([text])[0]) == whole(word_library, text)
+        assert coder.chunk_bytes < 40_000 and coder.word_bytes < 40_000
+
+
 def test_every_document(spark, word_library, byte_library):
     import hashlib
 
