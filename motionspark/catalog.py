@@ -6,16 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analogues, strokes
-from .plans.dialect import Duck, Spark
-from .plans.run import run
+from .plans import analogues, stroke_sql, strokes
 
 FLAGSHIP = "stroke_impact"
 
-
-def _plan(plan: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: run(spark, plan(Spark(sf_dir)))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _plan(plan) for name, plan in strokes.PLANS.items()} | analogues.QUERIES
-ORACLE_SQL: dict[str, str] = {name: plan(Duck()) for name, plan in strokes.PLANS.items()} | analogues.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = strokes.QUERIES | analogues.QUERIES
+ORACLE_SQL: dict[str, str] = stroke_sql.ORACLES | analogues.ORACLE_SQL

@@ -4,7 +4,7 @@ import pytest
 from conftest import SMALL
 
 from motionspark import catalog
-from motionspark.plans.strokes import REASONS
+from motionspark.plans.analysis import REASONS
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +29,10 @@ def test_jitter_and_deceleration(impact):
 
 def test_each_refusal(impact):
     reasons = {k: r["reason"] for k, r in impact.items()}
-    assert all(v == REASONS[3] for k, v in reasons.items() if k % 8 == 4)
-    assert all(v == REASONS[2] for k, v in reasons.items() if k % 8 == 5)
-    assert all(v == REASONS[6] for k, v in reasons.items() if k % 8 == 6)
-    assert all(v == REASONS[1] for k, v in reasons.items() if k % 16 == 3)
+    assert all(v == REASONS[2] for k, v in reasons.items() if k % 8 == 4)
+    assert all(v == REASONS[1] for k, v in reasons.items() if k % 8 == 5)
+    assert all(v == REASONS[5] for k, v in reasons.items() if k % 8 == 6)
+    assert all(v == REASONS[0] for k, v in reasons.items() if k % 16 == 3)
     assert all(v is None for k, v in reasons.items() if k % 8 in (0, 1, 2, 7))
 
 
