@@ -11,32 +11,6 @@ def finite(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
-def sorted_values(x: Column) -> Column:
-    return F.array_sort(F.collect_list(x))
-
-
-def value_at(values: Column, index: Column) -> Column:
-    """Element of a sorted array by zero-based index, null if there is none."""
-    return F.try_element_at(values, index.cast("int") + 1)
-
-
-def upper_median(x: Column) -> Column:
-    """Aggregate: the element at floor(n / 2), not interpolated."""
-    values = sorted_values(x)
-    return value_at(values, F.floor(F.size(values) / 2))
-
-
-def index_quantile(x: Column, q: float) -> Column:
-    """Aggregate: the element at floor(n * q)."""
-    values = sorted_values(x)
-    return value_at(values, F.least(F.floor(F.size(values) * F.lit(q)), F.size(values) - 1))
-
-
-def interpolated(x: Column, p: float) -> Column:
-    """Aggregate: the percentile interpolated at (n - 1) * p, 0 for no values."""
-    return F.coalesce(F.percentile(x, F.lit(p)), F.lit(0.0))
-
-
 def session_stats(x: Column) -> Column:
     """Aggregate: struct(mean, sd) of the finite values; sd is the population's and null below two values."""
     x = finite(x)

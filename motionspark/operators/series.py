@@ -5,7 +5,7 @@ All windows of an operator share one partitioning and order, so a series is shuf
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -98,15 +98,15 @@ def smoothed_normal(df: DataFrame, by: list[str], at: str, angle: str, half: int
 
 
 def across_outliers(df: DataFrame, by: list[str], x: str, least: int = 8, floor: float = 45.0, spread: float = 4.0) -> DataFrame:
-    """Rows farther from their key's upper median than max(floor, spread * IQR) go, if the key has ``least`` rows or more.
+    """Rows farther from their key's upper median than max(floor, spread * IQR) go, if the key has ``least`` values or more.
 
-    The quartiles are the elements at floor(n q), so three quantiles come from one sorted array per key.
+    The quartiles are the values at floor(n q). Rows without a value stay.
     """
-    bounds = df.groupBy(*by).agg(
-        F.count(x).alias("_n"), robust.upper_median(F.col(x)).alias("_mid"), robust.index_quantile(F.col(x), 0.25).alias("_low"), robust.index_quantile(F.col(x), 0.75).alias("_high")
-    )
+    at = lambda q: lambda n: F.least(F.floor(n * q), n - 1)
+    bounds = order_statistics(df, by, x, {"_mid": at(0.5), "_low": at(0.25), "_high": at(0.75)}, "_n").alias("b")
     far = F.abs(F.col(x) - F.col("_mid")) > F.greatest(F.lit(floor), spread * (F.col("_high") - F.col("_low")))
-    return df.join(bounds, by).where(~((F.col("_n") >= least) & far)).select(*df.columns)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    return df.alias("d").join(bounds, same).where(~F.coalesce((F.col("_n") >= least) & far, F.lit(False))).select("d.*")
 
 
 def _within_limit(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
@@ -133,25 +133,44 @@ def speed_limit(df: DataFrame, by: list[str], frame: str, y: str, limit: float =
     return rows.repartition(*by).sortWithinPartitions(*by, frame, y).mapInArrow(partial(_within_limit, limit=limit), rows.schema)
 
 
-def upper_median(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
-    """by, ``name``: the element at floor(n / 2) of each key's values in order, nulls left out.
+def order_statistics(df: DataFrame, by: list[str], x: str, wanted: dict[str, Callable[[Column], Column]], count: str = "n") -> DataFrame:
+    """by, ``count`` and for each of ``wanted`` the value at a zero-based place in the order of the key's values, nulls left out.
 
-    Values are counted, the counts summed over value ranges, and only the range that holds the median is
-    ordered within one task, so a key with any number of rows is spread over all ranges.
+    ``wanted`` gives the place from the number of values. Values are counted, the counts summed over value
+    ranges, and only the ranges that hold a wanted place are ordered within one task, so a key with any
+    number of rows is spread over all ranges. Keys without values have a count of 0 and nulls.
     """
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("_n"))
-    ranged = written(counts.repartitionByRange(*by, x).withColumn("_range", F.spark_partition_id()), "median-ranges")
+    ranged = written(counts.repartitionByRange(*by, x).withColumn("_range", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    half = F.floor(F.sum("_sum").over(Window.partitionBy(*by)) / 2)
-    placed = sums.select(*by, "_range", "_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), half.alias("_half"))
-    held = placed.where((F.col("_before") <= F.col("_half")) & (F.col("_half") < F.col("_before") + F.col("_sum")))
+    total = F.sum("_sum").over(Window.partitionBy(*by))
+    placed = sums.select(*by, "_range", "_sum", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), total.alias("_all"))
+    places = F.array(*[place(F.col("_all")).cast("long") for place in wanted.values()])
+    held = placed.withColumn("_places", places).where(F.exists("_places", lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_sum"))))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*by, "_range"]]
-    upto = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    within = ranged.alias("r").join(held.alias("h"), same).select(*[F.col(f"r.{c}") for c in [*by, x]], "_n", "_before", "_half").withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
-    found = within.where("_upto > _half").groupBy(*by).agg(F.min(x).alias(name)).alias("m")
+    upto = Window.partitionBy(*by, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.alias("r").join(held.alias("h"), same).select(*[F.col(f"r.{c}") for c in [*by, "_range", x]], "_n", "_before", "_all", "_places").withColumn("_upto", F.col("_before") + F.sum("_n").over(upto))
+    here = lambda i: (F.col("_places")[i] < F.col("_upto")) & (F.col("_places")[i] >= F.col("_upto") - F.col("_n"))
+    found = within.groupBy(*by).agg(F.max("_all").alias(count), *[F.max(F.when(here(i), F.col(x))).alias(name) for i, name in enumerate(wanted)]).alias("m")
     keys = df.select(*by).distinct().alias("k")
-    return keys.join(found, [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by], "left").select(*[F.col(f"k.{c}") for c in by], name)
+    shown = [F.coalesce(F.col(f"m.{count}"), F.lit(0)).alias(count), *[F.col(f"m.{name}") for name in wanted]]
+    return keys.join(found, [F.col(f"k.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by], "left").select(*[F.col(f"k.{c}") for c in by], *shown)
+
+
+def upper_median(df: DataFrame, by: list[str], x: str, name: str) -> DataFrame:
+    """by, ``name``: the element at floor(n / 2) of each key's values in order, nulls left out."""
+    return order_statistics(df, by, x, {name: lambda n: F.floor(n / 2)}, "_n").drop("_n")
+
+
+def percentiles(df: DataFrame, by: list[str], x: str, wanted: dict[str, float]) -> DataFrame:
+    """by and the percentiles of each key's values interpolated at (n - 1) * p, 0 for no values."""
+    places = {}
+    for name, p in wanted.items():
+        places |= {f"_lo_{name}": lambda n, p=p: F.floor((n - 1) * p), f"_hi_{name}": lambda n, p=p: F.ceil((n - 1) * p)}
+    o = order_statistics(df, by, x, places, "_n")
+    share = lambda p: (F.col("_n") - 1) * p - F.floor((F.col("_n") - 1) * p)
+    return o.select(*by, *[F.coalesce(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * share(p), F.lit(0.0)).alias(n) for n, p in wanted.items()])
 
 
 def medoid(df: DataFrame, by: list[str], at: str, angle: str, period: float = 180.0) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import upper_median
+
 #: Fixed values of the tracker (pixels, frames).
 GATE, MIN_MOVE, MISSES, RETURNED = 26.0, 40.0, 6, 0.6
 
@@ -105,32 +107,7 @@ def resolve_ball(candidates: DataFrame, gate: float = GATE, min_move: float = MI
     return own.unionByName(still.select("clip_id", "frame", "c.x", "c.y"))
 
 
-def head_continuity(heads: DataFrame, head_mm: float = 110.0) -> DataFrame:
-    """Head sightings (clip_id, frame, x, y) that agree with the motion of the accepted ones before them.
-
-    One is refused if it lies farther from where the smoothed velocity leads than
-    head_mm * (0.7 + 0.25 * frames since the last accepted one).
-    """
-
-    def clip(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, last, vx, vy = [], None, 0.0, 0.0
-        for i, (frame, x, y) in enumerate(zip(rows["frame"], rows["x"], rows["y"])) if rows["frame"].is_monotonic_increasing else []:
-            if last is not None:
-                gap = frame - last[0]
-                if math.hypot(x - last[1] - vx * gap, y - last[2] - vy * gap) > head_mm * (0.7 + 0.25 * gap):
-                    continue
-                vx, vy = 0.5 * vx + 0.5 * (x - last[1]) / gap, 0.5 * vy + 0.5 * (y - last[2]) / gap
-            last = (frame, x, y)
-            kept.append(i)
-        return rows.iloc[kept]
-
-    kind = ", ".join(f"{n} {t}" for n, t in heads.dtypes)
-    return heads.groupBy("clip_id").applyInPandas(lambda rows: clip(rows.sort_values("frame").reset_index(drop=True)), kind)
-
-
 def scale_from_ball(tracked: DataFrame, ball_mm: float = 42.7) -> DataFrame:
     """clip_id, scale: the ball's true width over the upper median of its measured ones, if within (0.15, 8)."""
-    from ..functions.robust import upper_median
-
     k = F.lit(ball_mm) / F.col("width")
-    return tracked.groupBy("clip_id").agg(upper_median(F.col("width_mm")).alias("width")).select("clip_id", F.when((k > 0.15) & (k < 8), k).alias("scale"))
+    return upper_median(tracked, ["clip_id"], "width_mm", "width").select("clip_id", F.when((k > 0.15) & (k < 8), k).alias("scale"))

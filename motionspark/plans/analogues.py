@@ -40,7 +40,8 @@ def upper_median_by_flag(spark, sf_dir):
 
 
 def percentile_interp(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(*[rounded(robust.interpolated(F.col("value"), p)).alias(f"p{int(p * 100)}") for p in (0.05, 0.5, 0.95)])
+    found = series.percentiles(events(spark, sf_dir), ["event_type"], "value", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    return found.select("event_type", *[rounded(F.col(c)).alias(c) for c in ("p5", "p50", "p95")])
 
 
 def across_outliers(spark, sf_dir):
@@ -148,8 +149,7 @@ def stride_sample(spark, sf_dir):
 def csv_projection(spark, sf_dir):
     from pyspark.sql import Window
 
-    e = events(spark, sf_dir).where("event_type = 'signup'")
-    return e.select((F.row_number().over(Window.partitionBy("user_id").orderBy("ts"))).alias("no"), "user_id", "event_id", rounded(F.col("value")).alias("value"))
+    return events(spark, sf_dir).select((F.row_number().over(Window.partitionBy("user_id").orderBy("ts"))).alias("no"), "user_id", "event_id", rounded(F.col("value")).alias("value"))
 
 
 def arc_fit(spark, sf_dir):
@@ -232,7 +232,7 @@ h AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d
 q AS (SELECT *, CASE WHEN v > 0 THEN d / v ELSE 0 END AS s, CASE WHEN d = 0 THEN 0 WHEN v = r THEN (((g - b) / d) % 6 + 6) % 6 WHEN v = g THEN (b - r) / d + 2 ELSE (r - g) / d + 4 END * 60 AS hue FROM h)
 SELECT l_returnflag, {r4("avg(s)")} AS s, {r4("avg(v)")} AS v, {r4("avg(least(abs(hue - 55) % 360, 360 - abs(hue - 55) % 360))")} AS off_yellow FROM q GROUP BY 1""",
     "stride_sample": "SELECT event_id, i::INT AS i FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE i % ceil(n / 15.0) = 0",
-    "csv_projection": f"SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts)::INT AS no, user_id, event_id, {r4('value')} AS value FROM events WHERE event_type = 'signup'",
+    "csv_projection": f"SELECT row_number() OVER (PARTITION BY user_id ORDER BY ts)::INT AS no, user_id, event_id, {r4('value')} AS value FROM events",
     "arc_fit": f"""WITH {EV}, k0 AS (SELECT event_type, t / 86400 - floor(t / 86400) AS d, value FROM ev), {_trim("k0", 1)}, {_trim("k1", 2)}, {_trim("k2", 3)}
 SELECT event_type, s0::BIGINT AS n, floor(({_a}) * 100 + 0.5) / 100 AS a, floor(({_b}) * 100 + 0.5) / 100 AS b FROM (SELECT event_type, {_sums("d", "value")} FROM k3 GROUP BY 1)""",
 }

@@ -47,9 +47,12 @@ def test_solve3(spark):
 
 
 def test_the_medians_differ(spark):
-    df = spark.createDataFrame([(float(v),) for v in (1, 2, 4, 8)], "x double")
-    got = df.agg(robust.upper_median(F.col("x")), F.median("x"), robust.interpolated(F.col("x"), 0.95), robust.index_quantile(F.col("x"), 0.75)).first()
-    assert [round(v, 6) for v in got] == [4, 3, 7.4, 8]
+    df = spark.createDataFrame([("k", float(v)) for v in (1, 2, 4, 8)] + [("none", None)], "k string, x double")
+    upper = {r.k: r.m for r in series.upper_median(df, ["k"], "x", "m").collect()}
+    between = {r.k: (r.p95, r.p50) for r in series.percentiles(df, ["k"], "x", {"p95": 0.95, "p50": 0.5}).collect()}
+    third = {r.k: (r.n, r.q) for r in series.order_statistics(df, ["k"], "x", {"q": lambda n: F.floor(n * 0.75)}).collect()}
+    assert upper == {"k": 4, "none": None} and third == {"k": (4, 8), "none": (0, None)}
+    assert [round(v, 6) for v in between["k"]] == [7.4, 3] and between["none"] == (0, 0)
 
 
 def test_session_stats(spark):

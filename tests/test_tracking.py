@@ -6,6 +6,7 @@ import struct
 import numpy as np
 from pyspark.sql import functions as F
 
+from motionspark.operators.observations import accepted_heads
 from motionspark.operators import pixels, tracking
 from motionspark.sources import mp4, session_store
 from motionspark.streaming.tracker import associate_stream
@@ -42,10 +43,10 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.table("tracked").collect()} == batch
 
 
-def test_head_continuity_refuses_a_jump(spark):
-    rows = [(1, f, 10.0 * f, 0.0) for f in range(10)] + [(1, 10, 900.0, 0.0), (1, 11, 110.0, 0.0)]
-    kept = tracking.head_continuity(spark.createDataFrame(rows, "clip_id long, frame int, x double, y double")).collect()
-    assert sorted(r["frame"] for r in kept) == [*range(10), 11]
+def test_heads_that_jump_or_blur_are_refused(spark):
+    rows = [(1, f, 10.0 * f, 0.0, 1.0, 0.5) for f in range(10)] + [(1, 10, 900.0, 0.0, 1.0, 0.5), (1, 11, 110.0, 0.0, 1.0, 0.5), (1, 12, 120.0, 0.0, 1.0, 3.0), (1, 13, 130.0, 0.0, 1.0, None), (2, 0, 5.0, 5.0, 1.0, 0.5)]
+    kept = accepted_heads(spark.createDataFrame(rows, "clip_id long, frame int, x double, y double, mm_per_px double, rms double")).collect()
+    assert sorted((r.clip_id, r.frame) for r in kept) == [*[(1, f) for f in range(10)], (1, 11), (2, 0)]
 
 
 def raster(w=80, h=60, draw=()):
