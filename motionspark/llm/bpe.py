@@ -36,12 +36,15 @@ MASK = 127
 LONGEST = 65_536
 #: Bytes that a worker's kept chunks and kept words may take (by estimate); when full it starts afresh.
 KEPT_BYTES = 64_000_000
+KEPT_WORD_BYTES = 150_000_000
 ENTRY_BYTES = 300  # of a kept entry beside its texts
 LONGEST_WORD = 64  # characters of a word that is kept
 BATCH_ROWS = 500
 
 #: White space that Python's split takes but the tokenizer's patterns may not.
 _odd = re.compile(r"[\x1c-\x1f\x85]")
+#: Words of plain letters with plain marks behind: the vocabulary's pattern takes the two apart and lower-cases the letters.
+_plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _SPACES = b" \t\n\v\f\r"
 _EACH = [bytes([b]) for b in _SPACES]
 _factors = np.random.default_rng(7).integers(1, 2**32, 256, dtype=np.uint32) | np.uint32(1)
@@ -88,11 +91,23 @@ class ChunkCoder:
         self.ids: dict[str, str] = {}  # of words
         self.read: dict[str, str] = {}
         self.chunk_bytes = self.word_bytes = 0
+        if self.library.decoder is not None:
+            raise ValueError("a vocabulary with a decoder is not known here")
+        self.token = {i: t for t, i in self.library.get_vocab().items()}  # without a decoder they are joined by spaces
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        moved = [b for b in range(256) if b not in printable]
+        letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(moved)}  # the format's fixed map of bytes to letters
+        self.letters = str.maketrans({chr(c): "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)})
+        self.number = {i: str(i) for i in self.token}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)] if texts else []
 
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of one piece as the pattern takes it: normalized letters or marks, in the model's letters for their bytes."""
+        return [t.id for t in self.library.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+
     def _whole(self, text: str) -> bool:
         """Whether the library alone has to encode this chunk: its words may not stand for themselves."""
         return _odd.search(text) is not None or any(s in text for s in self.special)
@@ -102,16 +117,21 @@ class ChunkCoder:
         texts = [c.decode() for c in new]
         split = [[t] if self._whole(t) else t.split() for t in texts]
         found = [list(map(self.ids.get, words)) for words in split]
-        lacking = list({w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None})
-        coded = self._encode(lacking)
-        self.ids.update(zip(lacking, (" ".join(map(str, ids)) for ids in coded)))
-        self.read.update(zip(lacking, self.library.decode_batch(coded, skip_special_tokens=False) if coded else []))
+        lacking = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
+        parts = {w: (m[1].lower(), m[2]) if (m := _plain.fullmatch(w)) else (w,) for w in lacking}
+        apart = list({p for ps in parts.values() if len(ps) == 2 for p in ps if p}.difference(self.ids))
+        mixed = [w for w, ps in parts.items() if len(ps) == 1]
+        for part, ids in zip([*apart, *mixed], [*map(self._piece, apart), *self._encode(mixed)]):
+            self.ids[part], self.read[part] = " ".join(map(self.number.__getitem__, ids)), " ".join(map(self.token.__getitem__, ids))
+        for word, ps in parts.items():
+            if len(ps) == 2:
+                self.ids[word], self.read[word] = (f"{x[ps[0]]} {x[ps[1]]}" if ps[1] else x[ps[0]] for x in (self.ids, self.read))
         for chunk, words in zip(new, split):
             ids = " ".join(filter(None, map(self.ids.__getitem__, words)))
             read = " ".join(filter(None, map(self.read.__getitem__, words)))
             self.chunks[chunk] = ids, ids.count(" ") + bool(ids), read
             self.chunk_bytes += ENTRY_BYTES + len(chunk) + len(ids) + len(read)
-        for word in lacking:
+        for word in lacking.union(apart):
             if len(word) > LONGEST_WORD:
                 del self.ids[word], self.read[word]
             else:
@@ -144,7 +164,7 @@ class ChunkCoder:
         if self.chunk_bytes > KEPT_BYTES:
             self.chunks.clear()
             self.chunk_bytes = 0
-        if self.word_bytes > KEPT_BYTES:
+        if self.word_bytes > KEPT_WORD_BYTES:
             self.ids.clear()
             self.read.clear()
             self.word_bytes = 0

@@ -15,7 +15,7 @@ from motionspark.llm import bpe, tokens
 
 HARD = [
     "", " ", "\n\n", "a", "  lead", "tail  ", "it's we've they'll I'm 're 'veal", "<|endoftext|>", "x<|endoftext|>y <|startoftext|> z", "1234567 12 3.14", "tab\tand\r\nlines\n \n",
-    "naïve café — “quoted”…", "漢字かな混じり文", "🙂🙃 emoji👩‍👩‍👧", "a\x1cb\x85c\xa0d e", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 20, "!!!???...---" * 9, "x" * 70_000, "MiXeD CaSe WORDS", "\x00nul\x00", "é combining",
+    "naïve café — “quoted”…", "漢字かな混じり文", "🙂🙃 emoji👩‍👩‍👧", "a\x1cb\x85c\xa0d e", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa" * 20, "!!!???...---" * 9, "x" * 70_000, "MiXeD CaSe WORDS", "ÀÉîß, ÿ! Straße_ x__y __ a{b} WORD'S don't. İstanbul ΣΑΣ ſt ﬁn", "\x00nul\x00", "é combining",
 ]
 
 
@@ -91,6 +91,7 @@ def test_clashing_columns(spark):
 def test_store_stays_bounded(word_library, monkeypatch):
     """A store that is full starts afresh, and results stay the library's."""
     monkeypatch.setattr(bpe, "KEPT_BYTES", 5_000)
+    monkeypatch.setattr(bpe, "KEPT_WORD_BYTES", 5_000)
     coder = bpe.ChunkCoder(tokens.tokenizer_path(bpe.VOCABULARY))
     draw = random.Random(8)
     for _ in range(12):
