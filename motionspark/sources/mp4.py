@@ -1,8 +1,8 @@
 """Sample tables of MP4 and MOV files.
 
-Files are read by Spark's binaryFile source, so any file system Spark reads will do, and parsed one file a
-row. Samples come in decode order with presentation times shifted so that the first shown one is at 0.
-Fragmented files and files without a video track give one row with a reason and no samples.
+Spark lists the files; a task opens each of its own and reads only the boxes it needs by their ranges, so a file
+is never held whole and may be of any size. Samples come in decode order; an edit list, or else the first shown
+sample, is at time 0. Files without an index or a video track give one row with a reason and no samples.
 """
 
 from __future__ import annotations
@@ -11,14 +11,14 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The sample entries of supported codecs and the boxes that configure them.
 CODECS = {"avc1": "avcC", "avc3": "avcC", "hvc1": "hvcC", "hev1": "hvcC", "vp09": "vpcC", "av01": "av1C"}
-CONTAINERS = {"moov", "trak", "mdia", "minf", "stbl", "edts"}
 
-SAMPLES = "path string, reason string, codec string, width int, height int, timescale long, sample_idx int, offset long, size int, dts long, cts long, key boolean"
+SAMPLES = "path string, reason string, codec string, width int, height int, timescale long, nominal_fps double, sample_idx int, offset long, size int, dts long, cts long, key boolean"
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[str, int, int]]:
@@ -78,12 +78,10 @@ def codec_string(entry: str, config: bytes) -> str:
 def parse(path: str, content: bytes) -> list[tuple]:
     """Rows of SAMPLES of one file."""
     data, end = memoryview(content), len(content)
-    refuse = lambda why: [(path, why, *[None] * 10)]
+    refuse = lambda why: [(path, why, *[None] * 11)]
     moov = find(data, 0, end, "moov")
     if moov is None:
-        return refuse("no movie box")
-    if find(data, *moov, "mvex") or any(k == "moof" for k, _, _ in boxes(data, 0, end)):
-        return refuse("fragmented file")
+        return refuse("fragmented file" if any(k == "moof" for k, _, _ in boxes(data, 0, end)) else "no movie box")
     for kind, a, b in boxes(data, *moov):
         handler = find(data, a, b, "mdia", "hdlr") if kind == "trak" else None
         if handler and bytes(data[handler[0] + 8 : handler[0] + 12]) == b"vide":
@@ -91,6 +89,8 @@ def parse(path: str, content: bytes) -> list[tuple]:
     else:
         return refuse("no video track")
     mdhd, stbl = find(data, a, b, "mdia", "mdhd"), find(data, a, b, "mdia", "minf", "stbl")
+    if mdhd is None or stbl is None:
+        return refuse("no sample table")
     stsd = find(data, *stbl, "stsd")
     entry, e0, e1 = next(boxes(data, stsd[0] + 8, stsd[1]))
     if entry not in CODECS:
@@ -98,6 +98,9 @@ def parse(path: str, content: bytes) -> list[tuple]:
     width, height = struct.unpack(">HH", data[e0 + 24 : e0 + 28])
     config = find(data, e0 + 78, e1, CODECS[entry])
     timescale = struct.unpack(">I", data[mdhd[0] + (20 if data[mdhd[0]] else 12) :][:4])[0]
+    duration = struct.unpack(">Q", data[mdhd[0] + 24 :][:8])[0] if data[mdhd[0]] else struct.unpack(">I", data[mdhd[0] + 16 :][:4])[0]
+    edits = find(data, a, b, "edts", "elst")
+    shown = next((m for m in _media_times(data, edits) if m >= 0), None) if edits else None  # -1 is an empty edit
     get = lambda name: find(data, *stbl, name)
     deltas = [d for n, d in _table(data, get("stts"), ">II") for _ in range(n)]
     shifts = [d for n, d in _table(data, get("ctts"), ">Ii") for _ in range(n)]  # signed in every version
@@ -117,27 +120,78 @@ def parse(path: str, content: bytes) -> list[tuple]:
             dts += deltas[at] if at < len(deltas) else (deltas[-1] if deltas else 0)
             offset += sizes[at]
             at += 1
-    start = min((r[3] for r in rows), default=0)
+    start = shown if shown is not None else min((r[3] for r in rows), default=0)
+    fps = len(rows) * timescale / duration if duration else 0.0
     codec = codec_string(entry, bytes(data[config[0] : config[1]]) if config else b"")
-    return [(path, None, codec, width, height, timescale, i, o, s, d, c - start, k) for i, (o, s, d, c, k) in enumerate(rows)]
+    return [(path, None, codec, width, height, timescale, fps, i, o, s, d - start, c - start, k) for i, (o, s, d, c, k) in enumerate(rows)]
+
+
+def _media_times(data: memoryview, at: tuple[int, int]) -> list[int]:
+    """The media times of an edit list."""
+    form = ">Qqi" if data[at[0]] == 1 else ">Iii"
+    return [m for _, m, _ in _table(data, at, form)]
+
+
+def index_of(file, size: int) -> bytes:
+    """The movie box of an open file with its header, found by the headers of the boxes before it; else the header of a fragment or nothing."""
+    at, other = 0, b""
+    while at + 8 <= size:
+        head = file.read_at(16, at)
+        length, kind = struct.unpack(">I", head[:4])[0], head[4:8]
+        if length == 1 and len(head) == 16:
+            length = struct.unpack(">Q", head[8:16])[0]
+        length = length or size - at
+        if length < 8 or at + length > size:
+            break
+        if kind == b"moov":
+            return file.read_at(length, at)
+        if kind == b"moof":
+            other = struct.pack(">I4s", 8, b"moof")
+        at += length
+    return other
+
+
+def _opened(path: str):
+    system, name = pafs.FileSystem.from_uri(path)
+    return system.open_input_file(name)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of SAMPLES of all files under ``path``; each file is parsed within one task."""
+    """Rows of SAMPLES of all files under ``path``; a file's index is read and parsed within one task."""
     names = [c.split()[0] for c in SAMPLES.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [r for p, c in zip(f["path"], f["content"]) for r in parse(p, bytes(c))]
+            rows = []
+            for p in f["path"]:
+                with _opened(p) as file:
+                    rows += parse(p, index_of(file, file.size()))
             yield pd.DataFrame(rows, columns=names).astype(object)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SAMPLES)
+    return spark.read.format("binaryFile").load(path).select("path", "length").mapInPandas(run, SAMPLES)
+
 
+def sample_bytes(samples: DataFrame) -> DataFrame:
+    """path, sample_idx, data: the encoded bytes of each sample, read by their ranges in the order of the file."""
 
-def sample_bytes(files: DataFrame, samples: DataFrame) -> DataFrame:
-    """The encoded bytes of each sample, from binaryFile rows."""
-    joined = samples.where("reason is null").join(files.select("path", "content"), "path")
-    return joined.select("path", "sample_idx", F.expr("substring(content, cast(offset + 1 as int), size)").alias("data"))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for p, rows in f.groupby("path", sort=False):
+                with _opened(p) as file:
+                    out += [(p, i, file.read_at(n, at)) for i, at, n in zip(rows["sample_idx"], rows["offset"], rows["size"])]
+            yield pd.DataFrame(out, columns=["path", "sample_idx", "data"])
+
+    wanted = samples.where("reason is null").select("path", "sample_idx", "offset", "size")
+    return wanted.repartition("path", F.floor(F.col("offset") / 64_000_000)).sortWithinPartitions("path", "offset").mapInPandas(run, "path string, sample_idx int, data binary")
+
+
+def frame_at(samples: DataFrame, index: int = 0) -> DataFrame:
+    """The sample of each file that is shown at a place of the order of presentation, and the key sample that decoding starts from: path, sample_idx, cts, from_key."""
+    shown = Window.partitionBy("path").orderBy("cts", "sample_idx")
+    decoded = Window.partitionBy("path").orderBy("sample_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = samples.where("reason is null").withColumns({"_at": F.row_number().over(shown) - 1, "from_key": F.max(F.when(F.col("key"), F.col("sample_idx"))).over(decoded)})
+    return rows.where(F.col("_at") == index).select("path", "sample_idx", "cts", "from_key")
 
 
 def clip_timing(clips: DataFrame, stated: str = "stated_fps", container: str = "container_fps") -> DataFrame:

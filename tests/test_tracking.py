@@ -101,23 +101,54 @@ def box(kind, body):
     return struct.pack(">I", 8 + len(body)) + kind + body
 
 
-def movie(fragmented=False):
+def movie(fragmented=False, edits=None, chunks=(1000, 2000)):
     full = lambda kind, n, body: box(kind, struct.pack(">II", 0, n) + body)
     entry = box(b"avc1", bytes(24) + struct.pack(">HH", 320, 180) + bytes(50) + box(b"avcC", bytes([1, 0x64, 0, 0x1F, 0xFF])))
-    stbl = box(b"stbl", full(b"stsd", 1, entry) + full(b"stts", 1, struct.pack(">II", 4, 100)) + full(b"ctts", 4, struct.pack(">IiIiIiIi", 1, 0, 1, 200, 1, -100, 1, 0)) + box(b"stsz", struct.pack(">III", 0, 0, 4) + struct.pack(">IIII", 10, 20, 30, 40)) + full(b"stsc", 2, struct.pack(">IIIIII", 1, 3, 1, 2, 1, 1)) + full(b"stco", 2, struct.pack(">II", 1000, 2000)) + full(b"stss", 1, struct.pack(">I", 1)))
+    stbl = box(b"stbl", full(b"stsd", 1, entry) + full(b"stts", 1, struct.pack(">II", 4, 100)) + full(b"ctts", 4, struct.pack(">IiIiIiIi", 1, 0, 1, 200, 1, -100, 1, 0)) + box(b"stsz", struct.pack(">III", 0, 0, 4) + struct.pack(">IIII", 10, 20, 30, 40)) + full(b"stsc", 2, struct.pack(">IIIIII", 1, 3, 1, 2, 1, 1)) + full(b"stco", 2, struct.pack(">II", *chunks)) + full(b"stss", 1, struct.pack(">I", 1)))
     mdia = box(b"mdia", box(b"mdhd", struct.pack(">IIIIIHH", 0, 0, 0, 6000, 400, 0, 0)) + box(b"hdlr", struct.pack(">II", 0, 0) + b"vide" + bytes(13)) + box(b"minf", stbl))
-    return box(b"ftyp", b"isom" + bytes(4)) + box(b"moov", box(b"mvex", b"") * fragmented + box(b"trak", mdia))
+    edts = b""
+    if edits:
+        version, times = edits
+        edts = box(b"edts", box(b"elst", struct.pack(">BBHI", version, 0, 0, len(times)) + b"".join(struct.pack(">Qqi" if version else ">Iii", 400, t, 1 << 16) for t in times)))
+    head = box(b"ftyp", b"isom" + bytes(4))
+    return head + (box(b"moof", b"") if fragmented else box(b"moov", box(b"trak", edts + mdia)))
 
 
 def test_mp4_samples(spark, tmp_path):
     (tmp_path / "a.mp4").write_bytes(movie())
     (tmp_path / "b.mp4").write_bytes(movie(True))
     (tmp_path / "c.mp4").write_bytes(b"\0\0\0\x09junk")
+    (tmp_path / "d.mp4").write_bytes(box(b"ftyp", b"isom") + box(b"moov", b""))
     rows = mp4.read_samples(spark, str(tmp_path)).orderBy("path", "sample_idx").collect()
     good = [r for r in rows if r["reason"] is None]
     assert [(r["offset"], r["size"], r["dts"], r["cts"], r["key"]) for r in good] == [(1000, 10, 0, 0, True), (1010, 20, 100, 300, False), (1030, 30, 200, 100, False), (2000, 40, 300, 300, False)]
-    assert good[0]["codec"] == "avc1.64001f" and (good[0]["width"], good[0]["height"], good[0]["timescale"]) == (320, 180, 6000)
-    assert {r["reason"] for r in rows} == {None, "fragmented file", "no movie box"}
+    assert good[0]["codec"] == "avc1.64001f" and (good[0]["width"], good[0]["height"], good[0]["timescale"], good[0]["nominal_fps"]) == (320, 180, 6000, 60)
+    assert {r["reason"] for r in rows} == {None, "fragmented file", "no movie box", "no video track"}
+
+
+def test_mp4_edit_lists(spark, tmp_path):
+    """The first edit that is not empty is time 0, for decoding and presentation times alike."""
+    for name, edits in {"a": (0, [-1, 50]), "b": (1, [100]), "c": (0, [-1])}.items():
+        (tmp_path / f"{name}.mov").write_bytes(movie(edits=edits))
+    rows = mp4.read_samples(spark, str(tmp_path)).orderBy("path", "sample_idx").collect()
+    times = {n: [(r.dts, r.cts) for r in rows if r.path.endswith(f"{n}.mov")] for n in "abc"}
+    plain = [(0, 0), (100, 300), (200, 100), (300, 300)]
+    assert times == {"a": [(d - 50, c - 50) for d, c in plain], "b": [(d - 100, c - 100) for d, c in plain], "c": plain}
+
+
+def test_mp4_bytes_and_frames(spark, tmp_path):
+    """Samples are read by their ranges, from a file whose index follows the media; frames are found in the order shown."""
+    media = bytes(range(100))
+    start = len(box(b"ftyp", b"isom" + bytes(4))) + 8
+    whole = movie(chunks=(start, start + 60))
+    head, moov = whole[: start - 8], whole[start - 8 :]
+    (tmp_path / "late.mp4").write_bytes(head + box(b"mdat", media) + moov)
+    samples = mp4.read_samples(spark, str(tmp_path)).cache()
+    data = {r.sample_idx: bytes(r.data) for r in mp4.sample_bytes(samples).collect()}
+    assert data == {0: media[:10], 1: media[10:30], 2: media[30:60], 3: media[60:]}
+    shown = [mp4.frame_at(samples, i).first() for i in range(4)]
+    assert [(r.sample_idx, r.from_key) for r in shown] == [(0, 0), (2, 0), (1, 0), (3, 0)]
+    assert mp4.frame_at(samples, 9).count() == 0
 
 
 def test_clip_timing(spark):
