@@ -48,9 +48,14 @@ def labels(mask: np.ndarray) -> np.ndarray:
     return np.where(mask, np.searchsorted(np.unique(ids[mask]), ids) + 1, 0) if mask.any() else ids
 
 
-def components(mask: np.ndarray, weight: np.ndarray, min_px: int, most: int = 12) -> list[dict]:
+def components(mask: np.ndarray, weight: np.ndarray, min_px: int, most: int | None = 12) -> list[dict]:
     """Blobs by weight: weighted centroid, direction and elongation by second moments, bounding box."""
-    ids = labels(mask)
+    rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    if not len(rows):
+        return []
+    top, left = int(rows[0]), int(columns[0])
+    inner = np.s_[top : rows[-1] + 1, left : columns[-1] + 1]  # labelled within the box that holds the mask
+    ids, weight = labels(mask[inner]), weight[inner]
     out = []
     for k in range(1, int(ids.max(initial=0)) + 1):
         y, x = np.nonzero(ids == k)
@@ -58,6 +63,7 @@ def components(mask: np.ndarray, weight: np.ndarray, min_px: int, most: int = 12
             continue
         w = weight[y, x]
         total = w.sum() or 1.0
+        x, y = x + left, y + top
         cx, cy = (x * w).sum() / total, (y * w).sum() / total
         xx, yy, xy = ((x - cx) ** 2 * w).sum() / total, ((y - cy) ** 2 * w).sum() / total, ((x - cx) * (y - cy) * w).sum() / total
         root = np.sqrt((xx - yy) ** 2 + 4 * xy * xy)
@@ -70,7 +76,7 @@ def _raster(row) -> np.ndarray:
     return np.frombuffer(row.rgba, np.uint8).reshape(row.h, row.w, 4)
 
 
-def blobs(rasters: DataFrame, mask: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], min_px: int, most: int = 12) -> DataFrame:
+def blobs(rasters: DataFrame, mask: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], min_px: int, most: int | None = 12) -> DataFrame:
     """Rows of BLOBS: the components of each raster where ``mask(h, s, v)`` holds, weighted by value."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,7 +98,7 @@ def hue_near(h: np.ndarray, hue: float, tol: float) -> np.ndarray:
 
 def ball_candidates(rasters: DataFrame, n_min: int = 6, n_max: int = 10**9, min_fill: float = 0.45, v: float = 0.55, s: float = 0.30) -> DataFrame:
     """Bright, unsaturated blobs of ball size that fill their box; those that fail fall through to the next."""
-    found = blobs(rasters, lambda _, sat, val: (val >= v) & (sat <= s), 6, 64)
+    found = blobs(rasters, lambda _, sat, val: (val >= v) & (sat <= s), 6, None)
     fill = F.col("n") / ((F.col("maxx") - F.col("minx") + 1) * (F.col("maxy") - F.col("miny") + 1))
     return found.where(F.col("n").between(n_min, n_max)).withColumn("fill", fill).where(F.col("fill") >= min_fill)
 
@@ -111,6 +117,18 @@ def putter_blob(rasters: DataFrame) -> DataFrame:
     return first_candidate(blobs(rasters, lambda h, s, v: v <= 0.34, 40).where("elongation >= 1.7"))
 
 
+def line_in(h: np.ndarray, s: np.ndarray, v: np.ndarray, hue: float = 55, tol: float = 22, min_px: int = 60, elongation: float = 6, band: float = 14) -> tuple[float, float, float, int, float] | None:
+    """Direction (radians), middle, pixels and rms of a total least squares line through the pixels near the first long blob of the line's hue."""
+    mask = hue_near(h, hue, tol) & (s >= 0.28) & (v >= 0.28)
+    seed = next((b for b in components(mask, v, min_px) if b["elongation"] >= elongation), None)
+    if seed is None:
+        return None
+    y, x = np.nonzero(mask)
+    near = np.abs((y - seed["y"]) * np.cos(seed["theta"]) - (x - seed["x"]) * np.sin(seed["theta"])) <= band
+    theta, cx, cy, rms = _tls(x[near].astype(float), y[near].astype(float))
+    return float(theta), float(cx), float(cy), int(near.sum()), rms
+
+
 LINES = "clip_id long, frame int, theta_deg double, cx double, cy double, n int, rms double"
 
 
@@ -128,15 +146,8 @@ def target_line(rasters: DataFrame, hue: float = 55, tol: float = 22, min_px: in
         for f in frames:
             rows = []
             for r in f.itertuples():
-                h, s, v = hsv(_raster(r))
-                mask = hue_near(h, hue, tol) & (s >= 0.28) & (v >= 0.28)
-                seed = next((b for b in components(mask, v, min_px) if b["elongation"] >= elongation), None)
-                if seed is None:
-                    continue
-                y, x = np.nonzero(mask)
-                off = np.abs((y - seed["y"]) * np.cos(seed["theta"]) - (x - seed["x"]) * np.sin(seed["theta"]))
-                theta, cx, cy, rms = _tls(x[off <= band].astype(float), y[off <= band].astype(float))
-                rows.append((r.clip_id, r.frame, np.degrees(theta), cx, cy, int((off <= band).sum()), rms))
+                if found := line_in(*hsv(_raster(r)), hue, tol, min_px, elongation, band):
+                    rows.append((r.clip_id, r.frame, np.degrees(found[0]), *found[1:]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINES.split(", ")])
 
     return rasters.select("clip_id", "frame", "w", "h", "rgba").mapInPandas(run, LINES)
@@ -177,6 +188,24 @@ def face_edge(heads: DataFrame, v_min: float = 0.62, min_px: int = 40, trim: flo
     return heads.select("clip_id", "frame", "w", "h", "rgba", "hx", "hy", "ux", "uy").mapInPandas(run, LINES)
 
 
+def sample_hue(rasters: DataFrame, r: int = 6) -> DataFrame:
+    """clip_id, frame, hue, s, v, n about a pixel (px, py) of each raster: the circular mean weighted by saturation, of pixels that have any."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in f.itertuples():
+                box = np.s_[max(0, row.py - r) : max(0, row.py + r + 1), max(0, row.px - r) : max(0, row.px + r + 1)]
+                h, s, v = hsv(_raster(row)[box])
+                h, s, v = h[s >= 0.2], s[s >= 0.2], v[s >= 0.2]
+                if len(h):
+                    hue = np.degrees(np.arctan2((np.sin(np.radians(h)) * s).sum(), (np.cos(np.radians(h)) * s).sum())) % 360
+                    out.append((row.clip_id, row.frame, float(hue), float(s.mean()), float(v.mean()), len(h)))
+            yield pd.DataFrame(out, columns=["clip_id", "frame", "hue", "s", "v", "n"])
+
+    return rasters.select("clip_id", "frame", "w", "h", "rgba", "px", "py").mapInPandas(run, "clip_id long, frame int, hue double, s double, v double, n int")
+
+
 def exploded(rasters: DataFrame) -> DataFrame:
     """clip_id, frame, x, y, r, g, b: one row for each pixel, by built-in expressions."""
     at = F.col("i") * 4 + 1
