@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analogues, pictures, rules, stroke_sql, strokes
+from .plans import analogues, drawings, pictures, rules, stroke_sql, strokes
 
 FLAGSHIP = "stroke_impact"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = strokes.QUERIES | pictures.QUERIES | rules.QUERIES | analogues.QUERIES
-ORACLE_SQL: dict[str, str] = stroke_sql.ORACLES | pictures.ORACLE_SQL | rules.ORACLE_SQL | analogues.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = strokes.QUERIES | pictures.QUERIES | drawings.QUERIES | rules.QUERIES | analogues.QUERIES
+ORACLE_SQL: dict[str, str] = stroke_sql.ORACLES | pictures.ORACLE_SQL | drawings.ORACLE_SQL | rules.ORACLE_SQL | analogues.ORACLE_SQL

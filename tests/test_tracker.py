@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from motionspark.operators import pixels, tracker
 from motionspark.plans import analysis, strokes
 from motionspark.sources import rasters
+from motionspark.streaming.tracker import track_stream
 
 W, H, SCALE = 160, 400, 0.4
 MAT = (0.0, 0.0, W - 1.0, H - 1.0)
@@ -42,6 +43,14 @@ def test_rasters_to_stroke(spark, truth, tmp_path):
     tracked = tracker.track(seen, MAT, HOM)
     assert tracked.where("bx is not null and ax is not null").count() == 324
     cands = tracker.candidates(seen, MAT)
+    for i in range(4):  # as a stream in four parts, the last with a frame that comes too late
+        part = seen.where((F.col("frame") % 324 >= 81 * i) & (F.col("frame") < 81 * (i + 1)) | ((F.lit(i) == 3) & (F.col("frame") == 5)))
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = track_stream(stream, MAT, HOM).writeStream.format("memory").queryName("tracked_rasters").option("checkpointLocation", f"{tmp_path}/cp").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {tuple(r) for r in spark.table("tracked_rasters").collect()} == {tuple(r) for r in tracked.collect()}
     check(analysis.stroke_record(tracker.finish(tracked, cands, MAT, HOM, W / SCALE)))
     scaled = tracker.finish(tracked, cands, MAT, [2 * v if i < 6 else v for i, v in enumerate(HOM)], 2 * W / SCALE, scale_from_ball=True)
     r = analysis.stroke_record(scaled).collect()[0]
