@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: in
     point order (null last) get the weights in turn. The excess of capped sources is shared by weight
     among the others until none is above its cap: that is ``least(cap, level * weight)`` for one level,
     found by a prefix sum over the sources in the order in which they reach their caps.
-    This table has a row for each source, so one task holds it.
+    One task holds this table and orders it twice: a row of a few numbers for each source, good for some millions
+    of them, not for one a document.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = sizes.withColumn("_r", (F.row_number().over(by_name) - 1) % len(weights))
@@ -54,7 +55,8 @@ def mix(
 
     ``docs``: doc_id, text, source; other columns are ignored unless named in ``keep``, which are
     carried as one struct ``row`` so that no name can clash. Returns doc_id, source, size,
-    source_size, target, taken (repeats counted), and ``row`` if asked for.
+    source_size, target, taken (repeats counted), and if asked for ``row`` with ``first``: whether it is the
+    first document with words that its source's order draws.
 
     Defined cases: a null text has no words; the null source is a source of its own, the last;
     a null doc_id hashes as the empty string; rows that are alike in id and size are interchangeable,
@@ -81,24 +83,28 @@ def mix(
     local = placed.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     cut = F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long") - F.col("_offset") - F.col("_before")
+    first = ((F.col("_offset") + F.col("_before")) == 0) & (F.col("size") > 0)
     return (
         local.alias("l")
         .join(offsets.alias("o"), F.col("l.source").eqNullSafe(F.col("o.source")) & (F.col("l._block") == F.col("o._block")))
         .select("l.*", "o._offset")
         .withColumn("_epochs", epochs)
         .withColumn("taken", F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), cut)))
-        .select("doc_id", "source", "size", "source_size", "target", "taken", *(["row"] if keep else []))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", *(["row", first.alias("first")] if keep else []))
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: each is repeated for every epoch that takes it, and left out if none does.
 
-    A document that a cut divides is kept whole if at least half of it is taken.
+    A document that a cut divides is kept whole if at least half of it is taken, which brings the source's total
+    as near its target as whole documents can, by half a document; a source with a target keeps the first
+    document that it draws in any case.
     """
     columns = docs.columns
     mixed = mix(docs, keep=columns, **options)
     times = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
+    times = F.when(F.col("first") & (F.col("taken") > 0), F.greatest(times, F.lit(1))).otherwise(times)
     return mixed.where(times > 0).select(F.explode(F.array_repeat(F.col("row"), times)).alias("row")).select(*[F.col("row")[c].alias(c) for c in columns])
 
 

@@ -61,3 +61,10 @@ def test_documents_repeat(spark):
     for r in out.collect():
         count[r.doc_id] += 1
     assert count == {i: n for i, (t, s) in taken.items() if (n := int(t / max(s, 1) + 0.5))}
+
+
+def test_a_source_keeps_its_first_document(spark):
+    """A source whose only document is far longer than its target does not vanish."""
+    rows = [(1, "w " * 1000, "a"), (2, "w " * 10_000, "b")] + [(10 + i, "w " * 100, "c") for i in range(20)]
+    left = {r.source for r in mixed_documents(documents(spark, rows), weights=(50, 1, 50)).collect()}
+    assert left == {"a", "b", "c"}

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from conftest import SMALL
-from llm_cases import near_components
+from llm_cases import ODD, near_components
 from test_secrets import brute as brute_spans
 from tokenizers import Tokenizer
 
@@ -67,3 +67,29 @@ def test_ids_are_the_library_s(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert Counter(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == Counter(map(tuple, stages[-1].collect()))
+
+
+def folder_of(spark, folder, rows, labels):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, None, s, len(t or "")) for i, t, s in rows], kinds).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, empty and long texts and repeated rows pass through every stage."""
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    folder = folder_of(spark, tmp_path / "odd", ODD, [(1, 1, 0), (None, 0, 0), (7, None, 0)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        after = stage(spark, docs, folder)
+        assert k == 4 or after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    rows = docs.collect()
+    known = {" ".join(map(str, library.encode(t or "", add_special_tokens=False).ids)) for _, t, _ in ODD}
+    assert rows and {r.ids for r in rows} <= known
+
+
+def test_no_rows(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder_of(spark, tmp_path / "none", [], [])).count() == 0
