@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import written
 from . import series
 
 #: Fixed values (mm, frames, shares).
@@ -145,8 +146,9 @@ def clean_heads(obs: DataFrame) -> DataFrame:
     have no vote in the third.
     """
     keyed = ["clip_id", "frame"]
+    obs = written(obs, "observations")  # read by each gate
     headed = obs.where("hx is not null")
-    bounded = series.across_outliers(headed, ["clip_id"], "hx")
+    bounded = written(series.across_outliers(headed, ["clip_id"], "hx"), "bounded")
     paced = series.speed_limit(bounded, ["clip_id"], "frame", "hy").select(*keyed, F.lit(True).alias("paced"))
     state = obs.join(bounded.select(*keyed, F.lit(True).alias("bounded")), keyed, "left").join(paced, keyed, "left")
     state = state.withColumn("vote", F.when(F.col("paced"), F.col("angle")))

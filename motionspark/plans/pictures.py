@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.formatting import rounded
 from ..operators import observations as ob
+from ..staging import written
 from . import analysis
 from .dialect import Duck, Spark
 from .dialect import rounded as sql_rounded
@@ -70,7 +71,7 @@ def picture_series(spark, sf_dir):
 def picture_results(spark, sf_dir):
     """What each clip gave, or why nothing: counts, scale and the capture rate that the ball's slowing implies."""
     p = pictures(spark, sf_dir)
-    cleaned = ob.clean_heads(ob.observations(**p))
+    cleaned = written(ob.clean_heads(ob.observations(**p)), "cleaned")
     ball = ob.movers(p["tracks"], p["seeds"], p["clips"])
     rolled = cleaned.join(ob.timing(p["times"]).select("clip_id", "container_fps"), "clip_id").withColumnRenamed("clip_id", "k")
     rates = analysis.capture_rate(rolled).select(F.col("k").alias("clip_id"), "rate")
