@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from ..functions.formatting import rounded
 from ..operators import observations as ob
-from ..operators import rules, series
+from ..operators import rules, series, vision
 from ..sources.mp4 import clip_timing
 from . import pictures
 from .analogues import EV, _table, events, r4
@@ -87,6 +87,12 @@ def review_residuals(spark, sf_dir):
     return g.join(curve, "event_type").select("event_type", "rejected", *[rounded(F.col(c), 3).alias(c) for c in ("mid", "p90", "near", "sd", "range", "sagitta")])
 
 
+def smooth_tracks(spark, sf_dir):
+    points = events(spark, sf_dir).withColumn("h", F.pmod(F.col("t") / 3600, F.lit(24.0)))
+    kept = vision.smooth_track(points.select("user_id", "event_id", "ts", "value", "h"), ["user_id"], "ts", "value", "h")
+    return kept.select("event_id", rounded(F.col("smooth_x")).alias("smooth_x"), rounded(F.col("smooth_y")).alias("smooth_y"))
+
+
 def strike_frames(spark, sf_dir):
     p = pictures.pictures(spark, sf_dir)
     return rules.strike_frames(p["tracks"], ob.movers(p["tracks"], p["seeds"], p["clips"]))
@@ -157,7 +163,7 @@ def clip_timings(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    axis_ranges, aspect_warnings, calibrations, mode_choices, ball_areas, bearings, arc_polylines, review_residuals, strike_frames, clip_summaries, head_choices, face_choices, mutual_matches, near_fragments, ordered_dedupe, unmatched,
+    axis_ranges, aspect_warnings, calibrations, mode_choices, ball_areas, bearings, arc_polylines, review_residuals, smooth_tracks, strike_frames, clip_summaries, head_choices, face_choices, mutual_matches, near_fragments, ordered_dedupe, unmatched,
     user_overviews, prefs, clip_timings,
 )}
 
@@ -200,6 +206,12 @@ q AS (SELECT event_type, quantile_cont(r, 0.5) AS mid, quantile_cont(r, 0.9) AS
 g AS (SELECT r.event_type, max(mid) AS mid, max(p90) AS p90, count(*) FILTER (WHERE r > greatest(2, 2 * mid)) AS rejected, avg((i > 70 AND i < 130)::INT) FILTER (WHERE r > greatest(2, 2 * mid)) AS near, stddev_pop(value) FILTER (WHERE i < 60) AS sd, max(value) FILTER (WHERE i < 60) - min(value) FILTER (WHERE i < 60) AS range FROM r JOIN q ON r.event_type = q.event_type GROUP BY 1),
 c AS (SELECT event_type, max(v) - min(v) AS sagitta FROM (SELECT event_type, a + b * x + c * x * x AS v FROM (SELECT *, unnest(range(400)) / 399.0::DOUBLE AS x FROM fit)) GROUP BY 1)
 SELECT event_type, rejected, {", ".join(f"{_r(c, 3)} AS {c}" for c in ("mid", "p90", "near", "sd", "range", "sagitta"))} FROM g JOIN c USING (event_type)""",
+    "smooth_tracks": f"""WITH {EV}, p AS (SELECT user_id, event_id, ts, value AS x, t / 3600 - floor(t / 3600 / 24) * 24 AS y, count(*) OVER (PARTITION BY user_id) AS n FROM ev),
+m AS (SELECT *, quantile_cont(x, 0.5) OVER w AS sx, quantile_cont(y, 0.5) OVER w AS sy FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
+o AS (SELECT *, sqrt((x - sx) ** 2 + (y - sy) ** 2) AS off FROM m), b AS (SELECT user_id, greatest(6, 3 * quantile_cont(off, 0.5)) AS bar, count(*) AS all_rows FROM o GROUP BY 1),
+k AS (SELECT o.*, off <= bar AS keep, count(*) FILTER (WHERE off <= bar) OVER (PARTITION BY o.user_id) AS remain FROM o JOIN b ON o.user_id = b.user_id),
+f AS (SELECT *, quantile_cont(x, 0.5) OVER w AS tx, quantile_cont(y, 0.5) OVER w AS ty FROM k WHERE keep OR n < 5 OR remain < 5 WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
+SELECT event_id, {r4("CASE WHEN n < 5 THEN x WHEN remain < 5 THEN sx ELSE tx END")} AS smooth_x, {r4("CASE WHEN n < 5 THEN y WHEN remain < 5 THEN sy ELSE ty END")} AS smooth_y FROM f""",
     "strike_frames": f"""WITH {pictures.model(Duck())}, {pictures._movers}, own AS (SELECT t.*, m.d, first_value(x) OVER w AS xa, first_value(y) OVER w AS ya FROM tracks t JOIN movers m ON t.clip_id = m.clip_id AND t.cand = m.cand WINDOW w AS (PARTITION BY t.clip_id ORDER BY frame))
 SELECT clip_id, coalesce(min(frame) FILTER (WHERE sqrt((x - xa) ** 2 + (y - ya) ** 2) > 1.2 * d), max(frame)) AS strike FROM own GROUP BY 1""",
     "clip_summaries": f"""WITH RECURSIVE {pictures.model(Duck())}, {pictures._series}
