@@ -43,5 +43,10 @@ def export_csv(records: DataFrame, path: str, session: str = "session", order: s
     records.select(number.alias("#"), session, order, *[rounded(F.col(c), 4).alias(c) for c in known]).write.mode("overwrite").csv(path, header=True)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON records of a stated schema, one object a file or line; what cannot be parsed is a row of nulls."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+
+
 def export_json(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)

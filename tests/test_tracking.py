@@ -173,3 +173,10 @@ def test_session_store(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3
     session_store.clear(spark, path)
     assert spark.read.parquet(path).count() == 0
+
+
+def test_json_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"fps": 240,\n "quad": [[1, 2], [3, 4]], "note": "x", "other": 1}')
+    (tmp_path / "b.json").write_text("{broken")
+    rows = session_store.read_json(spark, str(tmp_path), "fps double, quad array<array<double>>, note string").collect()
+    assert sorted([(r.fps, r.quad, r.note) for r in rows], key=repr) == [(240.0, [[1.0, 2.0], [3.0, 4.0]], "x"), (None, None, None)]
