@@ -106,8 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
     each = quality.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
     chosen = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"))
-    bounded = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", place.alias("place")).orderBy("place").limit(sample)
-    rows = bounded.mapInArrow(_sample_rows, "label double, place struct<h:long,doc_id:long,t:long>, counts binary").select("label", "counts").collect()
+    # Terms are counted where the texts are; one task then orders no more than rows of counts.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", place.alias("place"))
+    counted_rows = labelled.mapInArrow(_sample_rows, "label double, place struct<h:long,doc_id:long,t:long>, counts binary")
+    rows = counted_rows.orderBy("place").limit(sample).select("label", "counts").collect()
     if not rows:
         return None
     counted = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(_frequencies, "term int, documents long").groupBy("term").agg(F.sum("documents").alias("n")).collect()}
