@@ -6,11 +6,14 @@ faces and lines that are missing or wrong in some frames. The oracles are DuckDB
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formatting import rounded
 from ..operators import observations as ob
+from ..operators import tracking
 from ..staging import written
 from . import analysis
 from .dialect import Duck, Spark
@@ -55,6 +58,13 @@ def picture_movers(spark, sf_dir):
     return m.select("clip_id", "cand", "seen", *[rounded(F.col(c)).alias(c) for c in ("mm_per_px", "tux", "tuy")])
 
 
+def picture_tracks(spark, sf_dir):
+    """The ball's places, found among all candidates of each frame by association alone."""
+    cands = pictures(spark, sf_dir)["tracks"].withColumnRenamed("cand", "cand_idx")
+    found = tracking.resolve_ball(cands, min_move=0.06 * math.hypot(960, 540))
+    return found.select("clip_id", "frame", rounded(F.col("x"), 3).alias("x"), rounded(F.col("y"), 3).alias("y"))
+
+
 def picture_heads(spark, sf_dir):
     """The sightings of the head that pass the gate of continuity and sharpness; here all sightings, with or without a ball."""
     p = pictures(spark, sf_dir)
@@ -79,7 +89,7 @@ def picture_results(spark, sf_dir):
     return r.withColumns({"container_fps": rounded(F.col("container_fps"), 3), "mm_per_px": rounded(F.col("mm_per_px"))})
 
 
-QUERIES = {f.__name__: f for f in (picture_movers, picture_heads, picture_series, picture_results)}
+QUERIES = {f.__name__: f for f in (picture_movers, picture_tracks, picture_heads, picture_series, picture_results)}
 
 _model = model(Duck())
 _movers = """
@@ -132,6 +142,7 @@ gates AS (SELECT *, CASE WHEN hx IS NULL THEN NULL WHEN NOT inb THEN 'across' WH
 
 ORACLE_SQL = {
     "picture_movers": f"WITH {_model}, {_movers} SELECT clip_id, cand, seen, {sql_rounded('mm')} AS mm_per_px, {sql_rounded('dx / far')} AS tux, {sql_rounded('dy / far')} AS tuy FROM movers",
+    "picture_tracks": f"WITH {_model} SELECT clip_id, t.frame, {sql_rounded('x', 3)} AS x, {sql_rounded('y', 3)} AS y FROM tracks t JOIN base USING (clip_id) WHERE cand = 2 AND kind < 6",
     "picture_heads": f"WITH RECURSIVE {_model}, {_gate('SELECT h.clip_id, h.frame, h.x, h.y, 42.7 / 30::DOUBLE AS mm, f.rms FROM heads h LEFT JOIN faces f USING (clip_id, frame)')} SELECT clip_id, frame FROM gated WHERE ok",
     "picture_series": f"""WITH RECURSIVE {_model}, {_series}
 SELECT clip_id, frame, gate, {sql_rounded('ball_x', 3)} AS ball_x, {sql_rounded('ball_y', 3)} AS ball_y, {', '.join(f"CASE WHEN gate IS NULL THEN {sql_rounded(c, 3)} END AS {c}" for c in ('hx', 'hy', 'angle'))} FROM gates""",
