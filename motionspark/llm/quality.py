@@ -23,13 +23,17 @@ from .common import table
 
 #: The most labelled documents that are fitted on and broadcast (with RANK numbers of 4 bytes each).
 SAMPLE = 4_096
-PAIRS, FORMS, RANK, NEIGHBOURS, SHARPNESS = 2_048, 8, 64, 25, 8
+PAIRS, FORMS, RANK, NEIGHBOURS = 2_048, 8, 64, 25
+SQUARINGS = 3  # a vote weighs its similarity squared three times
+SHARPNESS = 2**SQUARINGS
 TERMS = PAIRS + FORMS
 THRESHOLD = 0.3
 
 _slots = (np.arange(65_536, dtype=np.uint64) * np.uint64(wh.P) >> np.uint64(40)).astype(np.intp) % PAIRS
 #: Rows of counts that are held at once.
 ROWS = 512
+#: Bits behind the point of unit vectors: a product of two has twice as many and stays below 2**53.
+BITS = 24
 _forms = np.zeros((256, 4))  # marks, digits, capitals, line ends
 _forms[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)], 0] = 1
 _forms[48:58, 1] = _forms[65:91, 2] = _forms[10, 3] = 1
@@ -77,10 +81,23 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("place"), pa.array([c.tobytes() for c in counts], pa.binary())], ["label", "place", "counts"])
 
 
+def whole(x: np.ndarray, bits: int) -> np.ndarray:
+    """Multiples of 2**-bits as whole numbers, kept as doubles.
+
+    Sums of products of whole numbers below 2**53 have no rounding, so they are the same in any order: a
+    product of matrices then gives a row the same numbers wherever it stands and whatever stands beside it.
+    """
+    return np.rint(np.ldexp(x.astype(np.float64), bits))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of whole numbers (squares adding up to less than 2**53) brought to length 1, as multiples of 2**-BITS."""
+    return whole(x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12), BITS)
+
+
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Square-rooted shares by idf, each row of length 1."""
-    x = np.sqrt(counts) * idf
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return np.ldexp(unit_rows(whole(np.sqrt(counts) * idf, BITS - 6)), -BITS)  # 6 bits for an idf of up to 64
 
 
 def directions(x: np.ndarray, rank: int) -> np.ndarray:
@@ -135,28 +152,29 @@ def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
 def votes(counts: np.ndarray, model: dict[str, np.ndarray], neighbours: int) -> np.ndarray:
     """The share of label 1 among each row's nearest labelled vectors, weighted by similarity.
 
-    Products are taken in blocks of always ROWS rows, so that equal texts have equal scores whatever their batch.
+    Products are of whole numbers and have no rounding, all else goes number by number, and the votes are added
+    in the order of the sample, so that equal texts have equal scores whatever their batch.
     """
+    projection, latent = whole(model["projection"], BITS), whole(model["latent"], BITS).T
     out = np.zeros(len(counts))
     for at in range(0, len(counts), ROWS):
-        rows = counts[at : at + ROWS]
-        block = np.zeros((ROWS, counts.shape[1]), np.float32)
-        block[: len(rows)] = rows
-        y = weighted(block, model["idf"]) @ model["projection"]
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-        cosine = (y @ model["latent"].T)[: len(rows)]
-        near = nearest(cosine, min(neighbours, cosine.shape[1]))
-        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6).astype(np.float64) ** SHARPNESS
-        order = np.argsort(near, axis=1)  # sums in one order, as neighbours come in any
-        weight, label = np.take_along_axis(weight, order, axis=1), model["labels"][np.take_along_axis(near, order, axis=1)]
-        out[at : at + ROWS] = np.clip((weight * label).sum(axis=1) / weight.sum(axis=1), 0, 1)
+        y = unit_rows(np.rint(np.ldexp(whole(weighted(counts[at : at + ROWS], model["idf"]), BITS) @ projection, -BITS)))
+        cosine = np.ldexp(y @ latent, -2 * BITS)
+        near = np.sort(nearest(cosine, min(neighbours, cosine.shape[1])), axis=1)
+        weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6)
+        for _ in range(SQUARINGS):
+            weight = weight * weight
+        one, every = np.zeros(len(near)), np.zeros(len(near))
+        for w, label in zip(weight.T, model["labels"][near].T):
+            one, every = one + w * label, every + w
+        out[at : at + ROWS] = np.clip(one / every, 0, 1)
     return out
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE, neighbours: int = NEIGHBOURS) -> DataFrame:
     """The ``keep`` columns, held_out, score and predicted (1 if score >= 0.3) of each document.
 
-    Scores depend on the text alone, null being empty; of labelled texts that are equally near, those come
+    Scores depend on the text alone, null being empty, and on all of it, however long; of labelled texts that are equally near, those come
     first that the fit's order (a hash of the id) puts first. Labels that repeat for an id are averaged; null
     labels and ids are not learned from. Without labels every score is 0.5. Repeated rows and null ids
     stay as they are; other columns do not matter; an empty table gives no rows.

@@ -102,3 +102,19 @@ def test_odd_documents(spark):
     assert {r["_score"] for r in none} == {0.5}
     assert quality.accepted(docs, labels.limit(0)).columns == docs.columns
     assert quality.accepted(docs, labels.limit(0)).count() == len(ODD)
+
+
+def test_one_row_has_one_score_in_every_place():
+    """Also with weights and sizes of all magnitudes, and as a row of its own."""
+    draw = np.random.default_rng(6)
+    texts = [bytes(draw.integers(32, 32 + draw.integers(2, 90), draw.integers(0, 900), dtype=np.uint8)) for _ in range(quality.ROWS)]
+    counts, idf = quality.term_counts(texts), (0.1 + 20 * draw.random(quality.TERMS)).astype(np.float32)
+    x = quality.weighted(counts, idf)
+    projection = quality.directions(x, 24).astype(np.float32)
+    model = {"idf": idf, "projection": projection, "latent": (x @ projection).astype(np.float32), "labels": (draw.random(len(x)) < 0.3).astype(np.float32)}
+    model["latent"] /= np.maximum(np.linalg.norm(model["latent"], axis=1, keepdims=True), 1e-12)
+    for row in (0, 77, 511):
+        found = {quality.votes(counts[row : row + 1], model, 25)[0]}
+        for at in range(quality.ROWS):
+            found.add(quality.votes(np.roll(counts, at - row, axis=0), model, 25)[at])
+        assert len(found) == 1
