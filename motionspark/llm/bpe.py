@@ -5,7 +5,8 @@ passage that documents share gives the same chunks in each of them. A chunk is e
 ids and decoded text are reused wherever it comes up again; the words of a new chunk are looked up in
 the same way before the library encodes what is left. Then the joins are repaired: the characters about
 each join, out to the ends of the words there, are encoded again as one text. Where that disagrees with
-the two sides, the two chunks become one that is encoded anew, until every join agrees.
+the two sides, the chunks become one that is encoded anew, until every join agrees. Text without white space is cut where
+the vocabulary's pattern starts a new piece, so that work stays in proportion to a text's length.
 
 The store is held by each Python worker and bounded. Sharing it between executors would send every
 chunk's text through one shuffle and its ids back through another, which is more than the documents.
@@ -14,6 +15,7 @@ chunk's text through one shuffle and its ids back through another, which is more
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -32,8 +34,10 @@ VOCABULARY = "word_bpe_49k.json"
 WINDOW = 16
 #: A cut falls on one in MASK + 1 of the white space bytes.
 MASK = 127
-#: The most bytes of a chunk; longer ones are cut anywhere and rely on the repair of joins.
+#: Chunks of more bytes than this are cut at limits of the vocabulary's pieces, where they have any.
 LONGEST = 65_536
+#: Bytes on either side of a join that are compared at least; more than an added token has.
+NEAR = 64
 #: Bytes that a worker's kept chunks and kept words may take (by estimate); when full it starts afresh.
 KEPT_BYTES = 64_000_000
 KEPT_WORD_BYTES = 150_000_000
@@ -45,6 +49,14 @@ BATCH_ROWS = 500
 _odd = re.compile(r"[\x1c-\x1f\x85]")
 #: Words of plain letters with plain marks behind: the vocabulary's pattern takes the two apart and lower-cases the letters.
 _plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: What an added token must not hold, so that no limit of pieces falls within one.
+_limited = re.compile(r"[\s0-9]|[A-Za-z][!-/:-@\[-`{}~]")
+#: Fixed values of the vocabulary's format: its normalizers, and its pattern of pieces.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 _SPACES = b" \t\n\v\f\r"
 _EACH = [bytes([b]) for b in _SPACES]
 _factors = np.random.default_rng(7).integers(1, 2**32, 256, dtype=np.uint32) | np.uint32(1)
@@ -52,8 +64,28 @@ _factors = np.random.default_rng(7).integers(1, 2**32, 256, dtype=np.uint32) | n
 Encoded = tuple[str, int, str]  # decimal ids joined by one space, their number, decoded text
 
 
+def limits(raw: np.ndarray) -> np.ndarray:
+    """Places before which the vocabulary's pattern always starts a new piece, whatever stands further off.
+
+    Before an ASCII digit; before an ASCII mark behind an ASCII letter or digit (but a bar, which added tokens
+    hold); before an ideographic comma or full stop behind an ideograph.
+    """
+    out = (raw >= 48) & (raw <= 57)
+    word = out | (raw >= 65) & (raw <= 90) | (raw >= 97) & (raw <= 122)
+    mark = (raw >= 33) & (raw <= 126) & ~word & (raw != 124)
+    out[1:] |= mark[1:] & word[:-1]
+    if len(raw) > 5:
+        stop = (raw[3:-2] == 0xE3) & (raw[4:-1] == 0x80) & ((raw[5:] == 0x81) | (raw[5:] == 0x82))
+        out[3:-2] |= stop & (raw[:-5] >= 0xE5) & (raw[:-5] <= 0xE9)
+    return out
+
+
 def cuts(data: bytes) -> list[int]:
-    """Ends of the content-defined chunks of ``data``, the last one its length."""
+    """Ends of the content-defined chunks of ``data``, the last one its length.
+
+    Cuts fall behind white space; a stretch of over LONGEST bytes without one is cut at limits of pieces, by the same
+    hash where it can be and after LONGEST bytes where not. What has no limit, such as one run of letters, stays whole.
+    """
     raw = np.frombuffer(data, np.uint8)
     sums, width = _factors[raw], 1
     while width < WINDOW:  # hashes of 2, 4, 8, 16 bytes ending at each place
@@ -63,20 +95,31 @@ def cuts(data: bytes) -> list[int]:
         width *= 2
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     mixed = (sums ^ (sums >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    ends = (np.flatnonzero(space & ((mixed >> np.uint32(9)) & np.uint32(MASK) == 0)) + 1).tolist()
+    chosen = (mixed >> np.uint32(9)) & np.uint32(MASK) == 0
     out, at = [], 0
-    for end in [*ends, len(data)]:
-        while end - at > LONGEST:
-            at += LONGEST
-            while data[at] & 0xC0 == 0x80:  # not within a character
-                at -= 1
-            out.append(at)
+    for end in [*(np.flatnonzero(space & chosen) + 1).tolist(), len(data)]:
+        if end - at > LONGEST:
+            can = at + 1 + np.flatnonzero(limits(raw[at:end])[1:])
+            for cut in can[chosen[can - 1]].tolist():
+                out += _spaced(can, at, cut)
+                out.append(cut)
+                at = cut
+            out += _spaced(can, at, end)
         if end > at:
             out.append(end)
             at = end
     return out
 
 
+def _spaced(can: np.ndarray, at: int, end: int) -> list[int]:
+    """Of the places that can be cut, those next after every LONGEST bytes from ``at`` on, before ``end``."""
+    out = []
+    while end - at > LONGEST and (i := int(np.searchsorted(can, at + LONGEST))) < len(can) and can[i] < end:
+        at = int(can[i])
+        out.append(at)
+    return out
+
+
 class ChunkCoder:
     """Encodes and decodes whole texts through a store of chunks."""
 
@@ -91,8 +134,12 @@ class ChunkCoder:
         self.ids: dict[str, str] = {}  # of words
         self.read: dict[str, str] = {}
         self.chunk_bytes = self.word_bytes = 0
-        if self.library.decoder is not None:
-            raise ValueError("a vocabulary with a decoder is not known here")
+        whole = json.loads(self.library.to_str())
+        steps = [(whole["normalizer"] or {}).get("normalizers"), (whole["pre_tokenizer"] or {}).get("pretokenizers")]
+        added = self.library.get_added_tokens_decoder().values()
+        odd = any(t.normalized or t.lstrip or t.rstrip or t.single_word or len(t.content.encode()) > NEAR or _limited.search(t.content) for t in added)
+        if steps != [NORMALIZERS, PIECES] or whole["decoder"] is not None or odd:
+            raise ValueError("the coder knows the vocabulary's own normalizer and pattern, no decoder, and added tokens without digits, white space or flags")
         self.token = {i: t for t, i in self.library.get_vocab().items()}  # without a decoder they are joined by spaces
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in printable]
@@ -146,18 +193,23 @@ class ChunkCoder:
         return {pair for pair, (a, b) in near.items() if " ".join(filter(None, (known[a], known[b]))) != known[a + b]}
 
     def repair(self, chunks: list[bytes], torn: set[tuple[bytes, bytes]]) -> list[bytes]:
-        """Chunks whose codes agree at every join: those that do not are put together and encoded anew."""
-        out, grown = chunks[:1], False
-        for chunk in chunks[1:]:
-            pair = (out[-1], chunk)
-            if self.seams({pair}) if grown else pair in torn:
-                out[-1] += chunk
-                self.learn([out[-1]])
-                grown = True
-            else:
-                out.append(chunk)
-                grown = False
-        return out
+        """Chunks whose codes agree at every join: those that do not are put together and encoded anew.
+
+        All that hangs together by torn joins is joined at once; only the joins of what was joined are looked at again.
+        """
+        while torn:
+            parts = [[chunks[0]]]
+            for pair in zip(chunks, chunks[1:]):
+                if pair in torn:
+                    parts[-1].append(pair[1])
+                else:
+                    parts.append([pair[1]])
+            out = [b"".join(p) for p in parts]
+            fresh = [len(p) > 1 for p in parts]
+            self.learn(list({c for c, new in zip(out, fresh) if new}.difference(self.chunks)))
+            torn = self.seams({(a, b) for a, b, x, y in zip(out, out[1:], fresh, fresh[1:]) if x or y})
+            chunks = out
+        return chunks
 
     def code(self, texts: list[str | None]) -> list[Encoded]:
         """Ids and decoded text of each whole text; null is empty."""
@@ -182,15 +234,23 @@ class ChunkCoder:
 
 
 def _last_word(chunk: bytes) -> str:
-    """The last word of a chunk with the white space behind it."""
+    """The last word of a chunk with the white space behind it; of a long word what follows a limit of pieces."""
     body = chunk.rstrip(_SPACES)
-    return chunk[max(body.rfind(c) for c in _EACH) + 1 :].decode()
+    word = chunk[max(body.rfind(c) for c in _EACH) + 1 :]
+    if len(word) > 2 * NEAR:
+        can = np.flatnonzero(limits(np.frombuffer(word, np.uint8))[:-NEAR])
+        word = word[int(can[-1]) :] if len(can) else word
+    return word.decode()
 
 
 def _first_word(chunk: bytes) -> str:
-    """The first word of a chunk with the white space before it."""
+    """The first word of a chunk with the white space before it; of a long word what goes before a limit of pieces."""
     start = len(chunk) - len(chunk.lstrip(_SPACES))
-    return chunk[: min((i for c in _EACH if (i := chunk.find(c, start)) >= 0), default=len(chunk))].decode()
+    word = chunk[: min((i for c in _EACH if (i := chunk.find(c, start)) >= 0), default=len(chunk))]
+    if len(word) > 2 * NEAR:
+        can = NEAR + np.flatnonzero(limits(np.frombuffer(word, np.uint8))[NEAR:])
+        word = word[: int(can[0])] if len(can) else word
+    return word.decode()
 
 
 @lru_cache(maxsize=4)
@@ -209,7 +269,7 @@ def encode_decode(
     """Encode every whole text and decode it again: the ``keep`` columns and ids, n_tokens, decoded.
 
     ``ids`` are decimal and joined by one space; ``decoded`` is the library's decoding of them with
-    special tokens kept. ``derive`` makes other ``columns`` (a DDL string of longs and strings) from
+    special tokens kept. ``vocabulary`` has the normalizer and pattern of VOCABULARY (ValueError in the task if not). ``derive`` makes other ``columns`` (a DDL string of longs and strings) from
     (ids, n_tokens, decoded), so that what is not wanted need not leave the task. Null text is empty; a very
     long text is a batch of its own; repeated rows and null ids stay as they are; columns that are not kept do
     not matter, and a kept one named like a column made here is refused (ValueError); an empty table gives no rows.

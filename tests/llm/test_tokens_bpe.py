@@ -4,6 +4,7 @@ import itertools
 import random
 import time
 
+import numpy as np
 import pytest
 from conftest import SMALL
 from hypothesis import given, settings
@@ -177,3 +178,45 @@ def test_prefix_columns(spark, byte_library):
 def test_odd_rows(spark, byte_library):
     found = tokens.token_prefixes(documents(spark, ODD)).select("doc_id", "n_bytes", "n_tokens").collect()
     assert sorted(map(tuple, found), key=repr) == sorted([(i, len((t or "").encode()), whole(byte_library, t)[1]) for i, t, _ in ODD], key=repr)
+
+
+def unspaced(kind, n):
+    draw = random.Random(n)
+    ideograph = lambda: chr(draw.randrange(0x4E00, 0x9FA0))
+    each = {
+        "ideographs": ideograph,
+        "sentences": lambda: ideograph() if draw.random() < 0.9 else draw.choice("。、"),
+        "letters": lambda: draw.choice("abcdefghijklmnopqrstuvwxyz"),
+        "letters-digits": lambda: draw.choice("abcdefghijklmnopqrstuvwxyz0123456789"),
+        "marks": lambda: draw.choice(["'", "'s", "!", "<|", "<|endoftext|>", "é", "1", "|>", "é", "x"]),
+    }[kind]
+    return "".join(each() for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["ideographs", "sentences", "letters", "letters-digits", "marks"])
+def test_time_grows_with_length_without_spaces(word_library, kind):
+    """Texts without white space take time in proportion to their length; ids and decoded text are the library's."""
+    took = []
+    for n in (100_000, 200_000, 400_000):
+        text, coder = unspaced(kind, n), bpe.ChunkCoder(tokens.tokenizer_path(bpe.VOCABULARY))
+        start = time.process_time()
+        code = coder.code([text])[0]
+        took.append(time.process_time() - start)
+        assert tuple(code) == whole(word_library, text)
+    assert took[2] < 8 * took[0] + 0.2 and took[2] < 10
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([*PARTS, "。", "、", "a1", "(", "|", "x's"]), max_size=40).map("".join))
+def test_limits_of_pieces(word_library, text):
+    """Before every limit a text falls into two that are encoded apart, away from added tokens."""
+    data = text.replace("<|endof", "").replace("text|>", "").encode()
+    can = np.flatnonzero(bpe.limits(np.frombuffer(data, np.uint8)))
+    encode = lambda b: word_library.encode(b.decode(), add_special_tokens=False).ids
+    for cut in can.tolist():
+        assert encode(data[:cut]) + encode(data[cut:]) == encode(data)
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        bpe.ChunkCoder(tokens.tokenizer_path(tokens.VOCABULARY))
