@@ -15,7 +15,7 @@ def test_query_matches_oracle(spark, name):
 @pytest.fixture(scope="module")
 def no_rows(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "embeddings", "labels", "conversations"):
+    for name in ("documents", "embeddings", "labels", "conversations", "pages", "benchmark"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 
