@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators."""
 
-from . import bpe, chat, infill, media, mixing, neardup, quality, secrets, substrings, tokens, topk
+from . import bpe, chat, infill, media, mixing, neardup, quality, ranked, secrets, substrings, tokens, topk
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_tokens": tokens.op8_tokens,
     "op9_media": media.op9_media,
     "op10_quality": quality.op10_quality,
+    "op11_ranked": ranked.op11_ranked,
     "op13_infill": infill.op13_infill,
 }
-ORACLE_SQL = {"op1_substrings": substrings.OP1_SQL, "op3_topk": topk.OP3_SQL, "op5_neardup": neardup.OP5_SQL, "op6_chat": chat.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op13_infill": infill.OP13_SQL}
+ORACLE_SQL = {"op1_substrings": substrings.OP1_SQL, "op3_topk": topk.OP3_SQL, "op5_neardup": neardup.OP5_SQL, "op6_chat": chat.OP6_SQL, "op7_mixing": mixing.OP7_SQL, "op11_ranked": ranked.OP11_SQL, "op13_infill": infill.OP13_SQL}
