@@ -2,7 +2,7 @@
 
 Masks and connected components run in numpy, one raster at a time within Arrow batches; what follows on the
 blobs (gates, ranking, lines) is relational. A raster is never exploded into rows of pixels except where
-an aggregate over many frames asks for it (``background``).
+the pixels themselves are asked for (``exploded``); medians over frames are taken tile by tile.
 """
 
 from __future__ import annotations
@@ -29,54 +29,73 @@ def hsv(rgba: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.where(top > 0, d / np.where(top > 0, top, 1), 0), top
 
 
-def labels(mask: np.ndarray) -> np.ndarray:
-    """4-connected components of a mask: 0 outside, 1, 2, ... inside, in scan order.
+def labels(mask: np.ndarray, corners: bool = False) -> np.ndarray:
+    """Connected components of a mask, over edges or over ``corners`` too: 0 outside, 1, 2, ... inside, in scan order.
 
-    Least labels spread along rows and columns until none changes.
+    A row's runs of set pixels are the nodes and runs that touch in the next row the links. Every run takes the least
+    root that its links know until all agree, so work grows with the runs, not with blobs times pixels.
     """
-    ids = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        before = ids.copy()
-        for axis, flip in ((0, 1), (0, -1), (1, 1), (1, -1)):
-            view = np.moveaxis(ids, axis, 0)[::flip]
-            inside = np.moveaxis(mask, axis, 0)[::flip]
-            for i in range(1, len(view)):
-                both = inside[i] & inside[i - 1]
-                view[i] = np.where(both, np.minimum(view[i], view[i - 1]), view[i])
-        if np.array_equal(before, ids):
+    h, w = mask.shape
+    padded = np.zeros((h, w + 2), np.int8)
+    padded[:, 1:-1] = mask
+    step = np.diff(padded.ravel(), append=0)
+    starts, ends = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1  # in the padded raster, ends behind the run
+    below = starts + w + 2, ends + w + 2  # the stretch in the next row that a run touches
+    first = np.searchsorted(ends, below[0], "left" if corners else "right")
+    behind = np.searchsorted(starts, below[1], "right" if corners else "left")
+    many = np.maximum(behind - first, 0)
+    above = np.repeat(np.arange(len(starts)), many)
+    under = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    root = np.arange(len(starts))
+    while len(above):
+        one, two = root[above], root[under]
+        apart = one != two
+        if not apart.any():
             break
-    return np.where(mask, np.searchsorted(np.unique(ids[mask]), ids) + 1, 0) if mask.any() else ids
-
-
-def components(mask: np.ndarray, weight: np.ndarray, min_px: int, most: int | None = 12) -> list[dict]:
-    """Blobs by weight: weighted centroid, direction and elongation by second moments, bounding box."""
-    rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
-    if not len(rows):
-        return []
-    top, left = int(rows[0]), int(columns[0])
-    inner = np.s_[top : rows[-1] + 1, left : columns[-1] + 1]  # labelled within the box that holds the mask
-    ids, weight = labels(mask[inner]), weight[inner]
-    out = []
-    for k in range(1, int(ids.max(initial=0)) + 1):
-        y, x = np.nonzero(ids == k)
-        if len(x) < min_px:
-            continue
-        w = weight[y, x]
-        total = w.sum() or 1.0
-        x, y = x + left, y + top
-        cx, cy = (x * w).sum() / total, (y * w).sum() / total
-        xx, yy, xy = ((x - cx) ** 2 * w).sum() / total, ((y - cy) ** 2 * w).sum() / total, ((x - cx) * (y - cy) * w).sum() / total
-        root = np.sqrt((xx - yy) ** 2 + 4 * xy * xy)
-        wide, narrow = (xx + yy + root) / 2, max((xx + yy - root) / 2, 1e-9)
-        out.append({"x": cx, "y": cy, "n": len(x), "weight": float(total), "theta": 0.5 * np.arctan2(2 * xy, xx - yy), "elongation": float(np.sqrt(wide / narrow)), "minx": x.min(), "maxx": x.max(), "miny": y.min(), "maxy": y.max()})
-    return sorted(out, key=lambda b: -b["weight"])[:most]
+        above, under, one, two = above[apart], under[apart], one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root[root] != root).any():
+            root = root[root]
+    number = np.cumsum(root == np.arange(len(root)))[root]
+    out = np.zeros(h * (w + 2) + 1, np.int64)
+    out[starts] = number
+    out[ends] -= number
+    return np.cumsum(out)[:-1].reshape(h, w + 2)[:, 1:-1]
+
+
+def moments(mask: np.ndarray, weight: np.ndarray, min_px: int = 1, corners: bool = False) -> pd.DataFrame:
+    """The blobs of ``min_px`` pixels or more, by weight: weighted centroid, direction and elongation by second moments, bounding box, label."""
+    ids = labels(mask, corners)
+    y, x = np.nonzero(ids)
+    k = ids[y, x] - 1
+    n = np.bincount(k)
+    of = lambda v, size=len(n): np.bincount(k, v, size)
+    w = weight[y, x].astype(float)
+    total = of(w)
+    total[total == 0] = 1.0
+    cx, cy = of(x * w) / total, of(y * w) / total
+    u, v = x - cx[k], y - cy[k]
+    xx, yy, xy = of(u * u * w) / total, of(v * v * w) / total, of(u * v * w) / total
+    root = np.sqrt((xx - yy) ** 2 + 4 * xy * xy)
+    wide, narrow = (xx + yy + root) / 2, np.maximum((xx + yy - root) / 2, 1e-9)
+    low, high = np.full((2, len(n)), max(mask.shape)), np.zeros((2, len(n)), int)
+    for i, at in enumerate((x, y)):
+        np.minimum.at(low[i], k, at)
+        np.maximum.at(high[i], k, at)
+    found = pd.DataFrame({"x": cx, "y": cy, "n": n, "weight": total, "theta": 0.5 * np.arctan2(2 * xy, xx - yy), "elongation": np.sqrt(wide / narrow), "minx": low[0], "maxx": high[0], "miny": low[1], "maxy": high[1], "label": np.arange(1, len(n) + 1)})
+    return found[found["n"] >= min_px].sort_values("weight", ascending=False, kind="stable")
+
+
+def components(mask: np.ndarray, weight: np.ndarray, min_px: int, most: int | None = None) -> list[dict]:
+    """The blobs of ``moments`` as dictionaries, the ``most`` heaviest if so many are asked for."""
+    return moments(mask, weight, min_px).drop(columns="label")[:most].to_dict("records")
 
 
 def _raster(row) -> np.ndarray:
     return np.frombuffer(row.rgba, np.uint8).reshape(row.h, row.w, 4)
 
 
-def blobs(rasters: DataFrame, mask: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], min_px: int, most: int | None = 12) -> DataFrame:
+def blobs(rasters: DataFrame, mask: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], min_px: int, most: int | None = None) -> DataFrame:
     """Rows of BLOBS: the components of each raster where ``mask(h, s, v)`` holds, weighted by value."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +117,7 @@ def hue_near(h: np.ndarray, hue: float, tol: float) -> np.ndarray:
 
 def ball_candidates(rasters: DataFrame, n_min: int = 6, n_max: int = 10**9, min_fill: float = 0.45, v: float = 0.55, s: float = 0.30) -> DataFrame:
     """Bright, unsaturated blobs of ball size that fill their box; those that fail fall through to the next."""
-    found = blobs(rasters, lambda _, sat, val: (val >= v) & (sat <= s), 6, None)
+    found = blobs(rasters, lambda _, sat, val: (val >= v) & (sat <= s), 6)
     fill = F.col("n") / ((F.col("maxx") - F.col("minx") + 1) * (F.col("maxy") - F.col("miny") + 1))
     return found.where(F.col("n").between(n_min, n_max)).withColumn("fill", fill).where(F.col("fill") >= min_fill)
 
@@ -214,13 +233,65 @@ def exploded(rasters: DataFrame) -> DataFrame:
     return each.select("clip_id", "frame", (F.col("i") % F.col("w")).cast("int").alias("x"), F.floor(F.col("i") / F.col("w")).cast("int").alias("y"), byte(0).alias("r"), byte(1).alias("g"), byte(2).alias("b"))
 
 
-def background(rasters: DataFrame, sample: int = 60) -> DataFrame:
-    """clip_id, x, y, r, g, b: the per-pixel median, cut to a whole number, of at most ``sample`` evenly spaced frames."""
+def evenly(rasters: DataFrame, sample: int) -> DataFrame:
+    """At most ``sample`` evenly spaced frames of each clip."""
     w = Window.partitionBy("clip_id")
     numbered = rasters.withColumns({"_i": F.row_number().over(w.orderBy("frame")) - 1, "_n": F.count(F.lit(1)).over(w)})
     step = F.greatest(F.lit(1.0), F.col("_n") / F.lit(float(sample)))
-    chosen = numbered.where(F.floor(F.col("_i") / step) != F.floor((F.col("_i") - 1) / step))
-    return exploded(chosen).groupBy("clip_id", "x", "y").agg(*[F.floor(F.median(c)).cast("int").alias(c) for c in "rgb"])
+    return numbered.where(F.floor(F.col("_i") / step) != F.floor((F.col("_i") - 1) / step)).drop("_i", "_n")
+
+
+TILE = 64
+TILES = "clip_id long, frame int, tx int, ty int, w int, h int, tile binary"
+
+
+def tiles(rasters: DataFrame, size: int = TILE) -> DataFrame:
+    """Rows of TILES: each raster's red, green and blue in squares of ``size`` pixels, those at its edges smaller."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for r in f.itertuples():
+                rgb = _raster(r)[..., :3]
+                for y in range(0, r.h, size):
+                    rows += [(r.clip_id, r.frame, x // size, y // size, r.w, r.h, rgb[y : y + size, x : x + size].tobytes()) for x in range(0, r.w, size)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TILES.split(", ")])
+
+    return rasters.select("clip_id", "frame", "w", "h", "rgba").mapInPandas(run, TILES)
+
+
+def still_tiles(rasters: DataFrame, sample: int = 60, size: int = TILE) -> DataFrame:
+    """clip_id, tx, ty, w, h, tile: the per-pixel median, cut to a whole number, of at most ``sample`` evenly spaced frames.
+
+    A tile's frames meet in one group of ``sample`` small squares, so a clip's pixels are spread over its tiles and none is a row of
+    its own. Rasters of a clip that differ in size keep apart.
+    """
+
+    def middle(rows: pd.DataFrame) -> pd.DataFrame:
+        stack = np.stack([np.frombuffer(t, np.uint8) for t in rows["tile"]])
+        return rows.iloc[:1][["clip_id", "tx", "ty", "w", "h"]].assign(tile=[np.floor(np.median(stack, axis=0)).astype(np.uint8).tobytes()])
+
+    return tiles(evenly(rasters.select("clip_id", "frame", "w", "h", "rgba"), sample), size).groupBy("clip_id", "tx", "ty", "w", "h").applyInPandas(middle, "clip_id long, tx int, ty int, w int, h int, tile binary")
+
+
+def stills(rasters: DataFrame, sample: int = 60, size: int = TILE) -> DataFrame:
+    """clip_id, w, h, rgba: the tiles of ``still_tiles`` put together as one opaque raster for each clip."""
+
+    def put(rows: pd.DataFrame) -> pd.DataFrame:
+        w, h = int(rows["w"].iloc[0]), int(rows["h"].iloc[0])
+        image = np.full((h, w, 4), 255, np.uint8)
+        for r in rows.itertuples():
+            y, x = r.ty * size, r.tx * size
+            spot = image[y : y + size, x : x + size, :3]
+            spot[:] = np.frombuffer(r.tile, np.uint8).reshape(spot.shape)
+        return pd.DataFrame({"clip_id": rows["clip_id"].iloc[:1], "w": [w], "h": [h], "rgba": [image.tobytes()]})
+
+    return still_tiles(rasters, sample, size).groupBy("clip_id", "w", "h").applyInPandas(put, "clip_id long, w int, h int, rgba binary")
+
+
+def background(rasters: DataFrame, sample: int = 60) -> DataFrame:
+    """clip_id, x, y, r, g, b: the pixels of each clip's still."""
+    return exploded(stills(rasters, sample).withColumn("frame", F.lit(0))).drop("frame")
 
 
 def match_template(image: np.ndarray, patch: np.ndarray) -> tuple[float, int, int]:

@@ -13,7 +13,7 @@ from . import pixels, series
 
 #: Fixed values (pixels at a width of 960, shares of the picture, grey levels).
 LINE_PIXELS, LINE_AREA, LINE_SPAN, LINE_BAND, LINE_REFIT = 200, 120, 0.25, 12.0, 100
-LEADING, EDGE_REACH, EDGE_STEP, EDGE_STEEP = 78, 7.0, 0.5, 2.0
+LEADING, FACE_REACH, EDGE_REACH, EDGE_STEP, EDGE_STEEP = 78, 0.55, 7.0, 0.5, 2.0
 HUBER = 1.345
 
 
@@ -48,16 +48,11 @@ def find_lines(rasters: DataFrame, hue: float = 60, tol: float = 50) -> DataFram
                 mask = pixels.hue_near(h, hue, tol) & (s >= 50 / 255) & (v >= 50 / 255)
                 if mask.sum() < LINE_PIXELS:
                     continue
-                ids = pixels.labels(mask)
-                spans = {}
-                for k in range(1, int(ids.max()) + 1):
-                    y, x = np.nonzero(ids == k)
-                    span = max(np.ptp(x), np.ptp(y)) + 1
-                    if len(x) >= LINE_AREA * r.w / 960 and span >= LINE_SPAN * max(r.w, r.h):
-                        spans[k] = span
-                if not spans:
+                found = pixels.moments(mask, v, max(1, int(np.ceil(LINE_AREA * r.w / 960))), corners=True)
+                span = np.maximum(found["maxx"] - found["minx"], found["maxy"] - found["miny"]) + 1
+                if not (span >= LINE_SPAN * max(r.w, r.h)).any():
                     continue
-                y, x = (a.astype(float) for a in np.nonzero(ids == max(spans, key=spans.get)))
+                y, x = (a.astype(float) for a in np.nonzero(pixels.labels(mask, corners=True) == found["label"][span.idxmax()]))
                 theta, cx, cy = huber_line(x, y)
                 y, x = (a.astype(float) for a in np.nonzero(mask))
                 near = np.abs((y - cy) * np.cos(theta) - (x - cx) * np.sin(theta)) < LINE_BAND * r.w / 960
@@ -69,52 +64,65 @@ def find_lines(rasters: DataFrame, hue: float = 60, tol: float = 50) -> DataFram
     return rasters.select("clip_id", "frame", "w", "h", "rgba").mapInPandas(run, "clip_id long, frame int, rad double, lx double, ly double")
 
 
-def _at(grey: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Grey levels between pixels; the border goes on outside."""
+def between(grey: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Grey levels between pixels, by the nearest four; the border goes on outside."""
     x, y = np.clip(x, 0, grey.shape[1] - 1.001), np.clip(y, 0, grey.shape[0] - 1.001)
     i, j = x.astype(int), y.astype(int)
-    a, b = x - i, y - j
-    return grey[j, i] * (1 - a) * (1 - b) + grey[j, i + 1] * a * (1 - b) + grey[j + 1, i] * (1 - a) * b + grey[j + 1, i + 1] * a * b
+    top = grey[j, i] + (grey[j, i + 1] - grey[j, i]) * (x - i)
+    low = grey[j + 1, i] + (grey[j + 1, i + 1] - grey[j + 1, i]) * (x - i)
+    return top + (low - top) * (y - j)
+
+
+def step_places(profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of evenly spaced grey levels, where the one step down lies (in samples, between them) and how steep it is at most.
+
+    The place is the centre of gravity of the fall about its steepest sample, which for a step that is blurred alike to both
+    sides is its middle, however wide the blur; ripples that are not part of that fall do not count.
+    """
+    fall = np.maximum(profiles[:, :-1] - profiles[:, 1:], 0.0)
+    peak, top = fall.argmax(axis=1)[:, None], fall.max(axis=1)
+    part = fall >= 0.2 * top[:, None]
+    at = np.arange(fall.shape[1])
+    gap = np.where(part, -1, at)
+    after = np.where(~part, at, fall.shape[1])
+    left = np.where(at <= peak, gap, -1).max(axis=1)[:, None]
+    right = np.where(at >= peak, after, fall.shape[1]).min(axis=1)[:, None]
+    share = np.where((at > left) & (at < right), fall, 0.0)
+    return (share * (at + 0.5)).sum(axis=1) / np.maximum(share.sum(axis=1), 1e-12), top
 
 
 def face_line(grey: np.ndarray, outline: tuple[np.ndarray, np.ndarray], head: tuple[float, float], way: tuple[float, float], want: float) -> tuple[float, float, float, float, int] | None:
-    """(direction, x, y, rms, points) of the head's edge on the side of ``way`` (a unit vector), found between pixels.
+    """(direction, x, y, rms, points) of a bright head's edge on the side of ``way`` (a unit vector), found between pixels.
 
-    The outline's leading part says where to look; across it, samples find the steepest step of brightness, and
-    a parabola through three of them its peak.
+    Seen along ``way``, the outline's foremost points give a first edge. Brightness is then read along ``way`` through it, one profile for
+    each pixel of the face; the middles of their steps are the edge, to which a line is fitted that far points hardly move. Where under
+    eight profiles have a step, the outline's own line stands; with under ten foremost points there is no face.
     """
-    x, y = outline
-    dx, dy = way
-    depth = (x - head[0]) * dx + (y - head[1]) * dy
-    lead = depth >= np.percentile(depth, LEADING) if len(x) >= 12 else np.zeros(len(x), bool)
-    along = (x - head[0]) * -dy + (y - head[1]) * dx
-    lead[lead] = np.abs(along[lead] - np.median(along[lead])) <= want * 0.55 if lead.any() else False
-    if lead.sum() < 10:
+    turn = np.array([[way[0], way[1]], [-way[1], way[0]]])
+    depth, along = turn @ (np.stack(outline) - np.array(head)[:, None])
+    front = np.flatnonzero(depth >= np.quantile(depth, LEADING / 100)) if len(depth) else np.zeros(0, int)
+    reach = FACE_REACH * want
+    front = front[np.abs(along[front] - np.median(along[front])) <= reach] if len(front) else front
+    if len(front) < 10:
         return None
-    theta, px, py = huber_line(x[lead], y[lead])
-    t, s = np.arange(-want * 0.55, want * 0.55 + 1e-6), np.arange(-EDGE_REACH, EDGE_REACH + 1e-6, EDGE_STEP)
-    bx, by = px + t * np.cos(theta), py + t * np.sin(theta)
-    steep = np.abs(np.gradient(_at(grey, bx[:, None] + s * dx, by[:, None] + s * dy), axis=1))
-    peak = steep.argmax(axis=1)
-    ok = (peak > 0) & (peak < len(s) - 1) & (steep.max(axis=1) > EDGE_STEEP)
-    if ok.sum() < 8:
-        off = (y[lead] - py) * np.cos(theta) - (x[lead] - px) * np.sin(theta)
-        return theta, px, py, float(np.sqrt((off * off).mean())), int(lead.sum())
-    row, at = np.flatnonzero(ok), peak[ok]
-    low, mid, high = steep[row, at - 1], steep[row, at], steep[row, at + 1]
-    curve = low - 2 * mid + high
-    shift = np.clip(np.where(np.abs(curve) > 1e-6, 0.5 * (low - high) / np.where(curve == 0, 1e-6, curve), 0), -1, 1)
-    qx, qy = bx[row] + (s[at] + shift * EDGE_STEP) * dx, by[row] + (s[at] + shift * EDGE_STEP) * dy
-    theta, px, py = huber_line(qx, qy)
-    for _ in range(2):
-        off = np.abs((qy - py) * np.cos(theta) - (qx - px) * np.sin(theta))
-        keep = off <= max(0.8, 2 * float(np.median(off)))
-        if keep.sum() < 8 or keep.all():
-            break
-        qx, qy = qx[keep], qy[keep]
-        theta, px, py = huber_line(qx, qy)
-    off = (qy - py) * np.cos(theta) - (qx - px) * np.sin(theta)
-    return theta, px, py, float(np.sqrt((off * off).mean())), len(qx)
+
+    def line(t: np.ndarray, d: np.ndarray) -> tuple[float, float, float, float, int]:
+        """A line through points along and in depth of the face, in the picture's own axes."""
+        slant, t0, d0 = huber_line(t, d)
+        off = (d - d0) * np.cos(slant) - (t - t0) * np.sin(slant)
+        (ax, ay), (x, y) = turn.T @ np.array([np.sin(slant), np.cos(slant)]), turn.T @ np.array([d0, t0]) + np.array(head)
+        return float((np.arctan2(ay, ax) + np.pi / 2) % np.pi - np.pi / 2), float(x), float(y), float(np.sqrt(np.mean(off**2))), len(t)
+
+    slant, t0, d0 = huber_line(along[front], depth[front])
+    t = np.arange(np.ceil(max(along[front].min(), t0 - reach)), min(along[front].max(), t0 + reach) + 1e-9)
+    first = d0 + (t - t0) * np.tan(slant)
+    d = first[:, None] + np.arange(-EDGE_REACH, EDGE_REACH + EDGE_STEP / 2, EDGE_STEP)
+    px, py = np.einsum("ij,jkl->ikl", turn.T, np.stack([d, np.broadcast_to(t[:, None], d.shape)])) + np.array(head)[:, None, None]
+    place, steep = step_places(between(grey, px, py))
+    sharp = steep > EDGE_STEEP
+    if sharp.sum() < 8:
+        return line(along[front], depth[front])
+    return line(t[sharp], (first + place * EDGE_STEP - EDGE_REACH)[sharp])
 
 
 def face_lines(heads: DataFrame, v_min: float = 0.6) -> DataFrame:
