@@ -133,11 +133,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
     n = counted[TERMS]
     idf = np.array([np.log((n + 1) / (counted.get(t, 0) + 1)) + 0.1 for t in range(TERMS)], np.float32)
     idf[PAIRS:] = idf[PAIRS:] + 2  # the few terms of form stand against many pairs
-    x = weighted(np.stack([np.frombuffer(r["counts"], np.float32) for r in rows]), idf)
+    x, chosen_labels = np.empty((len(rows), TERMS), np.float32), np.array([r["label"] for r in rows], np.float32)
+    for at in range(0, len(x), ROWS):  # multiples of 2**-24 up to 1 are exact in 4 bytes
+        x[at : at + ROWS] = weighted(np.stack([np.frombuffer(r["counts"], np.float32) for r in rows[at : at + ROWS]]), idf)
+    del rows
     projection = directions(x, min(RANK, len(rows), TERMS)).astype(np.float32)
     latent = x @ projection
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return {"idf": idf, "projection": projection, "latent": latent.astype(np.float32), "labels": np.array([r["label"] for r in rows], np.float32)}
+    return {"idf": idf, "projection": projection, "latent": latent.astype(np.float32), "labels": chosen_labels}
 
 
 def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
