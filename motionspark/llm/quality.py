@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, n
     for at in range(0, len(x), ROWS):  # multiples of 2**-24 up to 1 are exact in 4 bytes
         x[at : at + ROWS] = weighted(np.stack([np.frombuffer(r["counts"], np.float32) for r in rows[at : at + ROWS]]), idf)
     del rows
-    projection = directions(x, min(RANK, len(rows), TERMS)).astype(np.float32)
+    projection = directions(x, min(RANK, len(x), TERMS)).astype(np.float32)
     latent = x @ projection
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     return {"idf": idf, "projection": projection, "latent": latent.astype(np.float32), "labels": chosen_labels}
