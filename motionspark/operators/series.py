@@ -176,13 +176,23 @@ def percentiles(df: DataFrame, by: list[str], x: str, wanted: dict[str, float])
 def medoid(df: DataFrame, by: list[str], at: str, angle: str, period: float = 180.0) -> DataFrame:
     """by, medoid: each key's angle with the least sum of circular distances to all its rows, the first of equals.
 
-    Rows are counted by distinct angle first, so work grows with the square of a key's distinct angles only.
+    Rows are counted by distinct angle first. Along two turns of the circle running counts and sums of the angles give each angle's
+    cost from their values half a turn behind, at, and half a turn ahead of it, so a key's angles stream through one sorted pass.
     """
-    counts = df.where(F.col(angle).isNotNull()).groupBy(*by, angle).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
-    points = counts.groupBy(*by).agg(F.collect_list(F.struct(F.col(angle).alias("a"), "n", "first")).alias("_points"))
-    cost = lambda p: F.aggregate("_points", F.lit(0.0), lambda s, q: s + q["n"] * robust.circular_distance(p["a"], q["a"], period))
-    scored = F.transform("_points", lambda p: F.struct(cost(p).alias("cost"), p["first"].alias("first"), p["a"].alias("a")))
-    return points.select(*by, F.array_min(scored)["a"].alias("medoid"))
+    half = period / 2
+    counts = df.where(F.col(angle).isNotNull()).groupBy(*by, F.col(angle).alias("_angle")).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first"))
+    place = F.pmod(F.col("_angle").cast("double"), F.lit(float(period)))
+    here = F.when(place < half, place + period).otherwise(place)
+    point = lambda x: F.struct(x.alias("x"), F.lit(1).alias("kind"), F.col("_n").cast("double").alias("n"))
+    probe = lambda x, kind: F.struct(x.alias("x"), F.lit(kind).alias("kind"), F.lit(0.0).alias("n"))
+    spread = counts.select(*by, "_angle", "_first", here.alias("_here"), F.explode(F.array(point(place), point(place + period), probe(here - half, -2), probe(here, -1), probe(here + half, 0))).alias("_e"))
+    before = Window.partitionBy(*by).orderBy("_e.x", "_e.kind").rowsBetween(Window.unboundedPreceding, 0)  # probes come before points of their place
+    summed = spread.withColumns({"_count": F.sum("_e.n").over(before), "_sum": F.sum(F.col("_e.n") * F.col("_e.x")).over(before)})
+    of = lambda c, kind: F.max(F.when(F.col("_e.kind") == kind, F.col(c)))
+    low, mid, high = ((of("_count", k), of("_sum", k)) for k in (-2, -1, 0))
+    cost = F.col("_here") * (2 * mid[0] - low[0] - high[0]) - (2 * mid[1] - low[1] - high[1])
+    costs = summed.where("_e.kind <= 0").groupBy(*by, "_angle", "_first", "_here").agg(cost.alias("_cost"))
+    return costs.groupBy(*by).agg(F.min_by("_angle", F.struct("_cost", "_first", "_angle")).alias("medoid"))
 
 
 def fit_parabola(df: DataFrame, by: list[str], x: Column, y: Column) -> DataFrame:
@@ -195,13 +205,17 @@ def fit_parabola(df: DataFrame, by: list[str], x: Column, y: Column) -> DataFram
 
 
 def trimmed_arc(df: DataFrame, by: list[str], along: str, across: str, rounds: int = 3, trim: float = 2.0) -> DataFrame:
-    """A parabola of ``across`` on ``along`` for each key, refitted up to ``rounds`` times without points beyond max(2, trim * median residual)."""
-    kept = df
+    """A parabola of ``across`` on ``along`` for each key, refitted ``rounds`` times without points beyond max(2, trim * median residual).
+
+    Each round's residuals are written, as both its median and its cut read them; the median is spread over value ranges, so a key may have
+    any number of points.
+    """
+    kept = df.select(*by, along, across)
     for _ in range(rounds):
         fit = fit_parabola(kept, by, F.col(along), F.col(across))
-        off = kept.join(fit, by).withColumn("_r", F.abs(F.col(across) - (F.col("a") + F.col("b") * F.col(along) + F.col("c") * F.col(along) * F.col(along))))
-        bound = off.groupBy(*by).agg(F.greatest(F.lit(2.0), trim * F.median("_r")).alias("_bound"))
-        kept = off.join(bound, by).where(F.col("_r") <= F.col("_bound")).select(*df.columns)
+        off = written(kept.join(fit, by).withColumn("_r", F.abs(F.col(across) - (F.col("a") + F.col("b") * F.col(along) + F.col("c") * F.col(along) * F.col(along)))), "residuals")
+        bound = percentiles(off, by, "_r", {"_mid": 0.5})
+        kept = written(off.join(bound, by).where(F.col("_r") <= F.greatest(F.lit(2.0), trim * F.col("_mid"))).select(*by, along, across), "kept")
     return fit_parabola(kept, by, F.col(along), F.col(across))
 
 

@@ -15,6 +15,7 @@ from . import pixels, series
 LINE_PIXELS, LINE_AREA, LINE_SPAN, LINE_BAND, LINE_REFIT = 200, 120, 0.25, 12.0, 100
 LEADING, FACE_REACH, EDGE_REACH, EDGE_STEP, EDGE_STEEP = 78, 0.55, 7.0, 0.5, 2.0
 HUBER = 1.345
+STEP_PART = 0.05  # of the steepest fall: what still belongs to its step
 
 
 def huber_line(x: np.ndarray, y: np.ndarray, rounds: int = 20) -> tuple[float, float, float]:
@@ -81,7 +82,7 @@ def step_places(profiles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     fall = np.maximum(profiles[:, :-1] - profiles[:, 1:], 0.0)
     peak, top = fall.argmax(axis=1)[:, None], fall.max(axis=1)
-    part = fall >= 0.2 * top[:, None]
+    part = fall >= STEP_PART * top[:, None]  # more would cut the rim's foot off, and by where it lies between pixels
     at = np.arange(fall.shape[1])
     gap = np.where(part, -1, at)
     after = np.where(~part, at, fall.shape[1])

@@ -71,18 +71,17 @@ def arc_polylines(spark, sf_dir):
 
 def review_residuals(spark, sf_dir):
     """How far points lie from their key's parabola: median and 90th percentile, depth of the curve, share of the rejected in a window, spread before it."""
-    from pyspark.sql import Window
-
     days = events(spark, sf_dir).withColumn("d", F.pmod(F.col("t") / 86400, F.lit(1.0)))
     fit = series.fit_parabola(days, ["event_type"], F.col("d"), F.col("value"))
     r = days.join(fit, "event_type").withColumn("r", F.abs(F.col("value") - (F.col("a") + F.col("b") * F.col("d") + F.col("c") * F.col("d") * F.col("d"))))
     q = series.percentiles(r, ["event_type"], "r", {"mid": 0.5, "p90": 0.9})
-    numbered = r.withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).join(q, "event_type")
     rejected = F.col("r") > F.greatest(F.lit(2.0), 2 * F.col("mid"))
-    g = numbered.groupBy("event_type").agg(
-        F.first("mid").alias("mid"), F.first("p90").alias("p90"), F.count_if(rejected).alias("rejected"), F.avg(F.when(rejected, ((F.col("i") > 70) & (F.col("i") < 130)).cast("double"))).alias("near"),
-        F.stddev_pop(F.when(F.col("i") < 60, F.col("value"))).alias("sd"), (F.max(F.when(F.col("i") < 60, F.col("value"))) - F.min(F.when(F.col("i") < 60, F.col("value")))).alias("range"),
-    )
+    every = r.join(q, "event_type").groupBy("event_type").agg(F.first("mid").alias("mid"), F.first("p90").alias("p90"), F.count_if(rejected).alias("rejected"))
+    # Only the first 130 rows of a key are told apart by their number, and each task keeps no more of them.
+    early = series.top_k(r, ["event_type"], [F.asc("event_id")], 130).join(q, "event_type").withColumn("i", F.col("rank") - 1)
+    start = F.when(F.col("i") < 60, F.col("value"))
+    begun = early.groupBy("event_type").agg(F.count_if(rejected & (F.col("i") > 70)).alias("window"), F.stddev_pop(start).alias("sd"), (F.max(start) - F.min(start)).alias("range"))
+    g = every.join(begun, "event_type").withColumn("near", F.col("window") / F.nullif(F.col("rejected"), F.lit(0)))
     curve = rules.polyline(fit.select("event_type", "a", "b", "c", F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), ["event_type"], 400).groupBy("event_type").agg((F.max("across") - F.min("across")).alias("sagitta"))
     return g.join(curve, "event_type").select("event_type", "rejected", *[rounded(F.col(c), 3).alias(c) for c in ("mid", "p90", "near", "sd", "range", "sagitta")])
 
