@@ -172,3 +172,24 @@ def test_a_stroke_read_from_a_file_of_frames(registered, tmp_path):
         assert len(a.balls) == len(b.balls) and len(a.marks) == len(b.marks) == 2
         for p, q in zip(*(sorted([*r.balls, *r.marks], key=lambda thing: thing.x) for r in (a, b))):
             assert abs(p.x - q.x) < 0.1 and abs(p.y - q.y) < 0.1
+
+
+def test_sample_tables_from_sql(registered, tmp_path):
+    """Laterally over a table of files: the rows of read_samples, and bytes if asked for."""
+    from pyspark.errors import AnalysisException
+
+    from motionspark.sources import sample_tables
+
+    spark = registered
+    with_media("a.mp4", tmp_path)
+    (tmp_path / "c.mp4").write_bytes(movie(True))
+    sample_tables.register(spark)
+    files = [(n, f"file:{tmp_path}/{n}.mp4") for n in "ac"] + [("z", None)]
+    spark.createDataFrame(files, "name string, path string").createOrReplaceTempView("files")
+    found = {tuple(r) for r in spark.sql("SELECT s.* FROM files f, LATERAL mp4_samples(f.path) s").collect()}
+    assert found == {tuple(r) for r in mp4.read_samples(spark, str(tmp_path)).collect()} and len(found) == 5
+    rows = spark.sql("SELECT f.name, s.sample_idx, s.data FROM files f, LATERAL mp4_samples(f.path, true) s WHERE s.sample_idx >= 1 ORDER BY 1, 2").collect()
+    assert [(r.name, r.sample_idx, bytes(r.data)) for r in rows] == [("a", 1, bytes(range(10, 30))), ("a", 2, bytes(range(30, 60))), ("a", 3, bytes(range(60, 100)))]
+    for wrong in ("mp4_samples(3)", "mp4_samples('x', 5)"):
+        with pytest.raises(AnalysisException):
+            spark.sql(f"SELECT * FROM {wrong}").collect()
