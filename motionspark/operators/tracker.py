@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from . import pixels, series, tracking
+from ..staging import written
+from . import pixels, rules, series, shapes, tracking, vision
 from .observations import BALL_MM
 from .rules import AREA_GATE, SIZE_GATE
 
 #: Fixed values of the search (pixels, frames, shares).
 REACH, REACH_SPEED, MARGIN, BALL_MISSES, MARKER_MISSES, SIZE_KEPT, TRAVEL = 22.0, 1.7, 40.0, 6, 4, 0.8, 0.06
 SCALES = (0.15, 8.0)
+#: Pixels of the least head at a width of 640, half the length that a face is shown with.
+HEAD_PIXELS, HALF_FACE = 2500, 20.0
 
 BALL = "struct<cand_idx:int,x:double,y:double,n:int,fill:double,w:int,h:int>"
 MARK = "struct<x:double,y:double,weight:double>"
@@ -61,8 +64,8 @@ def see(rasters: DataFrame, hue: float = 320, line: bool = False) -> DataFrame:
 class Tracker:
     """The ball and the two markers of one clip, frame after frame. ``state`` is plain numbers and can be stored as JSON."""
 
-    def __init__(self, mat: tuple[float, float, float, float], h: list[float] | None = None, min_fill: float = 0.45, state: dict | None = None):
-        self.mat, self.h, self.min_fill = mat, h, min_fill
+    def __init__(self, mat: tuple[float, float, float, float], h: list[float] | None = None, min_fill: float = 0.45, state: dict | None = None, quad: list[tuple[float, float]] | None = None):
+        self.mat, self.h, self.min_fill, self.quad = mat, h, min_fill, quad
         pad = (mat[2] - mat[0]) * 0.35  # markers may lie beside the mat
         self.putter = (mat[0] - pad, mat[1] - pad * 0.4, mat[2] + pad, mat[3] + pad * 0.6)
         self.state = state or {"ball": None, "v": [0.0, 0.0], "miss": 0, "size": 0.0, "box": None, "lost": 0}
@@ -73,6 +76,13 @@ class Tracker:
         mm = abs(across(x + 1) - across(x))
         return math.pi / 4 * (BALL_MM / mm) ** 2 if mm > 0 else 0.0
 
+    def on_mat(self, x: float, y: float) -> bool:
+        """Whether a place lies on the mat's quadrilateral, its edges included: not on different sides of different edges."""
+        if self.quad is None:
+            return True
+        off = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(self.quad, [*self.quad[1:], self.quad[0]])]
+        return not (any(o > geometry.EDGE for o in off) and any(o < -geometry.EDGE for o in off))
+
     def first_ball(self, balls: list[dict], box: tuple[float, float, float, float]) -> dict | None:
         """The heaviest blob in a box that is as large as a ball there and fills its own box; others fall through."""
         low, high = 0.0, math.inf
@@ -94,7 +104,7 @@ class Tracker:
             ball = self.first_ball(balls, self.mat)
         if ball and not near and s["size"] and not SIZE_GATE[0] * s["size"] < ball["n"] < SIZE_GATE[1] * s["size"]:
             ball = None
-        if ball and not (self.mat[0] <= ball["x"] <= self.mat[2] and self.mat[1] <= ball["y"] <= self.mat[3]):
+        if ball and not (self.mat[0] <= ball["x"] <= self.mat[2] and self.mat[1] <= ball["y"] <= self.mat[3] and self.on_mat(ball["x"], ball["y"])):
             ball = None
         if ball:
             if s["ball"]:
@@ -141,19 +151,21 @@ def _tracked(frames: Iterator[pd.DataFrame], **how) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACKED.split(", ")]).astype({"bn": "Int32"})
 
 
-def track(seen: DataFrame, mat: tuple[float, float, float, float], h: list[float] | None = None) -> DataFrame:
+def track(seen: DataFrame, mat: tuple[float, float, float, float], h: list[float] | None = None, quad: list[tuple[float, float]] | None = None) -> DataFrame:
     """Rows of TRACKED: the tracker's ball and marker pair (left one first) of each frame, in pixels.
 
     ``mat``: the box (x0, y0, x1, y1) that the mat fills; ``h``: the homography from pixels to mm, None while
-    the scale is unknown, which leaves the ball's size open.
+    the scale is unknown, which leaves the ball's size open; ``quad``: the mat's corners in order, where it fills less than its box.
     """
     rows = seen.select("clip_id", "frame", "t", "balls", "marks").repartition("clip_id").sortWithinPartitions("clip_id", "frame")
-    return rows.mapInPandas(partial(_tracked, mat=mat, h=h), TRACKED)
+    return rows.mapInPandas(partial(_tracked, mat=mat, h=h, quad=quad), TRACKED)
 
 
-def candidates(seen: DataFrame, mat: tuple[float, float, float, float], min_fill: float = 0.45) -> DataFrame:
-    """clip_id, frame, cand_idx, x, y, width (the shorter side): the ball-like blobs within the mat's box."""
+def candidates(seen: DataFrame, mat: tuple[float, float, float, float], min_fill: float = 0.45, quad: list[tuple[float, float]] | None = None) -> DataFrame:
+    """clip_id, frame, cand_idx, x, y, width (the shorter side): the ball-like blobs within the mat's box and, if given, its corners."""
     inside = (F.col("b.x").between(mat[0], mat[2])) & (F.col("b.y").between(mat[1], mat[3])) & (F.col("b.fill") >= min_fill)
+    if quad is not None:
+        inside = inside & geometry.point_in_quad(F.col("b.x"), F.col("b.y"), F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in quad]))
     return seen.select("clip_id", "frame", F.explode("balls").alias("b")).where(inside).select("clip_id", "frame", "b.cand_idx", "b.x", "b.y", F.least("b.w", "b.h").cast("double").alias("width"))
 
 
@@ -194,19 +206,71 @@ def finish(tracked: DataFrame, cands: DataFrame, mat: tuple[float, float, float,
     )
 
 
-def finish_top_down(tracked: DataFrame, cands: DataFrame, lines: DataFrame, w: int, h: int, edges: DataFrame | None = None) -> DataFrame:
+FACES = "clip_id long, frame int, cand_idx int, side int, x double, y double, w double, ex double, ey double, erad double, rms double"
+
+
+def _faces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for r in f.itertuples():
+            rgba = np.frombuffer(r.rgba, np.uint8).reshape(r.h, r.w, 4)
+            h, s, v = pixels.hsv(rgba)
+            mask, grey = ball_like(h, s, v), rgba[..., :3].mean(axis=2)
+            big = pixels.moments(mask, v, math.ceil(HEAD_PIXELS * (r.w / 640) ** 2))
+            ids = pixels.labels(mask) if len(big) else None
+            for i, b in enumerate(big.itertuples()):
+                y, x = np.nonzero((ids == b.label) & ~shapes.eroded(ids == b.label, 3))
+                wide = max(b.maxx - b.minx, b.maxy - b.miny) + 1
+                for side in (1, -1):
+                    way = (side * math.cos(r.rad), side * math.sin(r.rad))
+                    across = np.ptp((y - b.y) * way[0] - (x - b.x) * way[1]) + 1
+                    if found := vision.face_line(grey, (x.astype(float), y.astype(float)), (b.x, b.y), way, float(across)):
+                        out.append((r.clip_id, r.frame, i, side, b.x, b.y, float(min(across, wide)), found[1], found[2], found[0], found[3]))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FACES.split(", ")])
+
+
+def face_hypotheses(rasters: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of FACES: for every bright blob that may be a head both of its edges across the mat's line, ahead of (side 1) and behind it (-1).
+
+    Which of them is the face is not known before the ball has gone, so both are kept. Rasters without a line have none.
+    """
+    return rasters.select("clip_id", "frame", "w", "h", "rgba").join(lines.select("clip_id", "frame", "rad"), ["clip_id", "frame"]).mapInPandas(_faces, FACES)
+
+
+def settled_faces(faces: DataFrame, scale: DataFrame, lines: DataFrame) -> DataFrame:
+    """clip_id, frame, x, y, ex, ey, erad, rms: of each picture's hypotheses the edge on the side that the ball went to, of the blob that is nearest to a head's width.
+
+    ``scale``: clip_id, mm_per_px, dx, dy (the ball's way).
+    """
+    ahead = F.when(F.col("dx") * F.cos("rad") + F.col("dy") * F.sin("rad") < 0, -1).otherwise(1)
+    own = faces.join(scale, "clip_id").join(lines.select("clip_id", "frame", "rad"), ["clip_id", "frame"]).where(F.col("side") == ahead).withColumn("sticker", F.lit(False))
+    best = rules.choose_face(own, ["clip_id", "frame"]).where("source = 'edge'").select("clip_id", "frame", "cand_idx")
+    return own.join(best, ["clip_id", "frame", "cand_idx"]).select("clip_id", "frame", "x", "y", "ex", "ey", "erad", "rms")
+
+
+def ball_ways(found: DataFrame) -> DataFrame:
+    """clip_id, mm_per_px, dx, dy: the scale by the ball's width, and its way from first to last, of clips with four places of the ball beside a line."""
+    lined = F.col("rad").isNotNull() & F.col("bx").isNotNull()
+    way = found.where(lined).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("bx", "by"), "frame").alias("p"), F.max_by(F.struct("bx", "by"), "frame").alias("q")).where("n >= 4")
+    return series.upper_median(found, ["clip_id"], "width", "px").join(way, "clip_id").select("clip_id", (BALL_MM / F.col("px")).alias("mm_per_px"), (F.col("q.bx") - F.col("p.bx")).alias("dx"), (F.col("q.by") - F.col("p.by")).alias("dy"))
+
+
+def finish_top_down(tracked: DataFrame, cands: DataFrame, lines: DataFrame, w: int, h: int, edges: DataFrame | None = None, faces: DataFrame | None = None) -> DataFrame:
     """Observations (k, frame, t, ball_x, ball_y, hx, hy, fx, fy) in mm of a camera straight above, by the mat's line and the ball.
 
     ``lines``: clip_id, frame, rad, lx, ly. The line gives the direction and, across, the origin; the ball's width
     gives the scale and its way the sign. ``edges`` (clip_id, frame, x, y: the head, ex, ey, erad, rms) are fitted face
-    edges; blurred ones (rms over 3) and frames without one fall back on the markers. Frames without a line have nothing.
+    edges; blurred ones (rms over 3) and frames without one fall back on the markers. ``faces`` (rows of FACES) are the
+    hypotheses of a clip without markers, of which the ball's way picks the edges. Frames without a line have nothing.
     """
     r = resolved(tracked, cands, (0.0, 0.0, w - 1.0, h - 1.0)).where("found").join(lines, ["clip_id", "frame"], "left")
-    lined = F.col("rad").isNotNull() & F.col("bx").isNotNull()
-    way = r.where(lined).groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("bx", "by"), "frame").alias("p"), F.max_by(F.struct("bx", "by"), "frame").alias("q")).where("n >= 4")
-    scale = series.upper_median(r, ["clip_id"], "width", "px").join(way, "clip_id").select("clip_id", (BALL_MM / F.col("px")).alias("mm_per_px"), (F.col("q.bx") - F.col("p.bx")).alias("dx"), (F.col("q.by") - F.col("p.by")).alias("dy"))
+    scale = ball_ways(r)
+    if faces is not None:
+        scale = written(scale, "ways")
+        edges = settled_faces(faces, scale, lines)
+    r = r.join(scale, "clip_id")
     turn = F.when(F.col("dx") * F.cos("rad") + F.col("dy") * F.sin("rad") < 0, -1.0).otherwise(1.0)
-    r = r.join(scale, "clip_id").withColumns({"ux": turn * F.cos("rad"), "uy": turn * F.sin("rad")})
+    r = r.withColumns({"ux": turn * F.cos("rad"), "uy": turn * F.sin("rad")})
     c = F.col
     across = lambda x, y: ((x - c("lx")) * -c("uy") + (y - c("ly")) * c("ux")) * c("mm_per_px")
     along = lambda x, y: ((x - w / 2) * c("ux") + (y - h / 2) * c("uy")) * c("mm_per_px")
@@ -216,7 +280,7 @@ def finish_top_down(tracked: DataFrame, cands: DataFrame, lines: DataFrame, w: i
         sharp = edges.where("rms <= 3").select("clip_id", "frame", c("x").alias("ehx"), c("y").alias("ehy"), "ex", "ey", "erad")
         r = r.join(sharp, ["clip_id", "frame"], "left")
         pick = lambda e, m: F.when(c("erad").isNotNull(), e).otherwise(m)
-        ends = {"x1": pick(c("ex") - 20 * F.cos("erad"), ends["x1"]), "y1": pick(c("ey") - 20 * F.sin("erad"), ends["y1"]), "x2": pick(c("ex") + 20 * F.cos("erad"), ends["x2"]), "y2": pick(c("ey") + 20 * F.sin("erad"), ends["y2"])}
+        ends = {"x1": pick(c("ex") - HALF_FACE * F.cos("erad"), ends["x1"]), "y1": pick(c("ey") - HALF_FACE * F.sin("erad"), ends["y1"]), "x2": pick(c("ex") + HALF_FACE * F.cos("erad"), ends["x2"]), "y2": pick(c("ey") + HALF_FACE * F.sin("erad"), ends["y2"])}
         head = {"mx": pick(c("ehx"), head["mx"]), "my": pick(c("ehy"), head["my"])}
     r = r.withColumns(ends | head)
     # Left of the line is negative across, so a face runs from left to right as seen along the ball's way.

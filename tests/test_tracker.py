@@ -1,5 +1,8 @@
 """From drawn rasters to strokes, held to the truth that was drawn in."""
 
+import math
+
+import numpy as np
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ W, H, SCALE = 160, 400, 0.4
 MAT = (0.0, 0.0, W - 1.0, H - 1.0)
 HOM = [1 / SCALE, 0.0, 0.0, 0.0, 1 / SCALE, 0.0, 0.0, 0.0, 1.0]
 CLIP = 104  # plain, at 1 m/s
+SIDE = 1  # the head lies behind its face
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +101,56 @@ def test_hue_of_a_sticker(spark, truth, tmp_path):
     assert abs(found.hue - 320) < 2 and found.n == 25 and found.s > 0.8
     nothing = pixels.sample_hue(one.withColumns({"px": F.lit(-50), "py": F.lit(-50)}), 2)
     assert nothing.count() == 0
+
+
+def markerless(truth_rows):
+    """A bright head of 110 by 60 mm whose front runs through the face, the ball, and the line, as rasters."""
+    out = []
+    for r in truth_rows:
+        line = (W / 2, 5 * SCALE)
+        balls = [] if r.ball_x is None else [(W / 2 + r.ball_x * SCALE, r.ball_y * SCALE, rasters.BALL_MM / 2 * SCALE, rasters.BALL)]
+        image = rasters.draw([], W, H, line)[..., :3].astype(float)
+        if r.hx is not None:
+            y, x = np.mgrid[:H, :W].astype(float)
+            n = math.hypot(r.fx, r.fy)
+            ux, uy = r.fx / n, r.fy / n  # along the face; its normal points the way the ball goes
+            px, py = x - (W / 2 + r.hx * SCALE), y - r.hy * SCALE
+            along, ahead = px * ux + py * uy, -px * uy + py * ux
+            cover = np.clip(22 - np.abs(along) + 0.5, 0, 1) * np.clip(12 - np.abs(ahead - SIDE * -12) + 0.5, 0, 1)
+            image += (np.array([225.0, 225.0, 225.0]) - image) * cover[..., None]
+        rgba = np.dstack([np.round(image), np.full((H, W), 255)]).astype(np.uint8)
+        for cx, cy, radius, colour in balls:
+            y, x = np.mgrid[:H, :W].astype(float)
+            cover = np.clip(radius - np.hypot(x - cx, y - cy) + 0.5, 0, 1)[..., None]
+            rgba[..., :3] = np.round(rgba[..., :3] * (1 - cover) + np.array(colour) * cover)
+        out.append((CLIP, r.frame, r.t, W, H, bytearray(rgba.tobytes())))
+    return out
+
+
+def test_markerless_top_down(spark, truth, tmp_path):
+    """Both edges of every large blob are kept; the ball's way tells which is the face, within the gate of 1.2 degrees."""
+    rows = truth.orderBy("frame").collect()
+    drawn = spark.createDataFrame(markerless(rows), rasters.RASTERS)
+    drawn.repartition(8).write.parquet(f"{tmp_path}/r")
+    drawn = spark.read.parquet(f"{tmp_path}/r")
+    tracker.see(drawn, line=True).write.parquet(f"{tmp_path}/seen")
+    seen = spark.read.parquet(f"{tmp_path}/seen")
+    lines = seen.where("line is not null").select("clip_id", "frame", "line.rad", F.col("line.x").alias("lx"), F.col("line.y").alias("ly"))
+    tracker.face_hypotheses(drawn, lines).write.parquet(f"{tmp_path}/faces")
+    faces = spark.read.parquet(f"{tmp_path}/faces")
+    assert faces.where("side = 1").count() > 250 and faces.where("side = -1").count() > 250
+    obs = tracker.finish_top_down(tracker.track(seen, MAT), tracker.candidates(seen, MAT), lines, W, H, faces=faces)
+    r = analysis.stroke_record(obs, markerless=True).collect()[0]
+    face = (CLIP % 41 - 20) / 10
+    assert abs(abs(r.face_deg) - abs(face)) < 1.2 and r.face_frames > 200
+    assert any("without markers" in w for w in r.warnings)
+
+
+def test_mats_that_fill_less_than_their_box(spark):
+    """Blobs beside the mat's corners are neither followed nor candidates."""
+    quad = [(20.0, 0.0), (140.0, 0.0), (100.0, 300.0), (60.0, 300.0)]
+    box = (20.0, 0.0, 140.0, 300.0)
+    ball = lambda x, y: {"cand_idx": 0, "x": x, "y": y, "n": 100, "fill": 0.8, "w": 11, "h": 11}
+    seen = spark.createDataFrame([(1, 0, 0.0, [ball(30.0, 280.0)], [], None), (1, 1, 0.1, [ball(80.0, 280.0)], [], None)], tracker.SEEN)
+    assert [(r.frame, r.bx) for r in tracker.track(seen, box, quad=quad).orderBy("frame").collect()] == [(0, None), (1, 80.0)]
+    assert [r.frame for r in tracker.candidates(seen, box, quad=quad).collect()] == [1] and tracker.candidates(seen, box).count() == 2
