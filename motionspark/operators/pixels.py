@@ -29,6 +29,34 @@ def hsv(rgba: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, np.where(top > 0, d / np.where(top > 0, top, 1), 0), top
 
 
+_top, _low = np.meshgrid(np.arange(256) / 255, np.arange(256) / 255, indexing="ij")
+SECTORS = ("rgb", "grb", "gbr", "bgr", "brg", "rbg")
+#: Saturation and value by a pixel's highest and lowest channel, as ``hsv`` has them.
+_SATURATION, _VALUE = np.where(_top > 0, (_top - _low) / np.where(_top > 0, _top, 1), 0), _top
+
+
+def where(rgba: np.ndarray, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], hue: float | None = None, tol: float = 0.0) -> np.ndarray:
+    """The mask of pixels that ``keep(s, v)`` holds for and, if asked for, whose hue is near ``hue``; hues are taken of those pixels only."""
+    r, g, b = (np.ascontiguousarray(rgba[..., i]) for i in range(3))
+    top, low = np.maximum(np.maximum(r, g), b), np.minimum(np.minimum(r, g), b)
+    mask = keep(_SATURATION, _VALUE).ravel()[top.astype(np.int32) << 8 | low]
+    if hue is not None:
+        channel = {"r": r, "g": g, "b": b}
+        near = np.zeros_like(mask)
+        for k, (x, y, z) in enumerate(SECTORS):  # of 60 degrees each, by the order of the channels
+            if ((60 * k + 30 - hue + 180) % 360 - 180 + 30 + tol) % 360 <= 60 + 2 * tol or tol >= 150:
+                near |= (channel[x] >= channel[y]) & (channel[y] >= channel[z])
+        mask &= near
+        at = np.nonzero(mask)
+        mask[at] = hue_near(hsv(rgba[at])[0], hue, tol)
+    return mask
+
+
+def value(rgba: np.ndarray) -> np.ndarray:
+    """The value of each pixel: its highest channel, from 0 to 1."""
+    return np.maximum(np.maximum(rgba[..., 0], rgba[..., 1]), rgba[..., 2]) / 255
+
+
 def labels(mask: np.ndarray, corners: bool = False) -> np.ndarray:
     """Connected components of a mask, over edges or over ``corners`` too: 0 outside, 1, 2, ... inside, in scan order.
 
@@ -63,11 +91,15 @@ def labels(mask: np.ndarray, corners: bool = False) -> np.ndarray:
     return np.cumsum(out)[:-1].reshape(h, w + 2)[:, 1:-1]
 
 
-def moments(mask: np.ndarray, weight: np.ndarray, min_px: int = 1, corners: bool = False) -> pd.DataFrame:
-    """The blobs of ``min_px`` pixels or more, by weight: weighted centroid, direction and elongation by second moments, bounding box, label."""
-    ids = labels(mask, corners)
+def _blobs(mask: np.ndarray, weight: np.ndarray, min_px: int, corners: bool = False) -> dict[str, np.ndarray]:
+    """A column for each of ``moments``' values."""
+    rows, columns = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    top, left = (int(rows[0]), int(columns[0])) if len(rows) else (0, 0)
+    inner = np.s_[top : rows[-1] + 1, left : columns[-1] + 1] if len(rows) else np.s_[:0, :0]  # labelled within the box that holds the mask
+    ids = labels(mask[inner], corners)
     y, x = np.nonzero(ids)
     k = ids[y, x] - 1
+    y, x = y + top, x + left
     n = np.bincount(k)
     of = lambda v, size=len(n): np.bincount(k, v, size)
     w = weight[y, x].astype(float)
@@ -82,13 +114,21 @@ def moments(mask: np.ndarray, weight: np.ndarray, min_px: int = 1, corners: bool
     for i, at in enumerate((x, y)):
         np.minimum.at(low[i], k, at)
         np.maximum.at(high[i], k, at)
-    found = pd.DataFrame({"x": cx, "y": cy, "n": n, "weight": total, "theta": 0.5 * np.arctan2(2 * xy, xx - yy), "elongation": np.sqrt(wide / narrow), "minx": low[0], "maxx": high[0], "miny": low[1], "maxy": high[1], "label": np.arange(1, len(n) + 1)})
-    return found[found["n"] >= min_px].sort_values("weight", ascending=False, kind="stable")
+    found = {"x": cx, "y": cy, "n": n, "weight": total, "theta": 0.5 * np.arctan2(2 * xy, xx - yy), "elongation": np.sqrt(wide / narrow), "minx": low[0], "maxx": high[0], "miny": low[1], "maxy": high[1], "label": np.arange(1, len(n) + 1)}
+    able = np.flatnonzero(n >= min_px)
+    order = able[np.argsort(-total[able], kind="stable")]
+    return {c: v[order] for c, v in found.items()}
+
+
+def moments(mask: np.ndarray, weight: np.ndarray, min_px: int = 1, corners: bool = False) -> pd.DataFrame:
+    """The blobs of ``min_px`` pixels or more, by weight: weighted centroid, direction and elongation by second moments, bounding box, label."""
+    return pd.DataFrame(_blobs(mask, weight, min_px, corners))
 
 
 def components(mask: np.ndarray, weight: np.ndarray, min_px: int, most: int | None = None) -> list[dict]:
     """The blobs of ``moments`` as dictionaries, the ``most`` heaviest if so many are asked for."""
-    return moments(mask, weight, min_px).drop(columns="label")[:most].to_dict("records")
+    found = _blobs(mask, weight, min_px)
+    return [dict(zip(found, row)) for row in zip(*[v[:most].tolist() for v in found.values()])]
 
 
 def _raster(row) -> np.ndarray:
@@ -136,9 +176,9 @@ def putter_blob(rasters: DataFrame) -> DataFrame:
     return first_candidate(blobs(rasters, lambda h, s, v: v <= 0.34, 40).where("elongation >= 1.7"))
 
 
-def line_in(h: np.ndarray, s: np.ndarray, v: np.ndarray, hue: float = 55, tol: float = 22, min_px: int = 60, elongation: float = 6, band: float = 14) -> tuple[float, float, float, int, float] | None:
+def line_in(rgba: np.ndarray, hue: float = 55, tol: float = 22, min_px: int = 60, elongation: float = 6, band: float = 14) -> tuple[float, float, float, int, float] | None:
     """Direction (radians), middle, pixels and rms of a total least squares line through the pixels near the first long blob of the line's hue."""
-    mask = hue_near(h, hue, tol) & (s >= 0.28) & (v >= 0.28)
+    mask, v = where(rgba, lambda s, v: (s >= 0.28) & (v >= 0.28), hue, tol), value(rgba)
     seed = next((b for b in components(mask, v, min_px) if b["elongation"] >= elongation), None)
     if seed is None:
         return None
@@ -165,7 +205,7 @@ def target_line(rasters: DataFrame, hue: float = 55, tol: float = 22, min_px: in
         for f in frames:
             rows = []
             for r in f.itertuples():
-                if found := line_in(*hsv(_raster(r)), hue, tol, min_px, elongation, band):
+                if found := line_in(_raster(r), hue, tol, min_px, elongation, band):
                     rows.append((r.clip_id, r.frame, np.degrees(found[0]), *found[1:]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINES.split(", ")])
 

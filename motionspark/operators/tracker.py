@@ -33,25 +33,25 @@ MARK = "struct<x:double,y:double,weight:double>"
 SEEN = f"clip_id long, frame int, t double, balls array<{BALL}>, marks array<{MARK}>, line struct<rad:double,x:double,y:double>"
 
 
-def ball_like(h, s, v, v_min: float = 0.55, s_max: float = 0.30) -> np.ndarray:
+def ball_like(s: np.ndarray, v: np.ndarray, v_min: float = 0.55, s_max: float = 0.30) -> np.ndarray:
     return (v >= v_min) & (s <= s_max)
 
 
-def marker_like(h, s, v, hue: float, tol: float = 30) -> np.ndarray:
-    return pixels.hue_near(h, hue, tol) & (s >= 0.45) & (v >= 0.25)
+def marker_like(s: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (s >= 0.45) & (v >= 0.25)
 
 
 def _seen(frames: Iterator[pd.DataFrame], hue: float, line: bool) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for r in f.itertuples():
-            h, s, v = pixels.hsv(np.frombuffer(r.rgba, np.uint8).reshape(r.h, r.w, 4))
-            balls = []
-            for i, b in enumerate(pixels.components(ball_like(h, s, v), v, 6, None)):
+            rgba = np.frombuffer(r.rgba, np.uint8).reshape(r.h, r.w, 4)
+            v, balls = pixels.value(rgba), []
+            for i, b in enumerate(pixels.components(pixels.where(rgba, ball_like), v, 6)):
                 wide, high = int(b["maxx"] - b["minx"] + 1), int(b["maxy"] - b["miny"] + 1)
                 balls.append({"cand_idx": i, "x": b["x"], "y": b["y"], "n": b["n"], "fill": b["n"] / (wide * high), "w": wide, "h": high})
-            marks = [{"x": b["x"], "y": b["y"], "weight": b["weight"]} for b in pixels.components(marker_like(h, s, v, hue), v, 4, None)]
-            found = pixels.line_in(h, s, v) if line else None
+            marks = [{"x": b["x"], "y": b["y"], "weight": b["weight"]} for b in pixels.components(pixels.where(rgba, marker_like, hue, 30), v, 4)]
+            found = pixels.line_in(rgba) if line else None
             out.append((r.clip_id, r.frame, r.t, balls, marks, None if found is None else {"rad": found[0], "x": found[1], "y": found[2]}))
         yield pd.DataFrame(out, columns=["clip_id", "frame", "t", "balls", "marks", "line"])
 
@@ -214,9 +214,8 @@ def _faces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for r in f.itertuples():
             rgba = np.frombuffer(r.rgba, np.uint8).reshape(r.h, r.w, 4)
-            h, s, v = pixels.hsv(rgba)
-            mask, grey = ball_like(h, s, v), rgba[..., :3].mean(axis=2)
-            big = pixels.moments(mask, v, math.ceil(HEAD_PIXELS * (r.w / 640) ** 2))
+            mask, grey = pixels.where(rgba, ball_like), rgba[..., :3].mean(axis=2)
+            big = pixels.moments(mask, pixels.value(rgba), math.ceil(HEAD_PIXELS * (r.w / 640) ** 2))
             ids = pixels.labels(mask) if len(big) else None
             for i, b in enumerate(big.itertuples()):
                 y, x = np.nonzero((ids == b.label) & ~shapes.eroded(ids == b.label, 3))
