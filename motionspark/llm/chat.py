@@ -105,7 +105,8 @@ def best_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     """One formatted conversation for each chosen path: tree, branch, formatted, mask.
 
-    ``nodes``: tree, node, parent, role, text, score. Null texts and roles count as empty.
+    ``nodes``: tree, node, parent, role, text, score. Null texts and roles count as empty. A conversation is one row, however
+    long: it is put together within one task, so its texts have to fit there.
     """
     said = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     paths = best_paths(nodes, branches).join(said, ["tree", "node"])

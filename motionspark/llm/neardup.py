@@ -313,7 +313,8 @@ def near_duplicates(
     Defined cases: texts without words have the empty set, are linked with nothing and kept; rows that
     share a doc_id or have none are linked by their texts alone, never by the id; null ids come after all
     others and show as null; of rows with the component's smallest id the text of the least hash is kept;
-    other columns are ignored; an empty table gives no rows.
+    other columns are ignored; an empty table gives no rows; a very long text is sketched and compared on all its
+    shingles, by one task at a time.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     sketch = staged(texts.mapInArrow(partial(sketches, words=words), SKETCH), "near-sketch")

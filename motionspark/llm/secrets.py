@@ -81,7 +81,7 @@ def scan_versions(versions: DataFrame, ledger_path: str, path: str = "doc_id", t
     are scanned once and appended, in one commit, before the findings are joined back from it; a run that fails
     leaves the ledger as it was. One run at a time writes a ledger. Defined cases: null text is scanned as
     empty; a null path is a path like any other; repeated rows each get the findings of their blob; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows; a very long text is scanned whole, within one task.
     """
     addressed = address(versions, path, text)
     scan_unseen(addressed, read_ledger(versions.sparkSession, ledger_path), rule_version).write.mode("append").parquet(ledger_path)

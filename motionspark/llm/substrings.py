@@ -310,7 +310,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     a smaller doc_id; windows are judged on the input. Defined cases: null text has no words; shorter
     texts lose nothing; a null doc_id counts as larger than any other and is no smaller than another
     null; rows with equal doc_id are one document's rows and do not remove from each other; other
-    columns are ignored; an empty table gives no rows. No stretch, leader or partner is capped.
+    columns are ignored; an empty table gives no rows; a very long text is cut whole into stretches and is one row like
+    any other. No stretch, leader or partner is capped.
     """
     texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     found = staged(texts.select("doc", "row", "text").mapInArrow(partial(segments, window=window, anchor=anchor), SEGMENTS), "repeat-segments")
