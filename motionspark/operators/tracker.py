@@ -184,7 +184,7 @@ def finish(tracked: DataFrame, cands: DataFrame, mat: tuple[float, float, float,
     """Observations (k, frame, t, ball_x, ball_y, hx, hy, fx, fy) in mm, x = 0 in the middle of the mat.
 
     With ``scale_from_ball`` distances are scaled so that the clip's upper median of the ball's width is a ball's, if
-    that takes a factor between 0.15 and 8; angles are as they were.
+    that takes a factor between 0.15 and 8; angles are as they were. Its column mat_mm is then how wide that makes the mat.
     """
     r = resolved(tracked, cands, mat)
     hom = F.array(*[F.lit(float(v)) for v in h])
@@ -200,9 +200,10 @@ def finish(tracked: DataFrame, cands: DataFrame, mat: tuple[float, float, float,
         factor = F.coalesce("k_scale", F.lit(1.0))
     mm = lambda e, shift=0.0: ((e - shift) * factor)
     both = lambda d: (F.col(f"a.{d}") + F.col(f"c.{d}")) / 2
+    implied = [F.when(factor != 1.0, factor * mat_width).alias("mat_mm")] if scale_from_ball else []
     return r.select(
         F.col("clip_id").alias("k"), "frame", "t", mm(F.col("b.x"), mat_width / 2).alias("ball_x"), mm(F.col("b.y")).alias("ball_y"), mm(both("x"), mat_width / 2).alias("hx"), mm(both("y")).alias("hy"),
-        mm(F.col("c.x") - F.col("a.x")).alias("fx"), mm(F.col("c.y") - F.col("a.y")).alias("fy"),
+        mm(F.col("c.x") - F.col("a.x")).alias("fx"), mm(F.col("c.y") - F.col("a.y")).alias("fy"), *implied,
     )
 
 

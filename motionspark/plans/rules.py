@@ -141,6 +141,15 @@ def unmatched(spark, sf_dir):
     return idle.unionByName(lone)
 
 
+def unlabelled(spark, sf_dir):
+    """Documents without a label (anti join), and users who clicked but met no error (set difference)."""
+    documents, labels, e = (_table(spark, sf_dir, t) for t in ("documents", "labels", "events"))
+    bare = documents.join(labels, "doc_id", "left_anti").select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("key"))
+    did = lambda what: e.where(F.col("event_type") == what).select("user_id")
+    lucky = did("click").subtract(did("error")).select(F.lit("user").alias("kind"), F.col("user_id").cast("long").alias("key"))
+    return bare.unionByName(lucky)
+
+
 def user_overviews(spark, sf_dir):
     """Distinct aggregates and times as text."""
     e = _table(spark, sf_dir, "events")
@@ -235,6 +244,7 @@ k AS (SELECT user_id, i, event_id, [value] AS kept, true AS ok FROM n WHERE i =
   FROM k JOIN n ON n.user_id = k.user_id AND n.i = k.i + 1)
 SELECT event_id FROM k WHERE ok""",
     "unmatched": "SELECT 'customer' AS kind, c_custkey::BIGINT AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT 'nation', c_nationkey::BIGINT FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)",
+    "unlabelled": "SELECT 'document' AS kind, doc_id::BIGINT AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL (SELECT 'user', user_id::BIGINT FROM events WHERE event_type = 'click' EXCEPT SELECT 'user', user_id FROM events WHERE event_type = 'error')",
     "user_overviews": "SELECT user_id, count(DISTINCT event_type) AS kinds, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS first, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS last FROM events GROUP BY 1",
     "prefs": "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'corners' WHEN 1 THEN 'own' ELSE 'm' || (c_custkey % 4) END AS mode, CASE WHEN c_custkey % 6 < 2 THEN 320 ELSE c_custkey % 90 END::DOUBLE AS hue FROM customer",
     "clip_timings": """WITH c AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 30.0::DOUBLE ELSE 240.0::DOUBLE END AS box, c_custkey % 3 = 1 AS said FROM customer), t AS (SELECT box, CASE WHEN said THEN 240.0::DOUBLE ELSE box END AS cap FROM c)

@@ -59,6 +59,7 @@ def test_rasters_to_stroke(spark, truth, tmp_path):
     scaled = tracker.finish(tracked, cands, MAT, [2 * v if i < 6 else v for i, v in enumerate(HOM)], 2 * W / SCALE, scale_from_ball=True)
     r = analysis.stroke_record(scaled).collect()[0]
     assert abs(r.ball_speed / 1.0 - 1) < 0.10 and abs(r.face_deg - (CLIP % 41 - 20) / 10) < 0.30  # a typed width twice too large
+    assert abs(r.mat_mm / (W / SCALE) - 1) < 0.10 and any(w.startswith("scale measured from the ball") and " 4" in w or " 3" in w for w in r.warnings)
 
 
 def test_top_down(spark, truth, tmp_path):
