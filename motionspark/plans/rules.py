@@ -171,7 +171,7 @@ def clip_timings(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    axis_ranges, aspect_warnings, calibrations, mode_choices, ball_areas, bearings, arc_polylines, review_residuals, smooth_tracks, strike_frames, clip_summaries, head_choices, face_choices, mutual_matches, near_fragments, ordered_dedupe, unmatched,
+    axis_ranges, aspect_warnings, calibrations, mode_choices, ball_areas, bearings, arc_polylines, review_residuals, smooth_tracks, strike_frames, clip_summaries, head_choices, face_choices, mutual_matches, near_fragments, ordered_dedupe, unmatched, unlabelled,
     user_overviews, prefs, clip_timings,
 )}
 
