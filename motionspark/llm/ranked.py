@@ -271,9 +271,9 @@ def _rank_some(docs: DataFrame, items: list[tuple], k: int) -> DataFrame | None:
     documents, words = shards.agg(F.coalesce(F.sum("holding"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     if not documents:
         return None
-    postings = {"term": np.int32}
-    each_term = lambda batch: sum(np.bincount(s["term"], minlength=len(number)) for s in _arrays(batch, postings))
-    statistics = Statistics(documents, words, _counted(shards.select("term"), each_term, len(number)))
+    vocabulary, postings = len(number), {"term": np.int32}  # the tasks below take the number, not the terms
+    each_term = lambda batch: sum(np.bincount(s["term"], minlength=vocabulary) for s in _arrays(batch, postings))
+    statistics = Statistics(documents, words, _counted(shards.select("term"), each_term, vocabulary))
     each_step = lambda batch: sum(np.bincount(_steps(statistics.impacts(s)), minlength=1_024) for s in _arrays(batch, POSTINGS))
     steps = _counted(shards.select(*POSTINGS), each_step, 1_024)
     above = np.cumsum(steps[::-1])[::-1]  # postings of a step or more
@@ -282,7 +282,7 @@ def _rank_some(docs: DataFrame, items: list[tuple], k: int) -> DataFrame | None:
     drop_staged(shards)
 
     def lows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = np.zeros((TIERS - 1, DOUBLINGS, len(number)), np.int64)
+        most = np.zeros((TIERS - 1, DOUBLINGS, vocabulary), np.int64)
         for batch in batches:
             for length, s in zip(batch.column("length").to_pylist(), _arrays(batch, {"terms": np.int32} | {f"low{j}": np.int64 for j in range(TIERS - 1)})):
                 for j in range(TIERS - 1):
@@ -290,7 +290,7 @@ def _rank_some(docs: DataFrame, items: list[tuple], k: int) -> DataFrame | None:
         at = np.flatnonzero(most)
         yield _batch([at.astype(np.int64), most.ravel()[at]], "at long, most long")
 
-    residual = np.zeros((TIERS - 1, DOUBLINGS, len(number)), np.int64)
+    residual = np.zeros((TIERS - 1, DOUBLINGS, vocabulary), np.int64)
     for r in tiered.select("length", "terms", *[f"low{j}" for j in range(TIERS - 1)]).mapInArrow(lows, "at long, most long").groupBy("at").agg(F.max("most").alias("most")).collect():
         residual.ravel()[r["at"]] = r["most"]
     lengths = np.array([r["length"] for r in tiered.select("length").distinct().collect()])
