@@ -1,13 +1,13 @@
 """The ball at rest, and the head that strikes it, found by the shapes of what a camera sees.
 
 A clip's still is the median of its frames, taken tile by tile. Boundary points, blobs, candidates and heads are rows; a
-raster is looked at once, for its mask, and a clip's still travels once with every CHUNK of its frames.
+raster is looked at once, for its mask, and a clip's still travels once with every chunk of its frames.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,6 @@ LADDER = (215, 200, 185, 170, 155)
 REST_AREA, REST_ROUND, REST_FULL, REST_FRAMES, REST_TOP = (60.0, 6000.0), 0.62, 0.60, 40, 6
 #: What moves and is bright, and a head's parts as shares of its width.
 MOVED, BRIGHT, JOIN, SHAFT, PART, TOGETHER, BALL_TO_HEAD = 24, 150, 5, 0.17, 0.12, 0.8, 2.6
-#: Frames that share one copy of their clip's still.
-CHUNK = 64
 
 RESTS = "clip_id long, level int, cand int, x double, y double, d double, score double"
 
@@ -74,36 +72,6 @@ def balls_at_rest(rasters: DataFrame, frames: int = REST_FRAMES, top: int = REST
     return series.top_k(apart, ["clip_id"], [F.desc("score"), F.desc("level"), F.asc("cand")], top).select("clip_id", "rank", "x", "y", "d", "score")
 
 
-def with_still(rasters: DataFrame, stills: DataFrame, each: Callable, columns: str, more: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
-    """Rows that ``each(raster, still)`` yields, an array of four channels for the still, or None if the clip has none.
-
-    Frames are dealt in chunks and a clip's still goes before each of them, so a long clip is many tasks' work and its still is
-    copied once a chunk, not once a frame. ``more`` are columns of the rasters that ``each`` reads.
-    """
-    part = F.floor(F.col("frame") / chunk).cast("int").alias("_chunk")
-    frames = rasters.select("clip_id", part, "frame", "w", "h", "rgba", *more)
-    blank = [F.lit(None).cast(rasters.schema[c].dataType).alias(c) for c in more]
-    fronts = frames.select("clip_id", "_chunk").distinct().join(stills, "clip_id").select("clip_id", "_chunk", F.lit(None).cast("int").alias("frame"), "w", "h", "rgba", *blank)
-    names = [c.split()[0] for c in columns.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, still = None, None
-        for f in batches:
-            out = []
-            for r in f.itertuples():
-                if (r.clip_id, r.chunk_no) != of:
-                    of, still = (r.clip_id, r.chunk_no), None
-                if pd.isna(r.frame):
-                    still = np.frombuffer(r.rgba, np.uint8).reshape(r.h, r.w, 4)
-                else:
-                    out += each(r, still)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    together = frames.unionByName(fronts).withColumnRenamed("_chunk", "chunk_no")
-    return together.repartition("clip_id", "chunk_no").sortWithinPartitions("clip_id", "chunk_no", F.asc_nulls_first("frame")).mapInPandas(run, columns)
-
-
 def shifted(still: np.ndarray, sx: float, sy: float) -> np.ndarray:
     """A grey still moved by (sx, sy) pixels; its border goes on."""
     if abs(sx) <= 0.3 and abs(sy) <= 0.3:
@@ -134,7 +102,7 @@ def head_points(rasters: DataFrame, stills: DataFrame) -> DataFrame:
         found = shapes.outlines(head_mask(rgba, still, (r.sx, r.sy), r.want))
         return [(r.clip_id, r.frame, blob, i, x, y) for blob, points in found for i, (x, y) in enumerate(points)]
 
-    return with_still(rasters, stills, each, HEAD_POINTS, ("sx", "sy", "want"))
+    return pixels.with_still(rasters, stills, each, HEAD_POINTS, ("sx", "sy", "want"))
 
 
 def put_together(parts: DataFrame) -> DataFrame:

@@ -168,19 +168,16 @@ def shift_between(still: np.ndarray, grey: np.ndarray) -> tuple[float, float] |
 def camera_shift(rasters: DataFrame) -> DataFrame:
     """clip_id, frame, sx, sy: each raster's shift against its clip's first one; where none is found the last one holds, at first 0.
 
-    A moving thing is a small part of a picture's texture, so it does not carry the peak.
+    A moving thing that is a small part of a picture's texture does not carry the peak; for large ones see ``keypoints.feature_shifts``. The
+    first raster goes once with every chunk of frames, not with each of them.
     """
-    first = rasters.groupBy("clip_id").agg(F.min_by("rgba", "frame").alias("still"))
+    first = rasters.groupBy("clip_id").agg(F.min_by(F.struct("w", "h", "rgba"), "frame").alias("still")).select("clip_id", "still.*")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f.itertuples():
-                still, grey = (np.frombuffer(x, np.uint8).reshape(r.h, r.w, 4)[..., :3].mean(axis=2) for x in (r.still, r.rgba))
-                out.append((r.clip_id, r.frame, *(shift_between(still, grey) or (None, None))))
-            yield pd.DataFrame(out, columns=["clip_id", "frame", "mx", "my"])
+    def each(r, still: np.ndarray) -> list[tuple]:
+        now = np.frombuffer(r.rgba, np.uint8).reshape(r.h, r.w, 4)
+        return [(r.clip_id, r.frame, *(shift_between(*(x[..., :3].mean(axis=2) for x in (still, now))) or (None, None)))]
 
-    moved = rasters.join(first, "clip_id").select("clip_id", "frame", "w", "h", "rgba", "still").mapInPandas(run, "clip_id long, frame int, mx double, my double")
+    moved = pixels.with_still(rasters, first, each, "clip_id long, frame int, mx double, my double")
     held = series.carry_last(series.carry_last(moved, ["clip_id"], "frame", F.col("mx"), "sx"), ["clip_id"], "frame", F.col("my"), "sy")
     return held.select("clip_id", "frame", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sx", "sy")])
 
