@@ -22,8 +22,12 @@ def bearing_deg(dx: Column, dy: Column) -> Column:
 
 
 def fold_angle(deg: Column) -> Column:
-    """An orientation in degrees folded into (-90, 90]."""
-    folded = F.pmod(deg + 90.0, F.lit(180.0)) - 90.0
+    """An orientation in degrees folded into (-90, 90].
+
+    The remainder is taken twice for every sign, as SQL writes it: where a step is a right angle to the last bit, pmod's
+    one remainder of what is positive would round otherwise.
+    """
+    folded = ((deg + 90.0) % F.lit(180.0) + 180.0) % F.lit(180.0) - 90.0
     return F.when(folded == -90.0, F.lit(90.0)).otherwise(folded)
 
 

@@ -20,6 +20,13 @@ def test_fold(spark):
     assert list(got) == [0, 45, 90, -89, -1, 0, -1, 89, 90]
 
 
+def test_fold_rounds_as_its_sql_does(spark):
+    values = [round(k * 0.37, 2) * 7 for k in range(-400, 400)]
+    folded = spark.createDataFrame([(v,) for v in values], "v double").select(geometry.fold_angle(F.col("v"))).collect()
+    twice = [math.fmod(math.fmod(v + 90, 180) + 180, 180) - 90 for v in values]
+    assert [r[0] for r in folded] == [90 if v == -90 else v for v in twice]
+
+
 def test_bearing_and_face_are_transposed(spark):
     assert list(one(spark, geometry.bearing_deg(F.lit(0.0), F.lit(1.0)), geometry.face_angle(F.lit(1.0), F.lit(0.0)))) == [0, 0]
 
