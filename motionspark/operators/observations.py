@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import written
+from ..staging import dealt, written
 from . import series
 
 #: Fixed values (mm, frames, shares).
@@ -46,11 +46,11 @@ def movers(tracks: DataFrame, seeds: DataFrame, clips: DataFrame) -> DataFrame:
     at = F.struct("x", "y")
     ends = tracks.groupBy("clip_id", "cand").agg(F.min_by(at, "frame").alias("a"), F.max_by(at, "frame").alias("b"), F.count(F.lit(1)).alias("seen"))
     far = F.sqrt(F.pow(F.col("x") - F.col("a.x"), 2.0) + F.pow(F.col("y") - F.col("a.y"), 2.0))
-    peaks = tracks.join(ends, ["clip_id", "cand"]).groupBy("clip_id", "cand").agg(F.max(far).alias("peak"))
-    way = ends.join(peaks, ["clip_id", "cand"]).join(clips, "clip_id").withColumns({"dx": F.col("b.x") - F.col("a.x"), "dy": F.col("b.y") - F.col("a.y")})
+    peaks = tracks.join(dealt(ends), ["clip_id", "cand"]).groupBy("clip_id", "cand").agg(F.max(far).alias("peak"))
+    way = ends.join(dealt(peaks), ["clip_id", "cand"]).join(dealt(clips), "clip_id").withColumns({"dx": F.col("b.x") - F.col("a.x"), "dy": F.col("b.y") - F.col("a.y")})
     way = way.withColumn("depart", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
     fit = way.where((F.col("seen") >= LEAST_TRACK) & (F.col("peak") >= LEAST_PEAK * F.sqrt(F.col("w") * F.col("w") + F.col("h") * F.col("h"))) & (F.col("depart") >= RETURNED * F.col("peak")) & (F.col("depart") > 0))
-    best = series.top_k(fit, ["clip_id"], [F.desc("depart"), F.asc("cand")], 1).join(seeds, ["clip_id", "cand"])
+    best = series.top_k(fit, ["clip_id"], [F.desc("depart"), F.asc("cand")], 1).join(dealt(seeds), ["clip_id", "cand"])
     return best.select("clip_id", "cand", "d", (BALL_MM / F.greatest(F.lit(1.0), F.col("d"))).alias("mm_per_px"), "dx", "dy", (F.col("dx") / F.col("depart")).alias("tux"), (F.col("dy") / F.col("depart")).alias("tuy"), "seen")
 
 
@@ -120,13 +120,13 @@ def observations(clips: DataFrame, times: DataFrame, tracks: DataFrame, seeds: D
     Faces and heads are those that pass the gate of ``accepted_heads``; heads are the points that meet the ball.
     """
     ball = movers(tracks, seeds, clips)
-    framed = times.join(ball, "clip_id").join(clips, "clip_id").join(lines, ["clip_id", "frame"], "left").join(shifts, ["clip_id", "frame"], "left").fillna(0.0, ["sx", "sy"])
+    framed = times.join(dealt(ball), "clip_id").join(dealt(clips), "clip_id").join(dealt(lines), ["clip_id", "frame"], "left").join(dealt(shifts), ["clip_id", "frame"], "left").fillna(0.0, ["sx", "sy"])
     own = tracks.select("clip_id", "cand", "frame", F.col("x").alias("bx"), F.col("y").alias("by"))
-    framed = mat_axes(framed.join(own, ["clip_id", "cand", "frame"], "left"))
+    framed = mat_axes(framed.join(dealt(own), ["clip_id", "cand", "frame"], "left"))
     lined = F.col("rad").isNotNull()
-    sightings = framed.where(lined & F.col("bx").isNotNull()).join(heads, ["clip_id", "frame"]).join(faces, ["clip_id", "frame"], "left")
+    sightings = framed.where(lined & F.col("bx").isNotNull()).join(dealt(heads), ["clip_id", "frame"]).join(dealt(faces), ["clip_id", "frame"], "left")
     met = contact_points(accepted_heads(sightings.select("clip_id", "frame", "x", "y", "mm_per_px", "rms", "fx", "fy", "frad", "tux", "tuy", "d")))
-    seen = framed.join(met.select("clip_id", "frame", "cx", "cy", "frad"), ["clip_id", "frame"], "left")
+    seen = framed.join(dealt(met.select("clip_id", "frame", "cx", "cy", "frad")), ["clip_id", "frame"], "left")
     (bx, by), (hx, hy) = to_mat(F.col("bx"), F.col("by")), to_mat(F.col("cx"), F.col("cy"))
     c = F.col
     out = seen.withColumns(
@@ -150,7 +150,7 @@ def clean_heads(obs: DataFrame) -> DataFrame:
     headed = obs.where("hx is not null")
     bounded = written(series.across_outliers(headed, ["clip_id"], "hx"), "bounded")
     paced = series.speed_limit(bounded, ["clip_id"], "frame", "hy").select(*keyed, F.lit(True).alias("paced"))
-    state = obs.join(bounded.select(*keyed, F.lit(True).alias("bounded")), keyed, "left").join(paced, keyed, "left")
+    state = obs.join(dealt(bounded.select(*keyed, F.lit(True).alias("bounded"))), keyed, "left").join(dealt(paced), keyed, "left")
     state = state.withColumn("vote", F.when(F.col("paced"), F.col("angle")))
     state = series.circular_filter(state.withColumn("kept", F.col("vote")), ["clip_id"], "frame", "kept")
     gate = F.when(F.col("hx").isNull(), None).when(F.col("bounded").isNull(), "across").when(F.col("paced").isNull(), "along").when(F.col("vote").isNotNull() & F.col("kept").isNull(), "turned")
@@ -167,7 +167,9 @@ def clip_results(clips: DataFrame, times: DataFrame, tracks: DataFrame, seeds: D
         F.count_if("lined").alias("lines"), F.count("hx").alias("heads"), F.count_if(F.col("gate").isin("across", "along")).alias("heads_dropped"), F.count_if(F.col("gate") == "turned").alias("faces_dropped"), F.count("ball_x").alias("balls")
     )
     has_seed = seeds.select("clip_id").distinct().withColumn("seeded", F.lit(True))
-    r = clips.join(timing(times), "clip_id", "left").join(has_seed, "clip_id", "left").join(ball, "clip_id", "left").join(seen, "clip_id", "left").join(capture, "clip_id", "left")
+    r = clips
+    for figures in (timing(times), has_seed, ball, seen, capture):
+        r = r.join(dealt(figures), "clip_id", "left")
     tests = (F.coalesce("frames", F.lit(0)) < LEAST_FRAMES, F.col("seeded").isNull(), F.col("cand").isNull(), F.col("lines") == 0, F.col("heads") == 0)
     r = r.withColumn("error", F.coalesce(*[F.when(test, text) for test, text in zip(tests, ERRORS)]))
     fine = lambda c, name: F.when(F.col("error").isNull(), c).alias(name)

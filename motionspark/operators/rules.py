@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..staging import written
+from ..staging import dealt, written
 from . import series
 from .observations import BALL_MM, HEAD_MM
 
@@ -95,10 +95,10 @@ def polyline(fits: DataFrame, by: list[str], points: int = 140) -> DataFrame:
 
 def strike_frames(tracks: DataFrame, ball: DataFrame) -> DataFrame:
     """clip_id, strike: the first frame whose ball lies 1.2 of its diameters from where it began, else its last one."""
-    own = tracks.join(ball.select("clip_id", "cand", "d"), ["clip_id", "cand"])
+    own = tracks.join(dealt(ball.select("clip_id", "cand", "d")), ["clip_id", "cand"])
     start = own.groupBy("clip_id").agg(F.min_by(F.struct("x", "y"), "frame").alias("a"))
     away = F.sqrt(F.pow(F.col("x") - F.col("a.x"), 2.0) + F.pow(F.col("y") - F.col("a.y"), 2.0)) > F.col("d") * 1.2
-    return own.join(start, "clip_id").groupBy("clip_id").agg(F.coalesce(F.min(F.when(away, F.col("frame"))), F.max("frame")).alias("strike"))
+    return own.join(dealt(start), "clip_id").groupBy("clip_id").agg(F.coalesce(F.min(F.when(away, F.col("frame"))), F.max("frame")).alias("strike"))
 
 
 def choose_head(blobs: DataFrame, by: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, robust
-from ..staging import written
+from ..staging import dealt, written
 
 
 def _over(by: list[str], at: str):
@@ -106,7 +106,7 @@ def across_outliers(df: DataFrame, by: list[str], x: str, least: int = 8, floor:
     bounds = order_statistics(df, by, x, {"_mid": at(0.5), "_low": at(0.25), "_high": at(0.75)}, "_n").alias("b")
     far = F.abs(F.col(x) - F.col("_mid")) > F.greatest(F.lit(floor), spread * (F.col("_high") - F.col("_low")))
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
-    return df.alias("d").join(bounds, same).where(~F.coalesce((F.col("_n") >= least) & far, F.lit(False))).select("d.*")
+    return df.alias("d").join(dealt(bounds), same).where(~F.coalesce((F.col("_n") >= least) & far, F.lit(False))).select("d.*")
 
 
 def _within_limit(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import dealt
 from .series import upper_median
 
 #: Fixed values of the tracker (pixels, frames).
@@ -82,9 +83,9 @@ def ball_tracks(tracked: DataFrame, min_move: float = MIN_MOVE, least: int = 4)
     start = F.min_by(F.struct("x", "y"), "frame").alias("start")
     spans = tracked.groupBy("clip_id", "track").agg(start, F.max_by(F.struct("x", "y"), "frame").alias("end"), F.min("frame").alias("first"), F.count(F.lit(1)).alias("seen"))
     away = F.hypot(F.col("x") - F.col("start.x"), F.col("y") - F.col("start.y"))
-    peaks = tracked.join(spans.select("clip_id", "track", "start"), ["clip_id", "track"]).groupBy("clip_id", "track").agg(F.max(away).alias("peak"))
+    peaks = tracked.join(dealt(spans.select("clip_id", "track", "start")), ["clip_id", "track"]).groupBy("clip_id", "track").agg(F.max(away).alias("peak"))
     departure = F.hypot(F.col("end.x") - F.col("start.x"), F.col("end.y") - F.col("start.y"))
-    fit = spans.join(peaks, ["clip_id", "track"]).withColumn("departure", departure)
+    fit = spans.join(dealt(peaks), ["clip_id", "track"]).withColumn("departure", departure)
     fit = fit.where((F.col("seen") >= least) & (F.col("peak") >= min_move) & (F.col("departure") >= RETURNED * F.col("peak")))
     best = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc("departure"), F.asc("track")))
     return fit.withColumn("_r", best).where("_r = 1").select("clip_id", "track", "first", F.col("start.x").alias("x0"), F.col("start.y").alias("y0"), "departure")
@@ -97,9 +98,9 @@ def resolve_ball(candidates: DataFrame, gate: float = GATE, min_move: float = MI
     """
     tracked = associate(candidates, gate)
     ball = ball_tracks(tracked, min_move)
-    own = tracked.join(ball, ["clip_id", "track"]).select("clip_id", "frame", "x", "y")
+    own = tracked.join(dealt(ball), ["clip_id", "track"]).select("clip_id", "frame", "x", "y")
     away = F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0"))
-    before = candidates.join(ball, "clip_id").where(F.col("frame") < F.col("first")).withColumn("_d", away)
+    before = candidates.join(dealt(ball), "clip_id").where(F.col("frame") < F.col("first")).withColumn("_d", away)
     nearest = before.groupBy("clip_id", "frame", "first").agg(F.min(F.struct("_d", "cand_idx", "x", "y")).alias("c")).where(F.col("c._d") <= gate)
     # Frames are unbroken back from the first sighting as long as they count down by one.
     back = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.desc("frame")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.formatting import rounded
 from ..operators import observations as ob
 from ..operators import tracking
-from ..staging import written
+from ..staging import dealt, written
 from . import analysis
 from .dialect import Duck, Spark
 from .dialect import rounded as sql_rounded
@@ -68,7 +68,7 @@ def picture_tracks(spark, sf_dir):
 def picture_heads(spark, sf_dir):
     """The sightings of the head that pass the gate of continuity and sharpness; here all sightings, with or without a ball."""
     p = pictures(spark, sf_dir)
-    rows = p["heads"].join(p["faces"].select("clip_id", "frame", "rms"), ["clip_id", "frame"], "left").withColumn("mm_per_px", F.lit(ob.BALL_MM / 30))
+    rows = p["heads"].join(dealt(p["faces"].select("clip_id", "frame", "rms")), ["clip_id", "frame"], "left").withColumn("mm_per_px", F.lit(ob.BALL_MM / 30))
     return ob.accepted_heads(rows).select("clip_id", "frame")
 
 
@@ -83,7 +83,7 @@ def picture_results(spark, sf_dir):
     p = pictures(spark, sf_dir)
     cleaned = written(ob.clean_heads(ob.observations(**p)), "cleaned")
     ball = ob.movers(p["tracks"], p["seeds"], p["clips"])
-    rolled = cleaned.join(ob.timing(p["times"]).select("clip_id", "container_fps"), "clip_id").withColumnRenamed("clip_id", "k")
+    rolled = cleaned.join(dealt(ob.timing(p["times"]).select("clip_id", "container_fps")), "clip_id").withColumnRenamed("clip_id", "k")
     rates = analysis.capture_rate(rolled).select(F.col("k").alias("clip_id"), "rate")
     r = ob.clip_results(p["clips"], p["times"], p["tracks"], p["seeds"], cleaned, ball, rates)
     return r.withColumns({"container_fps": rounded(F.col("container_fps"), 3), "mm_per_px": rounded(F.col("mm_per_px"))})

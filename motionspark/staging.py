@@ -34,6 +34,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that deals both by their keys, however small Spark takes it for.
+
+    Spark takes a plan's size from the files that it reads: frames that are made of keys, and what Python makes of them, look as small as the keys, and
+    would go to all tasks by way of the driver.
+    """
+    return df.hint("merge")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back: used by many later steps, it is computed once and survives lost executors."""
     path = fresh_path(df.sparkSession, name)

@@ -5,7 +5,7 @@ from conftest import SMALL
 
 from motionspark import catalog
 
-MADE_OF_KEYS = ["stroke_putter", "stroke_tempo", "phase_bands"]
+MADE_OF_KEYS = ["stroke_putter", "stroke_tempo", "phase_bands", "picture_movers", "picture_tracks", "picture_heads", "picture_series", "picture_results", "strike_frames", "clip_summaries", "camera_shifts"]
 
 
 @pytest.mark.parametrize("name", MADE_OF_KEYS)
