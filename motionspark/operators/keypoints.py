@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import dealt, written
 from . import pixels, series, shapes
 
 #: Least corners and matches of a picture, and how far a voter may lie off (pixels).
@@ -81,7 +82,7 @@ def matches(stills: DataFrame, frames: DataFrame) -> DataFrame:
     left = stills.select("clip_id", F.col("corner").alias("a"), "x", "y", F.array(*[f"d{i}" for i in range(4)]).alias("_a"), _bands().alias("_b")).select("*", "_b.*").drop("_b")
     right = frames.select("clip_id", "frame", F.col("corner").alias("b"), F.col("x").alias("u"), F.col("y").alias("v"), F.array(*[f"d{i}" for i in range(4)]).alias("_c"), _bands().alias("_b")).select("*", "_b.*").drop("_b")
     differ = sum((F.bit_count(F.col("_a")[i].bitwiseXOR(F.col("_c")[i])) for i in range(4)), F.lit(0)).alias("differ")
-    met = right.join(left, ["clip_id", "band", "bits"]).select("clip_id", "frame", "a", "b", "x", "y", "u", "v", differ)
+    met = right.join(dealt(left), ["clip_id", "band", "bits"]).select("clip_id", "frame", "a", "b", "x", "y", "u", "v", differ)
     picture = ["clip_id", "frame"]
     ranked = met.withColumns({"_i": F.dense_rank().over(Window.partitionBy(*picture, "b").orderBy("differ", "a")), "_j": F.dense_rank().over(Window.partitionBy(*picture, "a").orderBy("differ", "b"))})
     mutual = ranked.where("_i = 1 AND _j = 1").dropDuplicates([*picture, "a", "b"])
@@ -102,14 +103,14 @@ def motions(found: DataFrame) -> DataFrame:
     first = F.pmod(F.xxhash64("k", F.lit(1)), F.col("many"))
     pick = pick.withColumns({"i": first, "j": F.pmod(first + 1 + F.pmod(F.xxhash64("k", F.lit(2)), F.col("many") - 1), F.col("many"))})
     side = lambda n, s: found.select(*picture, F.col("n").cast("long").alias(n), *[F.col(c).alias(c + s) for c in "xyuv"])
-    pairs = pick.join(side("i", "1"), [*picture, "i"]).join(side("j", "2"), [*picture, "j"])
+    pairs = pick.join(dealt(side("i", "1")), [*picture, "i"]).join(dealt(side("j", "2")), [*picture, "j"])
     d = {c: F.col(c + "2") - F.col(c + "1") for c in "xyuv"}
     square = d["x"] * d["x"] + d["y"] * d["y"]
     p, q = (d["u"] * d["x"] + d["v"] * d["y"]) / square, (d["v"] * d["x"] - d["u"] * d["y"]) / square
     proposed = pairs.where(square > OFF * OFF).withColumns({"p": p, "q": q})
     proposed = proposed.select(*picture, "k", "p", "q", (F.col("u1") - F.col("p") * F.col("x1") + F.col("q") * F.col("y1")).alias("s"), (F.col("v1") - F.col("q") * F.col("x1") - F.col("p") * F.col("y1")).alias("t"))
     listed = proposed.groupBy(*picture).agg(F.sort_array(F.collect_list(F.struct("k", "p", "q", "s", "t"))).alias("proposals"))  # PROPOSALS of them at most
-    voted = found.join(listed, picture).select(*picture, "x", "y", "u", "v", F.explode("proposals").alias("m"))
+    voted = found.join(dealt(listed), picture).select(*picture, "x", "y", "u", "v", F.explode("proposals").alias("m"))
     miss = F.sqrt(F.pow(F.col("m.p") * F.col("x") - F.col("m.q") * F.col("y") + F.col("m.s") - F.col("u"), 2.0) + F.pow(F.col("m.q") * F.col("x") + F.col("m.p") * F.col("y") + F.col("m.t") - F.col("v"), 2.0))
     x, y, u, v = (F.col(c) for c in "xyuv")
     sums = {"sx": x, "sy": y, "su": u, "sv": v, "sxx": x * x + y * y, "sxu": x * u + y * v, "sxv": x * v - y * u}
@@ -130,7 +131,7 @@ def feature_shifts(rasters: DataFrame, stills: DataFrame | None = None) -> DataF
     the matched corners are the ground's.
     """
     still = (pixels.stills(rasters) if stills is None else stills).withColumn("frame", F.lit(0))
-    moved = motions(matches(corner_rows(still), corner_rows(rasters)))
-    every = rasters.select("clip_id", "frame").join(moved.select("clip_id", "frame", F.col("sx").alias("_x"), F.col("sy").alias("_y")), ["clip_id", "frame"], "left")
+    moved = motions(written(matches(corner_rows(still), corner_rows(rasters)), "matches"))  # read by each step of the vote
+    every = rasters.select("clip_id", "frame").join(dealt(moved.select("clip_id", "frame", F.col("sx").alias("_x"), F.col("sy").alias("_y"))), ["clip_id", "frame"], "left")
     held = series.carry_last(series.carry_last(every, ["clip_id"], "frame", F.col("_x"), "sx"), ["clip_id"], "frame", F.col("_y"), "sy")
     return held.select("clip_id", "frame", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sx", "sy")])
