@@ -114,3 +114,25 @@ def test_oblique_lines_are_one_blob_over_corners():
     mask = np.zeros((500, 120), bool)
     mask[np.arange(500), np.arange(500) // 5] = True
     assert len(pixels.moments(mask, mask, corners=True)) == 1 < len(pixels.moments(mask, mask))
+
+
+def test_rows_of_a_key_are_put_together_across_batches():
+    import pandas as pd
+
+    from motionspark.operators import pixels
+
+    batches = [pd.DataFrame({"k": [1, 1, 2], "v": [1, 2, 3]}), pd.DataFrame({"k": [2, 2], "v": [4, 5]}), pd.DataFrame({"k": [2, None, None], "v": [6, 7, 8]})]
+    assert [list(g["v"]) for g in pixels.grouped(iter(batches), ["k"])] == [[1, 2], [3, 4, 5, 6], [7, 8]]
+
+
+def test_a_picture_is_painted_only_where_its_things_reach():
+    import numpy as np
+
+    from motionspark.plans import sights
+
+    box = sights._box(120, 90, 10, 5)
+    whole = (slice(0, sights.H), slice(0, sights.W))
+    assert (box[0].stop - box[0].start) * (box[1].stop - box[1].start) < 400
+    u, v = sights._x - 120, sights._y - 90
+    cover = np.clip(10 - np.abs(u) + 0.5, 0, 1) * np.clip(5 - np.abs(v) + 0.5, 0, 1)
+    assert np.array_equal(sights.bar(sights._mat(), 120, 90, 0, 10, 5, sights.DARK), sights._paint(sights._mat(), whole, cover, sights.DARK))
