@@ -2,8 +2,9 @@
 
 Documents are branched by minwise tokens: in each of ``trees`` independent trees a node's documents go to
 the child named by their least token under that level's hash, and nodes of at most ``leaf`` documents are
-compared exhaustively. Two sets of similarity s part at each level with probability 1 - s. Documents that
-any tree leads past its second level go through ``extra`` further trees. So a pair at the threshold of 0.8
+compared exhaustively. Two sets of similarity s part at each level with probability 1 - s. Nodes are formed of one
+token, of two and of all four; documents that any tree leads past its second level go through ``extra`` further trees, whose
+nodes are formed of all four tokens at once. So a pair at the threshold of 0.8
 either meets, or parts within two levels in each of the 8 trees (0.36 ** 8), or parts within four levels in
 each of the 24 further ones (0.59 ** 24): it is missed with probability 0.00029 at most, at any depth. The
 estimate below adds 0.00003.
@@ -144,39 +145,44 @@ def components(links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def placed_by_tree(classes: DataFrame, trees: range, levels: int, leaf: int) -> tuple[DataFrame, DataFrame | None]:
-    """Leaves (node, size, doc) of the given trees, and the documents (doc) that any of them leads past its second level."""
+def placed_by_tree(classes: DataFrame, trees: range, levels: int, leaf: int, depths: tuple[int, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves (node, size, doc) of the given trees, and the documents (doc) that any of them leads past its second level.
+
+    ``depths`` are the numbers of tokens whose nodes are formed, the last one ``levels``: a document's leaf is its first node of at most ``leaf``
+    documents among them, or its last one. Between them nodes are not formed, so a group of near copies, which hardly parts at a level,
+    is dealt once for each depth and not once for each level.
+    """
     value = lambda i: F.substring("minwise", i * 4 + 1, 4)
     paths = [F.struct(F.lit(t).alias("tree"), F.array(*[value(t * levels + d) for d in range(levels)]).alias("tokens")) for t in trees]
     rows = classes.where("n_shingles > 0").select("doc", F.explode(F.array(*paths)).alias("p")).select("doc", "p.tree", "p.tokens")
-    open_rows = rows.withColumn("node", F.xxhash64("tree", F.col("tokens")[0]))
     leaves, deep = None, None
-    for depth in range(levels):
+    for depth in depths:
+        open_rows = rows.withColumn("node", F.xxhash64("tree", *[F.col("tokens")[d] for d in range(depth)]))
         sizes = open_rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         placed = staged(open_rows.join(sizes, "node"), "near-nodes")
-        done = placed if depth == levels - 1 else placed.where(F.col("size") <= leaf)
+        done = placed if depth == levels else placed.where(F.col("size") <= leaf)
         done = done.select("node", "size", "doc")
         leaves = done if leaves is None else leaves.unionByName(done)
-        if depth == levels - 1:
+        if depth == levels:
             break
-        large = placed.where(F.col("size") > leaf)
-        open_rows = large.select("doc", "tree", "tokens", F.xxhash64("node", F.col("tokens")[depth + 1]).alias("node"))
-        if not open_rows.limit(1).count():
+        rows = placed.where(F.col("size") > leaf).select("doc", "tree", "tokens")
+        if not rows.limit(1).count():
             break
-        if depth == 1:
-            deep = large.select("doc").distinct()
+        if depth == 2:
+            deep = rows.select("doc").distinct()
     return leaves, deep
 
 
 def may_link(classes: DataFrame, trees: int, levels: int, leaf: int, margin: float, similarity: float, extra: int = EXTRA) -> DataFrame:
-    """Links (a, b) between classes whose minwise values leave room for the wanted similarity."""
-    leaves, deep = placed_by_tree(classes, range(trees), levels, leaf)
+    """Links (a, b) between classes whose minwise values leave room for the wanted similarity; negative ids stand for nodes that are large at the last level."""
+    leaves, deep = placed_by_tree(classes, range(trees), levels, leaf, tuple(sorted({1, min(2, levels), levels})))
     if deep is not None and extra:
-        leaves = leaves.unionByName(placed_by_tree(classes.join(deep, "doc", "left_semi"), range(trees, trees + extra), levels, leaf)[0])
-    # What is still large at the last level agrees in every token of its path: all of it may be linked.
+        leaves = leaves.unionByName(placed_by_tree(classes.join(deep, "doc", "left_semi"), range(trees, trees + extra), levels, leaf, (levels,))[0])
+    # What is still large at the last level agrees in every token of its path: all of it may be linked, by way of the node. A document is
+    # linked to the least of its nodes, and nodes to each other, once for all documents that they share.
     small, large = leaves.where(F.col("size") <= 4 * leaf), leaves.where(F.col("size") > 4 * leaf)
-    firsts = large.groupBy("node").agg(F.min("doc").alias("a"))
-    star = large.join(firsts, "node").select("a", F.col("doc").alias("b")).where("a <> b")
+    shared = large.select("doc", (-1 - F.shiftrightunsigned("node", 1)).alias("node")).groupBy("doc").agg(F.collect_set("node").alias("nodes")).withColumn("a", F.array_min("nodes"))
+    star = shared.select("a", F.col("doc").alias("b")).unionByName(shared.select("a", F.explode("nodes").alias("b")).where("a <> b").distinct())
     estimate = F.substring("minwise", 1, 4 * trees * levels).alias("minwise")
     sketched = small.select("node", "doc").join(classes.select("doc", "n_shingles", estimate), "doc").repartition("node").sortWithinPartitions("node", "doc")
     close = sketched.select("node", "doc", "n_shingles", "minwise").mapInPandas(partial(forest, margin=margin, similarity=similarity), "a long, b long")

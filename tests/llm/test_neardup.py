@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from llm_cases import ODD, colliding_words, documents, near_components
 
+from motionspark.llm import neardup
 from motionspark.llm.neardup import components, may_link, near_duplicates, without_near_duplicates
 
 
@@ -41,6 +42,23 @@ def test_large_leaf_group(spark):
     assert set(found.values()) == {(120, 0)}
 
 
+def test_near_copies_are_dealt_once_a_depth(spark, monkeypatch):
+    """A group of near copies makes 3 rows in each of the 8 trees and 1 in each of the 24 further ones at most, whatever its size; a row a level makes 128 a document."""
+    made, staged = [], neardup.staged
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "near-nodes":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "staged", counted)
+    text = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*text, f"extra{i}"]), "s") for i in range(600)]
+    assert set(got(near_duplicates(documents(spark, rows), words=2)).values()) == {(300, 0)}
+    assert 0 < sum(made) <= 48 * len(rows)
+
+
 def test_chains_and_stars(spark):
     """Members that the centres do not link to: a chain of texts, each near its neighbours only, and two separate families."""
     draw = random.Random(9)
