@@ -51,7 +51,7 @@ def raster_strokes(spark, sf_dir):
     """Which figures of each stroke, measured from its rasters alone, meet the accuracy gates."""
     seen = written(tracker.see(drawn(spark, sf_dir)), "seen")
     obs = tracker.finish(tracker.track(seen, MAT, HOMOGRAPHY), tracker.candidates(seen, MAT), MAT, HOMOGRAPHY, W / SCALE)
-    r, k = analysis.stroke_record(written(obs, "tracked")), F.col("k")
+    r, k = analysis.stroke_record(written(obs, "tracked"), cheap=True), F.col("k")
     face, path, speed = (k % 41 - 20) / 10, (7 * k % 61 - 30) / 10, 1 + (k % 13) / 10
     gates = {
         "impact": F.abs(F.col("t0") - 0.9) < 1 / 240, "face": F.abs(F.col("face_deg") - face) < 0.3, "path": F.abs(F.col("path_deg") - path) < 0.4, "start_line": F.abs(F.col("start_line_deg") - face + 0.1) < 0.3, "rate": F.abs(F.col("face_rate") / -50 - 1) < 0.08,

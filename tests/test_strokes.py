@@ -3,7 +3,8 @@
 import pytest
 from conftest import SMALL
 
-from motionspark import catalog
+from motionspark import catalog, staging
+from motionspark.plans import analysis
 from motionspark.plans.analysis import REASONS
 
 
@@ -51,3 +52,23 @@ def test_implausible_strokes_are_kept_blank(spark):
     rows = catalog.QUERIES["session_records"](spark, SMALL).collect()
     bad = [r for r in rows if r["implausible"]]
     assert bad and all(r["face_deg"] is None and r["ball_speed"] is None for r in bad)
+
+
+@pytest.mark.parametrize("name, tempo", [("session_latest", 0), ("session_spread", 0), ("session_records", 1), ("stroke_warnings", 0), ("stroke_record", 0)])
+def test_frames_are_not_written_nor_read_for_what_is_not_shown(spark, monkeypatch, name, tempo):
+    """Frames made of keys are made again and not written, and the swing is analysed only where its figures are shown."""
+    names, swings, real = [], [], analysis.tempo
+
+    def noted(df, name):
+        names.append(name)
+        return staging.written(df, name)
+
+    def swing(obs, ball):
+        swings.append(1)
+        return real(obs, ball)
+
+    monkeypatch.setattr(analysis, "written", noted)
+    monkeypatch.setattr(analysis, "tempo", swing)
+    catalog.QUERIES[name](spark, SMALL)
+    assert "observations" not in names
+    assert len(swings) == tempo
