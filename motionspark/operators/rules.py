@@ -151,12 +151,15 @@ def connected(links: DataFrame) -> DataFrame:
 def merge_near(points: DataFrame, by: list[str], key: str, x: str, y: str, reach: float) -> DataFrame:
     """by, ``key``, fragment: points within ``reach`` of each other, directly or through others, are one; its least key names it.
 
-    Points meet only in their own and the neighbouring cells of a grid as wide as the reach.
+    Points meet only in their own and the neighbouring cells of a grid as wide as the reach. Two neighbouring cells meet in one of them alone: a point goes
+    to its own cell and to four of the eight about it, the others' points come to its own.
     """
     cell = lambda c: F.floor(F.col(c) / reach)
     p = points.select(*by, F.col(key).alias("b"), F.col(x).alias("_x"), F.col(y).alias("_y"), cell(x).alias("_i"), cell(y).alias("_j"))
-    around = p.withColumnRenamed("b", "a").withColumnsRenamed({"_x": "_u", "_y": "_v"}).withColumn("_i", F.explode(F.array(*[F.col("_i") + k for k in (-1, 0, 1)]))).withColumn("_j", F.explode(F.array(*[F.col("_j") + k for k in (-1, 0, 1)])))
-    links = p.join(around, [*by, "_i", "_j"]).where((F.col("a") < F.col("b")) & (F.pow(F.col("_x") - F.col("_u"), 2.0) + F.pow(F.col("_y") - F.col("_v"), 2.0) <= reach * reach))
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))]))
+    around = p.withColumn("s", step).select(*by, F.col("b").alias("a"), F.col("_x").alias("_u"), F.col("_y").alias("_v"), (F.col("_i") + F.col("s.i")).alias("_i"), (F.col("_j") + F.col("s.j")).alias("_j"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"))
+    near = F.pow(F.col("_x") - F.col("_u"), 2.0) + F.pow(F.col("_y") - F.col("_v"), 2.0) <= reach * reach
+    links = p.join(around, [*by, "_i", "_j"]).where((~F.col("own") | (F.col("a") < F.col("b"))) & near)
     found = connected(links).withColumnsRenamed({"node": key, "root": "fragment"})
     return points.select(*by, key).join(found, key, "left").select(*by, key, F.coalesce("fragment", key).alias("fragment"))
 

@@ -3,7 +3,10 @@
 import pytest
 from conftest import SMALL
 
+from pyspark.sql import functions as F
+
 from motionspark import catalog
+from motionspark.operators import rules
 
 MADE_OF_KEYS = ["stroke_putter", "stroke_tempo", "phase_bands", "picture_movers", "picture_tracks", "picture_heads", "picture_series", "picture_results", "strike_frames", "clip_summaries", "camera_shifts"]
 
@@ -12,3 +15,15 @@ MADE_OF_KEYS = ["stroke_putter", "stroke_tempo", "phase_bands", "picture_movers"
 def test_frames_are_never_broadcast(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_neighbouring_cells_meet_once(spark, monkeypatch):
+    """A point is sent to five cells, not to all nine, and no pair is found twice."""
+    found = {}
+    real = rules.connected
+    monkeypatch.setattr(rules, "connected", lambda links: real(found.setdefault("links", links)))
+    rows = [(1, i * 8 + j, float(2 * i), float(2 * j)) for i in range(8) for j in range(8)]
+    points = spark.createDataFrame(rows, "u long, e long, x double, y double")
+    assert {r.fragment for r in rules.merge_near(points, ["u"], "e", "x", "y", 3.0).collect()} == {0}
+    assert found["links"]._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert found["links"].count() == found["links"].select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() == 2 * 8 * 7 + 2 * 7 * 7
