@@ -27,3 +27,10 @@ def test_neighbouring_cells_meet_once(spark, monkeypatch):
     assert {r.fragment for r in rules.merge_near(points, ["u"], "e", "x", "y", 3.0).collect()} == {0}
     assert found["links"]._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
     assert found["links"].count() == found["links"].select(F.least("a", "b"), F.greatest("a", "b")).distinct().count() == 2 * 8 * 7 + 2 * 7 * 7
+
+
+def test_impact_takes_few_windows(spark):
+    """Each window writes all its rows anew: eight find the ball's start over all frames, and the last two see what rolls alone."""
+    plan = catalog.QUERIES["stroke_impact"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    above, _ = plan.split("Join Inner", 1)
+    assert plan.count("Window [") <= 10 and above.count("Window [") == 2
