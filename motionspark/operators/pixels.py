@@ -408,12 +408,23 @@ def background(rasters: DataFrame, sample: int = 60) -> DataFrame:
 
 
 def match_template(image: np.ndarray, patch: np.ndarray) -> tuple[float, int, int]:
-    """Best normalized cross-correlation of a grey patch in an image: score, x, y of its corner."""
-    views = np.lib.stride_tricks.sliding_window_view(image, patch.shape)
-    a = views - views.mean(axis=(2, 3), keepdims=True)
-    b = patch - patch.mean()
-    norm = np.sqrt((a * a).sum(axis=(2, 3)) * (b * b).sum())
-    score = np.where(norm > 0, (a * b).sum(axis=(2, 3)) / np.where(norm > 0, norm, 1), 0)
+    """Best normalized cross-correlation of a grey patch in an image: score, x, y of its corner.
+
+    By sums of levels, of their squares and of their products with the patch, which are exact for whole numbers; a flat window matches nothing.
+    """
+    image, patch, n = image.astype(float), patch.astype(float), patch.size
+
+    def sums(of: np.ndarray) -> np.ndarray:
+        """Over each window, by sums from the corner."""
+        c = np.pad(of.cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+        h, w = patch.shape
+        return c[h:, w:] - c[:-h, w:] - c[h:, :-w] + c[:-h, :-w]
+
+    total, square = sums(image), n * sums(image * image)
+    spread, own = square - total * total, n * (patch * patch).sum() - patch.sum() ** 2
+    like = n * np.einsum("ijkl,kl->ij", np.lib.stride_tricks.sliding_window_view(image, patch.shape), patch) - total * patch.sum()
+    varied = (spread > 1e-9 * square) & (own > 1e-9 * n * (patch * patch).sum())
+    score = np.where(varied, like / np.sqrt(np.where(varied, spread * own, 1)), 0)
     y, x = np.unravel_index(int(score.argmax()), score.shape)
     return float(score[y, x]), int(x), int(y)
 
@@ -432,15 +443,15 @@ def track_template(rasters: DataFrame, seeds: DataFrame, size: int = 9, reach: i
         rows, out, half = rows.sort_values("frame"), [], size // 2
         patch, missed, vx, vy = None, 0, 0.0, 0.0
         for r in rows.itertuples():
-            grey = _raster(r)[..., :3].mean(axis=2)
+            grey = lambda *box: _raster(r)[box][..., :3].sum(axis=2, dtype=np.int64)  # noqa: B023, E731
             if patch is None:
                 x, y = float(r.sx), float(r.sy)
-                patch = grey[max(0, int(y) - half) : int(y) + half + 1, max(0, int(x) - half) : int(x) + half + 1]
+                patch = grey(slice(max(0, int(y) - half), int(y) + half + 1), slice(max(0, int(x) - half), int(x) + half + 1))
                 out.append((r.clip_id, r.frame, x, y, 1.0))
                 continue
             cx, cy = int(round(x + vx)), int(round(y + vy))
             top, left = max(0, cy - half - reach), max(0, cx - half - reach)
-            area = grey[top : cy + half + reach + 1, left : cx + half + reach + 1]
+            area = grey(slice(top, cy + half + reach + 1), slice(left, cx + half + reach + 1))
             score, px, py = match_template(area, patch) if min(area.shape) >= size and patch.shape == (size, size) else (0.0, 0, 0)
             if score >= accept:
                 nx, ny = left + px + half, top + py + half

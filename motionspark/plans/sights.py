@@ -24,8 +24,11 @@ BRIGHT, DARK, YELLOW, GROUND = (240, 240, 240), (25, 25, 25), (230, 220, 40), (6
 _y, _x = np.mgrid[:H, :W].astype(float)
 
 
+_ground = np.broadcast_to(np.array(GROUND, float), (H, W, 3)).copy()
+
+
 def _mat() -> np.ndarray:
-    return np.broadcast_to(np.array(GROUND, float), (H, W, 3)).copy()
+    return _ground.copy()
 
 
 def _box(cx: float, cy: float, rx: float, ry: float) -> tuple[slice, slice]:
@@ -55,6 +58,20 @@ def bar(image: np.ndarray, cx: float, cy: float, degrees: float, half: float, wi
 
 #: Clips that one task draws: its rasters are one batch of Arrow's, some 55 MB for FRAMES frames.
 CLIPS_A_TASK = 64
+#: Clips that are handed on together.
+CLIPS_A_BATCH = 8
+
+
+def _keys(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
+
+
+def _raster(image: np.ndarray) -> np.ndarray:
+    """A picture's levels as whole numbers, with an opaque fourth channel."""
+    whole = np.rint(image)
+    raw = np.full((*image.shape[:2], 4), 255, np.uint8)
+    raw[..., :3] = np.clip(whole, 0, 255, out=whole)
+    return raw
 
 
 def _clips(spark, sf_dir: str, picture: Callable[[int, int], np.ndarray], frames: int = FRAMES) -> DataFrame:
@@ -62,12 +79,11 @@ def _clips(spark, sf_dir: str, picture: Callable[[int, int], np.ndarray], frames
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            for k in f["k"]:
-                images = [np.clip(np.round(picture(int(k), i)), 0, 255).astype(np.uint8) for i in range(frames)]
-                raw = [np.dstack([im, np.full(im.shape[:2], 255, np.uint8)]) for im in images]
-                yield pd.DataFrame([(k, i, im.shape[1], im.shape[0], im.tobytes()) for i, im in enumerate(raw)], columns=["clip_id", "frame", "w", "h", "rgba"])
+            for at in range(0, len(f), CLIPS_A_BATCH):
+                drawn = [(k, i, _raster(picture(int(k), i))) for k in f["k"].iloc[at : at + CLIPS_A_BATCH] for i in range(frames)]
+                yield pd.DataFrame([(k, i, im.shape[1], im.shape[0], im.tobytes()) for k, i, im in drawn], columns=["clip_id", "frame", "w", "h", "rgba"])
 
-    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"))
+    keys = _keys(spark, sf_dir)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(keys.count() / CLIPS_A_TASK))
     return keys.repartition(tasks, "k").mapInPandas(run, CLIP)
 
@@ -153,7 +169,7 @@ def mat_lines(spark, sf_dir):
 def template_tracks(spark, sf_dir):
     """A patch followed through a clip."""
     rasters = _clips(spark, sf_dir, lambda k, i: disc(disc(_mat(), 60 + k % 30 + 4 * i, 70 + 3 * i, 6, BRIGHT), 60 + k % 30 + 4 * i, 70 + 3 * i, 2.5, DARK))
-    seeds = rasters.where("frame = 0").select("clip_id", (60.0 + F.col("clip_id") % 30).alias("sx"), F.lit(70.0).alias("sy"))
+    seeds = _keys(spark, sf_dir).select(F.col("k").alias("clip_id"), (60.0 + F.col("k") % 30).alias("sx"), F.lit(70.0).alias("sy"))  # of rasters, they would be drawn twice
     return pixels.track_template(rasters, seeds, size=17, reach=9).select("clip_id", "frame", _step(F.col("x"), 1).alias("x"), _step(F.col("y"), 1).alias("y"))
 
 
@@ -196,20 +212,20 @@ def camera_shifts(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (rest_balls, head_places, head_faces, face_edges, dark_blobs, mat_lines, template_tracks, still_sums, camera_shifts)}
 
-_keys = "SELECT s_suppkey::BIGINT AS k FROM supplier"
-_frames = f"SELECT k, unnest(range({FRAMES}))::INT AS i FROM ({_keys})"
+_supplied = "SELECT s_suppkey::BIGINT AS k FROM supplier"
+_frames = f"SELECT k, unnest(range({FRAMES}))::INT AS i FROM ({_supplied})"
 ORACLE_SQL = {
-    "rest_balls": f"SELECT k AS clip_id, 1::INT AS rank, (60 + k % 50)::DOUBLE AS x, (40 + k % 37)::DOUBLE AS y FROM ({_keys})",
+    "rest_balls": f"SELECT k AS clip_id, 1::INT AS rank, (60 + k % 50)::DOUBLE AS x, (40 + k % 37)::DOUBLE AS y FROM ({_supplied})",
     "head_places": f"SELECT k AS clip_id, i AS frame, (70 + k % 40 + 3 * i)::DOUBLE AS x, (90 + k % 23)::DOUBLE AS y FROM ({_frames})",
-    "head_faces": f"SELECT k AS clip_id, (k % 31 - 15) * 0.2::DOUBLE + 0.0 AS degrees FROM ({_keys})",
-    "face_edges": f"SELECT k AS clip_id, ((k % 7 - 3) * 2)::DOUBLE AS degrees FROM ({_keys})",
-    "dark_blobs": f"SELECT k AS clip_id, (100 + k % 40)::DOUBLE AS x, (80 + k % 30)::DOUBLE AS y, 31 * 7::BIGINT AS n FROM ({_keys})",
-    "mat_lines": f"SELECT k AS clip_id, (60 + k % 60)::DOUBLE AS degrees FROM ({_keys})",
+    "head_faces": f"SELECT k AS clip_id, (k % 31 - 15) * 0.2::DOUBLE + 0.0 AS degrees FROM ({_supplied})",
+    "face_edges": f"SELECT k AS clip_id, ((k % 7 - 3) * 2)::DOUBLE AS degrees FROM ({_supplied})",
+    "dark_blobs": f"SELECT k AS clip_id, (100 + k % 40)::DOUBLE AS x, (80 + k % 30)::DOUBLE AS y, 31 * 7::BIGINT AS n FROM ({_supplied})",
+    "mat_lines": f"SELECT k AS clip_id, (60 + k % 60)::DOUBLE AS degrees FROM ({_supplied})",
     "template_tracks": f"SELECT k AS clip_id, i AS frame, (60 + k % 30 + 4 * i)::DOUBLE AS x, (70 + 3 * i)::DOUBLE AS y FROM ({_frames})",
     "still_sums": f"""
         SELECT k AS clip_id, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b, count(*) AS pixels FROM (
           SELECT k, x, y, floor(median((x * 7 + y * 13 + i * i * 31 + k) % 256)) AS r, floor(median((x * 7 + y * 13 + i * i * 31 + k * 3) % 256)) AS g,
                  floor(median((x * 7 + y * 13 + i * i * 31 + k * 11) % 256)) AS b
           FROM ({_frames}), (SELECT unnest(range(30)) AS x), (SELECT unnest(range(20)) AS y) GROUP BY k, x, y) GROUP BY k""",
-    "camera_shifts": f"SELECT k AS clip_id, i AS frame, (k % 7 - 3) * 0.5::DOUBLE * i + 0.0 AS sx, (k % 5 - 2) * 0.5::DOUBLE * i + 0.0 AS sy FROM (SELECT k, unnest(range(3))::INT AS i FROM ({_keys}))",
+    "camera_shifts": f"SELECT k AS clip_id, i AS frame, (k % 7 - 3) * 0.5::DOUBLE * i + 0.0 AS sx, (k % 5 - 2) * 0.5::DOUBLE * i + 0.0 AS sy FROM (SELECT k, unnest(range(3))::INT AS i FROM ({_supplied}))",
 }

@@ -34,3 +34,9 @@ def test_impact_takes_few_windows(spark):
     plan = catalog.QUERIES["stroke_impact"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     above, _ = plan.split("Join Inner", 1)
     assert plan.count("Window [") <= 10 and above.count("Window [") == 2
+
+
+def test_followed_clips_are_drawn_once(spark):
+    """Seeds are made of keys; of rasters they would draw every clip again."""
+    plan = catalog.QUERIES["template_tracks"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
