@@ -71,3 +71,15 @@ def test_short_tracks_stay(spark):
     kept = vision.smooth_track(spark.createDataFrame(rows, "k string, i int, x double, y double"), ["k"], "i", "x", "y")
     assert sorted(r.i for r in kept.where(F.col("k") == "a").collect()) == [0, 1, 2, 3]
     assert sorted(r.i for r in kept.where(F.col("k") == "b").collect()) == [i for i in range(12) if i != 6]
+
+
+def test_line_takes_hues_of_few_pixels(monkeypatch):
+    """Hues are taken of what is colourful and yellowish alone, not of the picture."""
+    seen, real = [], vision.pixels.hsv
+    monkeypatch.setattr(vision.pixels, "hsv", lambda rgba: seen.append(rgba[..., 0].size) or real(rgba))
+    image = picture()
+    image[..., :3] = (90, 90, 95)
+    band(image, 120, 100, 1.3, 90, 3, (230, 220, 40))
+    assert abs(vision.mat_line(image)[0] - 1.3) < 0.003 and sum(seen) < image[..., 0].size / 10
+    for n in (1, 2, 7, 8):
+        assert vision._median(np.arange(n, 0.0, -1)) == np.median(np.arange(n, 0.0, -1))
