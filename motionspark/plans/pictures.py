@@ -20,10 +20,14 @@ from .dialect import Duck, Spark
 from .dialect import rounded as sql_rounded
 
 
-def model(d: Spark) -> str:
-    """CTEs of the tables that sightings come in."""
+#: Clips that one task makes into rows: some 300,000 in most tables, three times as many sightings.
+CLIPS_A_TASK = 2500
+
+
+def model(d: Spark, keys: str = "") -> str:
+    """CTEs of the tables that sightings come in, one clip for each s_suppkey of ``keys`` (suppliers by default)."""
     return f"""
-base AS (SELECT s_suppkey AS clip_id, s_suppkey % 8 AS kind, radians(s_suppkey % 21 - 10) AS rad0, (s_suppkey % 5 - 2) * 1e0 AS face0 FROM {d.table("supplier")}),
+base AS (SELECT s_suppkey AS clip_id, s_suppkey % 8 AS kind, radians(s_suppkey % 21 - 10) AS rad0, (s_suppkey % 5 - 2) * 1e0 AS face0 FROM {keys or d.table("supplier")}),
 fr AS (SELECT clip_id, kind, rad0, face0, CAST(frame AS INT) AS frame, cos(rad0) AS ux, sin(rad0) AS uy, 2e-2 * frame AS sx, -1e-2 * frame AS sy FROM base {d.numbers(0, 119, "frame")} WHERE NOT (kind = 7 AND frame >= 6)),
 clips AS (SELECT clip_id, 960e0 AS w, 540e0 AS h FROM base),
 times AS (SELECT clip_id, frame, frame / 30e0 AS t FROM fr),
@@ -48,7 +52,14 @@ TABLES = ("clips", "times", "tracks", "seeds", "lines", "shifts", "heads", "face
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.sql(f"WITH {model(Spark(sf_dir))} SELECT * FROM {t}") for t in TABLES}
+    """The model's tables.
+
+    Keys are dealt before they become rows: they fill one small file, so a single task would make the rows of all clips, and hold them while it deals them on.
+    """
+    d = Spark(sf_dir)
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(spark.table(d.table("supplier")).count() / CLIPS_A_TASK))
+    keys = f"(SELECT /*+ REPARTITION({tasks}, s_suppkey) */ s_suppkey FROM {d.table('supplier')})"
+    return {t: spark.sql(f"WITH {model(d, keys)} SELECT * FROM {t}") for t in TABLES}
 
 
 def picture_movers(spark, sf_dir):

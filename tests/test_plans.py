@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from motionspark import catalog
 from motionspark.operators import rules
+from motionspark.plans import pictures
 
 MADE_OF_KEYS = ["stroke_putter", "stroke_tempo", "phase_bands", "picture_movers", "picture_tracks", "picture_heads", "picture_series", "picture_results", "strike_frames", "clip_summaries", "camera_shifts"]
 
@@ -40,3 +41,13 @@ def test_followed_clips_are_drawn_once(spark):
     """Seeds are made of keys; of rasters they would draw every clip again."""
     plan = catalog.QUERIES["template_tracks"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInPandas") == 1
+
+
+@pytest.mark.parametrize("table", ["times", "tracks", "lines", "shifts", "heads", "faces"])
+def test_no_task_makes_the_rows_of_all_clips(spark, monkeypatch, table):
+    """Keys fill one small file, which is one task's; they are dealt before they become rows, to as many tasks as the clips need."""
+    monkeypatch.setattr(pictures, "CLIPS_A_TASK", 1, raising=False)
+    frames = pictures.pictures(spark, SMALL)[table]
+    assert frames.rdd.getNumPartitions() >= 10
+    of = frames.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("clip_id").alias("clips")).collect()
+    assert len(of) > 3 and max(r.clips for r in of) < 6
