@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import SMALL
+from oracle import same_rows
 
 from motionspark import catalog, staging
 from motionspark.plans import analysis
@@ -72,3 +73,12 @@ def test_frames_are_not_written_nor_read_for_what_is_not_shown(spark, monkeypatc
     catalog.QUERIES[name](spark, SMALL)
     assert "observations" not in names
     assert len(swings) == tempo
+
+
+@pytest.mark.parametrize("name", ["stroke_impact", "stroke_putter", "stroke_tempo", "stroke_record", "stroke_warnings", "session_records", "session_spread", "session_latest", "phase_bands", "capture_rate"])
+def test_keys_over_a_million(spark, tmp_path, name):
+    """The scatter's product of such a key does not fit 64 bits; the oracle reads the keys as wider numbers, in the same SQL."""
+    keys = spark.read.parquet(f"{SMALL}/customer.parquet")
+    keys.withColumn("c_custkey", keys.c_custkey + 5_400_000).write.parquet(f"{tmp_path}/customer.parquet")
+    wide = f"SELECT * REPLACE (c_custkey::HUGEINT AS c_custkey) FROM '{tmp_path}/customer.parquet/*.parquet'"
+    same_rows(catalog.QUERIES[name](spark, str(tmp_path)), f"WITH customer AS ({wide}) SELECT * FROM ({catalog.ORACLE_SQL[name]})", str(tmp_path))
