@@ -1,7 +1,7 @@
 """Camera shifts by features: corners with binary descriptors, matched and put to the vote as rows.
 
-A raster gives its corners, the strongest of each tile, and 256 comparisons of brightness about each. From there on all is joins and
-windows: corners meet where a band of their bits is the same, stay if each is the other's nearest, and pairs of matches
+A raster gives its corners, the strongest of each tile, and 256 comparisons of brightness about each. Corners are dealt by clip; a
+picture's meet its still's where a band of their bits is the same, and stay if each is the other's nearest. From there on all is joins and windows: pairs of matches
 propose motions (turn, scale and shift) that all matches of the picture vote on; the winner's voters fit the motion.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import dealt, written
@@ -21,7 +21,10 @@ from . import pixels, series, shapes
 LEAST, OFF = 12, 3.0
 #: Corners of a tile, pixels across a tile, reach of a descriptor, bands of a descriptor, proposals of a picture.
 PER_TILE, CORNER_TILE, REACH, BANDS, PROPOSALS = 4, 24, 12, 16, 48
+#: Candidates that a picture compares at a time.
+PAIRS = 1 << 20
 CORNERS = "clip_id long, frame int, corner int, x double, y double, d0 long, d1 long, d2 long, d3 long"
+MET = "clip_id long, frame int, a int, b int, x double, y double, u double, v double"
 
 _near = np.clip(np.round(np.random.default_rng(3).normal(0, REACH / 2.5, (256, 4))), -REACH, REACH).astype(int)
 
@@ -55,39 +58,83 @@ def corners(image: np.ndarray, per_tile: int = PER_TILE) -> tuple[np.ndarray, np
     return x + nudge(power[y, x - 1], power[y, x], power[y, x + 1]), y + nudge(power[y - 1, x], power[y, x], power[y + 1, x]), words
 
 
-def corner_rows(rasters: DataFrame, per_tile: int = PER_TILE) -> DataFrame:
-    """Rows of CORNERS: at most ``per_tile`` corners for each tile of a raster."""
+def corner_rows(rasters: DataFrame, per_tile: int = PER_TILE, marked: bool = False) -> DataFrame:
+    """Rows of CORNERS: at most ``per_tile`` corners for each tile of a raster; if ``marked``, with a row of corner -1 for each raster, be there corners or not."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
                 x, y, words = corners(shapes.grey(np.frombuffer(r.rgba, np.uint8).reshape(r.h, r.w, 4)), per_tile)
+                number = np.arange(len(x), dtype=np.int32)
+                if marked:
+                    number, x, y, words = np.append(-1, number), np.append(0.0, x), np.append(0.0, y), np.concatenate([np.zeros((1, 4), np.int64), words])
                 if len(x):
-                    yield pd.DataFrame({"clip_id": r.clip_id, "frame": r.frame, "corner": np.arange(len(x), dtype=np.int32), "x": x, "y": y} | {f"d{i}": words[:, i] for i in range(4)})
+                    yield pd.DataFrame({"clip_id": r.clip_id, "frame": r.frame, "corner": number, "x": x, "y": y} | {f"d{i}": words[:, i] for i in range(4)})
 
     return rasters.select("clip_id", "frame", "w", "h", "rgba").mapInPandas(run, CORNERS)
 
 
-def _bands() -> Column:
-    """(band, bits) of each run of 16 bits."""
-    part = lambda i: F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(f"d{i // 4}", 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)).alias("bits"))
-    return F.explode(F.array(*[part(i) for i in range(BANDS)]))
+def _bands(words: np.ndarray) -> np.ndarray:
+    """(band, bits) as one number of each run of 16 bits, a row a corner."""
+    return np.arange(BANDS, dtype=np.int64) << 16 | np.ascontiguousarray(words).view(np.uint16)
+
+
+def mutual(still: np.ndarray, frame: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Corners of a still and of a frame, by their descriptors, that are each other's nearest of those that share a band; of equals the first.
+
+    The still's bands are sorted and the frame's looked up in them, PAIRS candidates at a time.
+    """
+    index = _bands(still).ravel()
+    order = np.argsort(index, kind="stable")
+    index, owner = index[order], order // BANDS
+    asked = _bands(frame)
+    low, many = np.searchsorted(index, asked), np.searchsorted(index, asked, "right")
+    many -= low
+    part = np.cumsum(many.sum(axis=1)) // PAIRS
+    near_b, near_a = np.full(len(frame), -1), np.full(len(still), -1)
+    least = np.full(len(still), 64 * still.shape[1] + 1)
+    for block in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(part)) + 1):
+        n = many[block].ravel()
+        b = np.repeat(np.repeat(block, BANDS), n)
+        a = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[block].ravel(), n)]
+        differ = np.bitwise_count((still[a] ^ frame[b]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+        first = lambda key, *then: (o := np.lexsort((*then, key)))[np.append(True, np.diff(key[o]) != 0)] if len(key) else np.zeros(0, int)
+        best = first(b, a, differ)
+        near_b[b[best]] = a[best]
+        best = first(a, b, differ)
+        best = best[differ[best] < least[a[best]]]  # an earlier block's is the first of equals
+        near_a[a[best]], least[a[best]] = b[best], differ[best]
+    b = np.flatnonzero(near_b >= 0)
+    b = b[near_a[near_b[b]] == b]
+    return near_b[b], b
 
 
 def matches(stills: DataFrame, frames: DataFrame) -> DataFrame:
     """clip_id, frame, n, x, y, u, v: corners of a clip's still (x, y) and of its frames (u, v) that are each other's nearest by differing bits, numbered by a hash.
 
-    Corners meet only where sixteen neighbouring bits are the same, which one in sixty-five thousand are by chance.
+    Corners meet only where sixteen neighbouring bits are the same, which one in sixty-five thousand are by chance. They are dealt by clip, each once, and
+    meet within a picture, so neither bands nor candidates are rows. A marked frame has a row with no n, whatever else it has.
     """
-    left = stills.select("clip_id", F.col("corner").alias("a"), "x", "y", F.array(*[f"d{i}" for i in range(4)]).alias("_a"), _bands().alias("_b")).select("*", "_b.*").drop("_b")
-    right = frames.select("clip_id", "frame", F.col("corner").alias("b"), F.col("x").alias("u"), F.col("y").alias("v"), F.array(*[f"d{i}" for i in range(4)]).alias("_c"), _bands().alias("_b")).select("*", "_b.*").drop("_b")
-    differ = sum((F.bit_count(F.col("_a")[i].bitwiseXOR(F.col("_c")[i])) for i in range(4)), F.lit(0)).alias("differ")
-    met = right.join(dealt(left), ["clip_id", "band", "bits"]).select("clip_id", "frame", "a", "b", "x", "y", "u", "v", differ)
-    picture = ["clip_id", "frame"]
-    ranked = met.withColumns({"_i": F.dense_rank().over(Window.partitionBy(*picture, "b").orderBy("differ", "a")), "_j": F.dense_rank().over(Window.partitionBy(*picture, "a").orderBy("differ", "b"))})
-    mutual = ranked.where("_i = 1 AND _j = 1").dropDuplicates([*picture, "a", "b"])
-    number = F.row_number().over(Window.partitionBy(*picture).orderBy(F.xxhash64("a", "b"), "a", "b")) - 1
-    return mutual.select(*picture, number.alias("n"), "x", "y", "u", "v")
+    together = stills.withColumn("side", F.lit(0)).unionByName(frames.withColumn("side", F.lit(1)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clip, still = None, None
+        for rows in pixels.grouped(batches, ["clip_id", "side", "frame"]):
+            of, words = rows["clip_id"].iloc[0], rows[["d0", "d1", "d2", "d3"]].to_numpy()
+            if rows["side"].iloc[0] == 0:
+                clip, still = of, (rows, words)
+                continue
+            corner = rows["corner"].to_numpy()
+            some = np.flatnonzero(corner >= 0)
+            a, b = mutual(still[1], words[some]) if clip == of and len(some) else (np.zeros(0, int), np.zeros(0, int))
+            at = np.concatenate([np.flatnonzero(corner < 0), some[b]])
+            of_still = {c: np.concatenate([np.full(len(at) - len(a), v), still[0][n].to_numpy()[a] if len(a) else []]) for c, n, v in (("a", "corner", -1), ("x", "x", 0.0), ("y", "y", 0.0))}
+            if len(at):
+                yield pd.DataFrame({"clip_id": of, "frame": rows["frame"].iloc[0], "a": of_still["a"].astype(np.int32), "b": corner[at], "x": of_still["x"], "y": of_still["y"], "u": rows["x"].to_numpy()[at], "v": rows["y"].to_numpy()[at]})
+
+    met = together.repartition("clip_id").sortWithinPartitions("clip_id", "side", "frame", "corner").mapInPandas(run, MET)
+    number = F.row_number().over(Window.partitionBy("clip_id", "frame").orderBy(F.col("a") < 0, F.xxhash64("a", "b"), "a", "b")) - 1
+    return met.select("clip_id", "frame", F.when(F.col("a") >= 0, number).alias("n"), "x", "y", "u", "v")
 
 
 def motions(found: DataFrame) -> DataFrame:
@@ -131,7 +178,8 @@ def feature_shifts(rasters: DataFrame, stills: DataFrame | None = None) -> DataF
     the matched corners are the ground's.
     """
     still = (pixels.stills(rasters) if stills is None else stills).withColumn("frame", F.lit(0))
-    moved = motions(written(matches(corner_rows(still), corner_rows(rasters)), "matches"))  # read by each step of the vote
-    every = rasters.select("clip_id", "frame").join(dealt(moved.select("clip_id", "frame", F.col("sx").alias("_x"), F.col("sy").alias("_y"))), ["clip_id", "frame"], "left")
+    seen = written(matches(corner_rows(still), corner_rows(rasters, marked=True)), "matches")  # read by each step of the vote
+    moved = motions(seen.where("n is not null"))
+    every = seen.where("n is null").select("clip_id", "frame").join(dealt(moved.select("clip_id", "frame", F.col("sx").alias("_x"), F.col("sy").alias("_y"))), ["clip_id", "frame"], "left")
     held = series.carry_last(series.carry_last(every, ["clip_id"], "frame", F.col("_x"), "sx"), ["clip_id"], "frame", F.col("_y"), "sy")
     return held.select("clip_id", "frame", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sx", "sy")])

@@ -32,7 +32,7 @@ def blurred(image: np.ndarray, sigma: float = 1.5, half: int = 3) -> np.ndarray:
     out = image.astype(float)
     for axis in (0, 1):
         wide = np.pad(out, [(half, half) if a == axis else (0, 0) for a in (0, 1)], "reflect" if out.shape[axis] > half else "edge")
-        out = sum(t * np.take(wide, range(i, i + out.shape[axis]), axis=axis) for i, t in enumerate(taps))
+        out = sum(t * (wide[i : i + out.shape[0]] if axis == 0 else wide[:, i : i + out.shape[1]]) for i, t in enumerate(taps))
     return out
 
 

@@ -6,6 +6,7 @@ which asks for half a step of accuracy.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -67,10 +68,10 @@ def _keys(spark, sf_dir: str) -> DataFrame:
 
 
 def _raster(image: np.ndarray) -> np.ndarray:
-    """A picture's levels as whole numbers, with an opaque fourth channel."""
+    """A picture's levels, of three channels or of grey, as whole numbers, with an opaque fourth channel."""
     whole = np.rint(image)
     raw = np.full((*image.shape[:2], 4), 255, np.uint8)
-    raw[..., :3] = np.clip(whole, 0, 255, out=whole)
+    raw[..., :3] = np.clip(whole, 0, 255, out=whole).reshape(*image.shape[:2], -1)
     return raw
 
 
@@ -184,27 +185,25 @@ def still_sums(spark, sf_dir):
     return still.groupBy("clip_id").agg(*[F.sum(F.col(c)).cast("long").alias(c) for c in "rgb"], F.count(F.lit(1)).alias("pixels"))
 
 
-def camera_shifts(spark, sf_dir):
-    """Half pixels that the ground moves by, while a body of a third of the picture goes another way."""
+@functools.lru_cache(maxsize=2)  # a clip's ground and body, for all its frames
+def _blots(k: int) -> np.ndarray:
+    """Soft-edged random blots."""
+    draw = np.random.default_rng(k)
+    return keypoints.shapes.blurred(np.kron(draw.integers(60, 200, (H // 5 + 10, W // 5 + 10)), np.ones((5, 5))), 1.2, 3)
 
-    def ground(k: int) -> np.ndarray:
-        draw = np.random.default_rng(k)
-        return np.kron(draw.integers(60, 200, (H // 5 + 10, W // 5 + 10)), np.ones((5, 5)))
 
-    def soft(image: np.ndarray) -> np.ndarray:
-        return keypoints.shapes.blurred(image, 1.2, 3)
+def camera_shifts(spark, sf_dir):
+    """Half pixels that the ground moves by, while a body of a third of the picture goes another way."""
 
     def picture(k: int, i: int) -> np.ndarray:
         dx, dy = (k % 7 - 3) * 0.5 * i, (k % 5 - 2) * 0.5 * i
-        wide = soft(ground(k))
-        grey = vision.between(wide, _x + 20 - dx, _y + 20 - dy)
-        body = soft(ground(k + 500_000))[20:140, 20:140]
+        grey = vision.between(_blots(k), _x + 20 - dx, _y + 20 - dy)
         at = 30 + 12 * i
-        grey[30:150, at : at + 120] = body
-        return np.repeat(grey[..., None], 3, axis=2)
+        grey[30:150, at : at + 120] = _blots(k + 500_000)[20:140, 20:140]
+        return grey
 
     def still(k: int, i: int) -> np.ndarray:
-        return np.repeat(soft(ground(k))[20 : 20 + H, 20 : 20 + W, None], 3, axis=2)
+        return _blots(k)[20 : 20 + H, 20 : 20 + W]
 
     found = keypoints.feature_shifts(_clips(spark, sf_dir, picture, 3), _clips(spark, sf_dir, still, 1).drop("frame"))
     return found.select("clip_id", "frame", _step(F.col("sx"), 0.5).alias("sx"), _step(F.col("sy"), 0.5).alias("sy"))

@@ -72,3 +72,35 @@ def test_matches_are_mutual_and_corners_spread():
     again = keypoints.corners(np.roll(image, (4, 3), (0, 1)))
     same = {(round(a, 6), round(b, 6)) for a, b in zip(x + 3, y + 4)} & {(round(a, 6), round(b, 6)) for a, b in zip(*again[:2])}
     assert len(same) > 0.5 * len(x)
+
+
+def test_nearest_of_those_that_share_a_band(monkeypatch):
+    """As all pairs say, ties and blocks of candidates included."""
+    draw = np.random.default_rng(11)
+    still = draw.integers(-(2**63), 2**63, (60, 4), np.int64)
+    still[40:44] = still[3]
+    frame = np.concatenate([still[draw.permutation(60)[:50]] ^ (1 << draw.integers(0, 63, (50, 4))), draw.integers(-(2**63), 2**63, (20, 4), np.int64)])
+    frame[60:64] = frame[5]
+    differ = np.bitwise_count((still[:, None] ^ frame).view(np.uint64)).sum(axis=2)
+    band = lambda words: np.ascontiguousarray(words).view(np.uint16)
+    differ = np.where((band(still)[:, None] == band(frame)).any(axis=2), differ, 999)
+    want = {(a, b) for b, a in enumerate(differ.argmin(axis=0)) if differ[a, b] < 999 and differ[a].argmin() == b}
+    assert len(want) > 30
+    for pairs in (1 << 20, 7):
+        monkeypatch.setattr(keypoints, "PAIRS", pairs)
+        assert set(zip(*(v.tolist() for v in keypoints.mutual(still, frame)))) == want
+    assert [len(v) for v in keypoints.mutual(still[:0], frame)] == [len(v) for v in keypoints.mutual(still, frame[:0])] == [0, 0]
+
+
+def test_corners_are_dealt_once(spark):
+    """A corner is one row until it is matched, not one a band, and pictures are looked at once."""
+    draw = np.random.default_rng(5)
+    grey = np.round(ground(draw, 120, 160, 60, 200)).astype(np.uint8)
+    rasters = clips(spark, {1: [np.dstack([grey] * 3 + [np.full_like(grey, 255)])] * 2})
+    found = keypoints.matches(keypoints.corner_rows(rasters.where("frame = 0")), keypoints.corner_rows(rasters, marked=True))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    rows = found.collect()
+    assert sorted(r.frame for r in rows if r.n is None) == [0, 1]
+    own = [r for r in rows if r.n is not None]
+    assert len(own) > 100 and sorted(r.n for r in own if r.frame == 1) == list(range(len(own) // 2)) and all((r.x, r.y) == (r.u, r.v) for r in own)
