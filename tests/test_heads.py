@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from test_vision import band, picture
 
-from motionspark.operators import heads, pixels, vision
+from motionspark.operators import heads, pixels, shapes, vision
 
 KIND = "clip_id long, frame int, w int, h int, rgba binary"
 
@@ -102,3 +103,26 @@ def test_step_places_lie_between_samples():
             assert abs(place[0] * 0.5 - 7 - at) < 0.06 and steep[0] > 2
             rippled = clean + 5 * np.sin(9 * s) * (np.abs(s - at) > 5)
             assert abs(vision.step_places(rippled[None])[0][0] * 0.5 - 7 - at) < 0.2
+
+
+def test_stills_are_searched_where_they_are_bright(monkeypatch):
+    """A still is blurred about what is bright alone, and its outlines are those of the whole still."""
+    image = disc(disc(picture(480, 300), 120.3, 80.6, 11, (240, 240, 240)), 160, 100, 9, (190, 190, 190))
+    looked, real = [], shapes.blurred
+    monkeypatch.setattr(shapes, "blurred", lambda part, *more, **other: looked.append(part.size) or real(part, *more, **other))
+    one = pd.DataFrame([(1, 480, 300, image.tobytes())], columns=["clip_id", "w", "h", "rgba"])
+    found = next(heads._rest_points(iter([one])))
+    assert len(looked) == 1 and looked[0] < image[..., 0].size / 10
+    bright = np.round(real(shapes.grey(image)))
+    for level in heads.LADDER:
+        whole = [(blob, i, x, y) for blob, points in shapes.outlines(shapes.opened(bright > level, 3), 15.0) for i, (x, y) in enumerate(points)]
+        assert list(found[found["level"] == level][["blob", "at", "x", "y"]].itertuples(index=False, name=None)) == whole
+    assert not list(heads._rest_points(iter([one.assign(rgba=[picture(480, 300).tobytes()])])))
+
+
+def test_medians_of_bytes():
+    draw = np.random.default_rng(2)
+    for n in (1, 2, 5, 8):
+        stack = draw.integers(0, 256, (n, 400)).astype(np.uint8)
+        stack[:, ::3] = stack[0, ::3]
+        assert (pixels.lower_median(stack) == np.floor(np.median(stack, axis=0))).all()
