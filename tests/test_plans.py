@@ -6,7 +6,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from motionspark import catalog
-from motionspark.operators import rules
+from motionspark.operators import heads, rules
 from motionspark.plans import pictures
 
 MADE_OF_KEYS = ["stroke_putter", "stroke_tempo", "phase_bands", "picture_movers", "picture_tracks", "picture_heads", "picture_series", "picture_results", "strike_frames", "clip_summaries", "camera_shifts"]
@@ -51,3 +51,13 @@ def test_no_task_makes_the_rows_of_all_clips(spark, monkeypatch, table):
     assert frames.rdd.getNumPartitions() >= 10
     of = frames.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("clip_id").alias("clips")).collect()
     assert len(of) > 3 and max(r.clips for r in of) < 6
+
+
+def test_heads_are_looked_for_once(spark, monkeypatch):
+    """Rasters and stills are drawn once each and looked at once, and parts and heads are not dealt to a grouped map of their own."""
+    plans, real = [], heads.written
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(heads, "written", lambda df, name: plans.append(plan(df)) or real(df, name))
+    found = catalog.QUERIES["head_places"](spark, SMALL)
+    assert [p.count("MapInPandas") for p in plans] == [3]
+    assert "FlatMapGroupsInPandas" not in plan(found)
